@@ -104,8 +104,8 @@ def record_bytes(records: DataFrame) -> DataFrame:
 def parse_records(records: DataFrame) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes, taken from header blocks and payload bytes."""
     head = F.decode("header", "utf-8")
-    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?m)^{name}: (.*?)\r$", 1), F.lit(""))
-    page = lambda name: F.regexp_extract(head, rf"(?m)^{name}: <urn:page:(-?\d+)>\r$", 1).try_cast("long")
+    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?md)^{name}: (.*?)\r$", 1), F.lit(""))
+    page = lambda name: F.regexp_extract(head, rf"(?md)^{name}: <urn:page:(-?\d+)>\r$", 1).try_cast("long")
     return records.select(
         page("WARC-Record-ID").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
