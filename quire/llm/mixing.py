@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import durable
+from quire.llm.shared import durable, hint_small
 
 BITS = 12  # of the hash for each histogram
 LEVELS = 2
@@ -35,7 +35,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
     A target is min(most x size, level x weight), with the one level at which targets add up to share x all sizes: what
     a full source leaves goes to the others by weight. Sources are full in the order of size/weight, so running sums in
-    that order give the level without iterating. The windows run over one row a source.
+    that order give the level without iterating: at each source the level that would hold if just those before it were
+    full. It is consistent where it does not fill the source itself, and of these the first is also the highest. The
+    windows run over one row a source.
     """
     turn = F.when(F.lit(False), F.lit(0))
     for i, w in enumerate(weights):
@@ -50,7 +52,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
         .withColumn("_size_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("_w_left", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
         .withColumn("_level", (F.sum("source_size").over(whole) * F.lit(share) - F.col("_size_before") * F.lit(most)) / F.col("_w_left"))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_fill"), F.col("_level"))).over(whole))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_fill"), F.col("_level"))).over(whole))
     )
     level = F.coalesce(F.col("_level") * F.col("_w"), F.col("source_size") * F.lit(most))
     return ranked.select("source", "source_size", F.least(level, F.col("source_size") * F.lit(most)).alias("target"))
@@ -67,7 +69,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     """
     state = budgets.select(F.col("source").alias("_s"), F.col("_budget").cast("double").alias("_left"), F.lit(0).cast("long").alias("_prefix"))
     for level in range(LEVELS):
-        found = sized.join(state, F.col("source").eqNullSafe(F.col("_s")))
+        found = sized.join(hint_small(state, "mixing-state"), F.col("source").eqNullSafe(F.col("_s")))
         if level:
             found = found.where(F.shiftright("_hash", 60 - BITS * level) == F.col("_prefix"))
         sums = found.groupBy("_s", "_left", "_prefix", _bucket(level).alias("_b")).agg(F.sum("size").alias("_n"))
@@ -75,11 +77,8 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         cut = sums.withColumn("_upto", F.sum("_n").over(run)).where(F.col("_upto") > F.col("_left"))
         first = cut.groupBy("_s", "_left", "_prefix").agg(F.min(F.struct("_b", "_upto", "_n")).alias("_m"))
         # The budget ends in this bucket; a source whose rows all fit has no such bucket and needs no threshold.
-        state = durable(
-            first.select("_s", (F.col("_left") - F.col("_m._upto") + F.col("_m._n")).alias("_left"), (F.col("_prefix") * (1 << BITS) + F.col("_m._b")).alias("_prefix")),
-            f"mixing-level{level}",
-        )
-    inside = sized.join(state, F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("_hash", 60 - BITS * LEVELS) == F.col("_prefix"))
+        state = first.select("_s", (F.col("_left") - F.col("_m._upto") + F.col("_m._n")).alias("_left"), (F.col("_prefix") * (1 << BITS) + F.col("_m._b")).alias("_prefix"))
+    inside = sized.join(hint_small(state, "mixing-state"), F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("_hash", 60 - BITS * LEVELS) == F.col("_prefix"))
     single = inside.groupBy("_s", "_left", "_hash").agg(F.sum("size").alias("_n"))
     run = Window.partitionBy("_s").orderBy("_hash")
     cut = single.withColumn("_sum", F.sum("_n").over(run)).where(F.col("_sum") > F.col("_left"))
@@ -88,13 +87,8 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return last.select(F.col("_s"), F.when(near, F.col("_m._hash") + 1).otherwise(F.col("_m._hash")).alias("_below"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs.
-
-    copies is how often the mix takes the document (0 to most), taken = copies x size. Each source's taken words differ
-    from its target by at most half of one document. Null texts have size 0; a null source is a source of its own, last
-    in order; rows that repeat an id share its hash and are taken together; other columns are ignored; no rows give none.
-    """
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """sized: doc_id, source, size, _hash by document; plan: _t (source), source_size, target, _rounds, _below by source."""
     sized = durable(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("_hash")),
         "mixing-sizes",
@@ -106,14 +100,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     budgets = rounds.select("source", (F.col("target") - F.col("_rounds") * F.col("source_size")).alias("_budget")).where("_budget > 0")
     cuts = thresholds(sized, budgets)
     plan = rounds.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_t"), "source_size", "target", "_rounds", F.coalesce("_below", F.lit(0)).alias("_below"))
-    copies = (F.col("_rounds") + F.when(F.col("_hash") < F.col("_below"), 1).otherwise(0)).cast("long")
+    # One row a source: broadcast if counted to be few, so that a source with a third of all rows is not dealt to one task.
+    return sized, hint_small(plan, "mixing-plan")
+
+
+_COPIES = "cast(_rounds + if(_hash < _below, 1, 0) as long)"
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, **columns: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs.
+
+    copies is how often the mix takes the document (0 to most), taken = copies x size. Each source's taken words differ
+    from its target by at most half of one document. Null texts have size 0; a null source is a source of its own, last
+    in order; rows that repeat an id share its hash and are taken together; other columns are ignored; no rows give none.
+    """
+    sized, plan = plan_mix(docs, weights, share, most, **columns)
     return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("_t")))
-        .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source")
+        .withColumn("copies", F.expr(_COPIES))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it. Texts are not moved."""
+    _, plan = plan_mix(docs, weights, share, most, id_col=id_col, text_col=text_col, source_col=source_col)
+    own = docs.columns
+    taken = docs.withColumn("_hash", doc_hash(F.col(id_col))).join(plan, docs[source_col].eqNullSafe(plan["_t"]))
+    copies = taken.withColumn("_copies", F.expr(_COPIES)).where("_copies > 0")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in own])
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -126,7 +143,7 @@ r AS (SELECT *, coalesce(sum(source_size) OVER b, 0) AS size_before, sum(w) OVER
              sum(source_size) OVER () AS total
       FROM f WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (total::DOUBLE * 1.5::DOUBLE - size_before::DOUBLE * 2.0::DOUBLE) / w_left::DOUBLE AS level FROM r),
-t AS (SELECT source, source_size, least(coalesce(min(CASE WHEN level <= fill THEN level END) OVER () * w, source_size * 2.0::DOUBLE),
+t AS (SELECT source, source_size, least(coalesce(max(CASE WHEN level <= fill THEN level END) OVER () * w, source_size * 2.0::DOUBLE),
              source_size * 2.0::DOUBLE)::DOUBLE AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS rounds FROM t),
 c AS (SELECT g.source, h, sum(size)::BIGINT AS n, any_value(target - rounds * source_size) AS budget
