@@ -1,11 +1,54 @@
-"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, sharding."""
+"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing to weights, sharding.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage is one operator of quire.llm applied to all rows that the stage before it kept. A stage takes (spark, docs,
+sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import decontamination, jaccard, mixing, quality, sharding
+from quire.llm.shared import durable, table, without
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return without(docs, judged.where("not kept"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("hilbert sharding", sharding_stage),
+]
+
+#: The likelihood ratio's hashed byte runs, the curve's index and CRC-32 have no SQL form; tests/llm compare with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
