@@ -118,7 +118,7 @@ class Model:
         self.langs = sorted(counts)
         n_langs = len(self.langs)
         self.levels: list[tuple[_Table, np.ndarray, _Table, np.ndarray]] = []  # from order 0 up
-        for order in range(ORDER + 1):
+        for order in range(ORDER + 1 if counts else 0):
             mask = np.uint64((1 << (8 * (order + 1))) - 1)
             own = []
             for lang in self.langs:
