@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import durable
+from quire.llm.shared import durable, hint_small
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,10 +26,11 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v >= u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A table of its own on either side of the join lets adaptive execution split the rows of a hub.
+        large = both.where("v >= u").join(hint_small(least, f"{name}-least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = durable(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(hint_small(low, f"{name}-low"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = durable(small.distinct(), f"{name}-small")
         state, before = _state(now), state
         if state == before:

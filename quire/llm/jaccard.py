@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.bytesops import ALNUM, LOWER, chunks, grams, mix64, words
 from quire.llm.components import connected
-from quire.llm.shared import BROADCAST_KEYS, durable, text_key, without
+from quire.llm.shared import durable, hint_small, text_key, without
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     )
     banded = classes.select("node", F.explode("bands").alias("key"))
     least = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    least = hint_small(least, "jaccard-bands")
     stars = banded.join(least, "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     inside = durable(connected(stars, "jaccard-candidates").join(classes.drop("bands"), "node"), "jaccard-members")
     sizes = inside.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("label", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -219,8 +220,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
         .drop("blocks")
     )
     texts = keyed.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "text").dropDuplicates(["_id", "_key"]) if _repeats(slim) else keyed.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "text")
-    side = F.broadcast(tiles) if n_members <= BROADCAST_KEYS // 10 else tiles
-    with_text = texts.join(side, texts["_id"].eqNullSafe(tiles["rep_id"]) & (texts["_key"] == tiles["rep_key"])).drop("_id", "_key", "rep_id", "rep_key")
+    tiles = hint_small(tiles, "jaccard-tiles")
+    with_text = texts.join(tiles, texts["_id"].eqNullSafe(tiles["rep_id"]) & (texts["_key"] == tiles["rep_key"])).drop("_id", "_key", "rep_id", "rep_key")
     compared = durable(with_text.groupBy("group").applyInArrow(_compare(threshold), LINKED), "jaccard-links")
     counts = compared.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     label = connected(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes")
@@ -250,9 +251,26 @@ def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     if row["n"] == row["d"]:
         return left
     # Rows that repeat an id and its text: one of them stays. Rows without words are no copies of each other but by id.
-    return left.withColumn("_tkey", text_key()).dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")
+    return left.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key")).dropDuplicates(["_id", "_key"]).select("_row.*")
 
 
 def _repeats(slim: DataFrame) -> bool:
     row = slim.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "tkey").alias("d")).first()
     return row["n"] > row["d"]
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
+k AS (SELECT doc_id, ss, md5(array_to_string(list_sort(ss), '|')) AS c FROM s),
+cls AS (SELECT c, min(doc_id) AS rep, count(*) AS copies, any_value(ss) AS ss FROM k WHERE len(ss) > 0 GROUP BY c),
+e AS (SELECT rep, unnest(ss) AS sh FROM cls),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS m FROM e x JOIN e y ON x.sh = y.sh AND x.rep < y.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN cls x ON x.rep = a JOIN cls y ON y.rep = b WHERE m >= 0.8 * (len(x.ss) + len(y.ss) - m) - 1e-9),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a AS rep, count(*) AS nt, sum(copies) AS nd FROM d JOIN cls ON rep = b GROUP BY a),
+r(a, b) AS (SELECT rep, rep FROM cls UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b),
+g AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a)
+SELECT k.doc_id, coalesce(g.class_id, k.doc_id) AS class_id, coalesce(cls.rep, k.doc_id) AS copy_of, coalesce(copies, 1) AS n_copies, coalesce(nt, 0) AS n_text_links,
+       (coalesce(copies, 1) - 1 + coalesce(nd, 0))::BIGINT AS n_links
+FROM k LEFT JOIN cls ON cls.c = k.c AND len(k.ss) > 0 LEFT JOIN g ON g.rep = cls.rep LEFT JOIN n ON n.rep = cls.rep
+"""

@@ -125,10 +125,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs with all their columns, each as often as the mix takes it. Texts are not moved."""
     _, plan = plan_mix(docs, weights, share, most, id_col=id_col, text_col=text_col, source_col=source_col)
-    own = docs.columns
-    taken = docs.withColumn("_hash", doc_hash(F.col(id_col))).join(plan, docs[source_col].eqNullSafe(plan["_t"]))
-    copies = taken.withColumn("_copies", F.expr(_COPIES)).where("_copies > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in own])
+    # Whole rows are carried in a struct, so no name of theirs meets one of the plan's.
+    packed = docs.select(F.struct("*").alias("_row"), doc_hash(F.col(id_col)).alias("_hash"), F.col(source_col).alias("_source"))
+    taken = packed.join(plan, F.col("_source").eqNullSafe(F.col("_t"))).withColumn("_copies", F.expr(_COPIES)).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 ORACLE = """

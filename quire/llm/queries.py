@@ -82,5 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op3_mixing": mixing.ORACLE,
         "op5_decontamination": decontamination.ORACLE,
+        "op8_jaccard_join": jaccard.ORACLE,
         "op10_warc_archive": warc.ORACLE,
     }

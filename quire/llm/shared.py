@@ -67,10 +67,17 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col:
     return docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, same, "left_anti")
 
 
-SMALL = 200_000  # rows of at most a few hundred bytes up to which a table is broadcast
+SMALL = 200_000  # rows, or elements of arrays, of at most a few hundred bytes up to which a table is broadcast
 
 
-def hint_small(df: DataFrame, name: str, limit: int = SMALL) -> DataFrame:
-    """df as a durable table, marked for broadcast if it was counted to have at most limit rows; else it is shuffled."""
+def hint_small(df: DataFrame, name: str, elements: str | Column | None = None, limit: int = SMALL) -> DataFrame:
+    """df as a durable table, marked for broadcast if it was counted to have at most limit rows; else it is shuffled.
+
+    elements: what to count instead where rows hold arrays, the length of those.
+    """
     df = durable(df, name)
-    return F.broadcast(df) if df.count() <= limit else df
+    if elements is None:
+        n = df.count()
+    else:
+        n = df.agg(F.sum(F.greatest(F.lit(1), elements)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= limit else df

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import durable, text_key
+from quire.llm.shared import durable, hint_small, text_key
 
 UNITS = "doc_id long, tkey long, unit int, start int, stop int, digest binary"
 NAMES = ["doc_id", "tkey", "unit", "start", "stop", "digest"]
@@ -47,11 +47,12 @@ def repeats(units: DataFrame) -> DataFrame:
     """The units that an earlier equal unit makes redundant, each with the place of that earliest one.
 
     Digests are counted with partial sums before the shuffle, so that a line in a third of all documents sends one row a
-    task; only digests that occur again meet their occurrences in the join, which adaptive execution splits where skewed.
+    task. What occurs again is written first: if that is little it goes to all tasks, else both sides of the join come
+    straight from a shuffle, which adaptive execution splits where it is skewed.
     """
     first = units.groupBy("digest").agg(F.min(rank("unit", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit")) & (F.col("tkey") == F.col("first.tkey"))
-    return units.join(first, "digest").where(~same)
+    return units.join(hint_small(first, "substring-first"), "digest").where(~same)
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
