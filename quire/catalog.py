@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quire.plans.oracles import ORACLES
+from quire.plans.table_queries import ALL
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = {f.__name__: f for f in ALL}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
