@@ -1,7 +1,13 @@
-"""Substring dedup by line hashing: of equal lines anywhere in the corpus the earliest is kept."""
+"""Substring dedup by hashing the units of lines: of equal units anywhere in the corpus the earliest is kept.
+
+A unit is a sentence of a line, so that a passage is found wherever it stands, also behind other text on its line. What is
+removed are whole lines all of whose units occur earlier, and runs of such units of at least MIN_RUN words; a sentence that
+only happens to be said again stays.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -11,29 +17,37 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import durable, hint_small, text_key
 
-UNITS = "doc_id long, tkey long, unit int, start int, stop int, digest binary"
-NAMES = ["doc_id", "tkey", "unit", "start", "stop", "digest"]
-MIN_WORDS = 5
+UNITS = "doc_id long, tkey long, unit int, start int, digest binary"
+NAMES = ["doc_id", "tkey", "unit", "start", "digest"]
+MIN_WORDS = 5  # shorter units are not hashed; they go with their neighbours
+MIN_RUN = 15
+SENTENCE = re.compile("[.!?…]*[^.!?…]+[.!?…]*")
+RESULT = "doc_id long, text string, n_units long, n_removed long, removed string"
+
+
+def units(text: str) -> list[tuple[int, int, int, str]]:
+    """(line, start, stop, words) of the units in order; words are lower-cased and have one space between them."""
+    out, at = [], 0
+    for number, line in enumerate(text.split("\n")):
+        out += [(number, at + m.start(), at + m.end(), " ".join(m.group().lower().split())) for m in SENTENCE.finditer(line)]
+        at += len(line) + 1
+    return [u for u in out if u[3]]
 
 
-def normalise(line: str) -> str:
-    """Lower case, runs of whitespace as one space, none at the ends."""
-    return " ".join(line.lower().split())
+def _count(words: str) -> int:
+    return words.count(" ") + 1
 
 
-def _units(min_words: int):
+def _hash(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, tkey, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                at = 0
-                for unit, line in enumerate((text.as_py() or "").split("\n")):
-                    plain = normalise(line)
-                    if plain.count(" ") + 1 >= min_words:
-                        rows.append((doc_id.as_py(), tkey.as_py(), unit, at, at + len(line), blake2b(plain.encode(), digest_size=16).digest()))
-                    at += len(line) + 1
+            for doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for i, (_, start, _, words) in enumerate(units(text or "")):
+                    if _count(words) >= min_words:
+                        rows.append((doc_id, tkey, i, start, blake2b(words.encode(), digest_size=16).digest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
 
     return run
 
@@ -43,59 +57,99 @@ def rank(*more: Column | str) -> Column:
     return F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), *[F.col(c) if isinstance(c, str) else c for c in more])
 
 
-def repeats(units: DataFrame) -> DataFrame:
+def repeats(hashed: DataFrame) -> DataFrame:
     """The units that an earlier equal unit makes redundant, each with the place of that earliest one.
 
-    Digests are counted with partial sums before the shuffle, so that a line in a third of all documents sends one row a
+    Digests are counted with partial sums before the shuffle, so that a unit in a third of all documents sends one row a
     task. What occurs again is written first: if that is little it goes to all tasks, else both sides of the join come
     straight from a shuffle, which adaptive execution splits where it is skewed.
     """
-    first = units.groupBy("digest").agg(F.min(rank("unit", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = hashed.groupBy("digest").agg(F.min(rank("unit", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit")) & (F.col("tkey") == F.col("first.tkey"))
-    return units.join(hint_small(first, "substring-first"), "digest").where(~same)
+    return hashed.join(hint_small(first, "substring-first"), "digest").where(~same)
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every row of docs: doc_id, text without repeated lines, n_units, n_removed, removed.
+def remove(text: str, earlier: dict[int, tuple[int | None, int]], min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> tuple[str, int, list[str]]:
+    """(text that is left, number of units, removed) for a text and its units that occur earlier, with where.
 
-    A unit is a line between \\n of at least min_words words; units are equal if their lower-cased words are. The earliest
-    by doc_id, then by place, stays wherever it is; all others go. removed lists them as start:stop:first_doc_id:first_start
-    in code points of the original text, comma-joined by place. Rows without id rank last. Null text stays null, with 0
-    units. Rows that repeat an id and its text are one document: a line is not removed in favour of its like there, and
-    each row gets the same result. Other columns are ignored.
+    A unit too short to be hashed belongs to a run if hashed units before and behind it do, or if the rest of its line does.
+    """
+    own = units(text)
+    hashed = [_count(u[3]) >= min_words for u in own]
+    lines: dict[int, list[int]] = {}
+    for i, u in enumerate(own):
+        lines.setdefault(u[0], []).append(i)
+    whole = {n for n, us in lines.items() if any(hashed[i] for i in us) and all(i in earlier or not hashed[i] for i in us)}
+    # Between two hashed units that occur earlier, short ones are part of the run.
+    marked = [i in earlier or own[i][0] in whole for i in range(len(own))]
+    last = None
+    for i in range(len(own)):
+        if marked[i]:
+            if last is not None and not any(hashed[j] for j in range(last + 1, i)):
+                marked[last + 1 : i] = [True] * (i - last - 1)
+            last = i
+        elif hashed[i]:
+            last = None
+    gone: list[int] = []
+    i = 0
+    while i < len(own):
+        j = i
+        while j < len(own) and marked[j]:
+            j += 1
+        run = range(i, j)
+        if sum(_count(own[k][3]) for k in run) >= min_run:
+            gone += run
+        else:
+            gone += [k for k in run if own[k][0] in whole]
+        i = max(j, i + 1)
+    out, at, removed = [], 0, set(gone)
+    for number, line in enumerate(text.split("\n")):
+        cut = [own[i] for i in lines.get(number, ()) if i in removed]
+        kept, place = [], at
+        for _, start, stop, _ in cut:
+            kept.append(text[place:start])
+            place = stop
+        kept.append(text[place : at + len(line)])
+        rest = "".join(kept)
+        if not cut or rest.strip():
+            out.append(rest)
+        at += len(line) + 1
+    says = lambda i: f"{own[i][1]}:{own[i][2]}:" + (f"{'' if earlier[i][0] is None else earlier[i][0]}:{earlier[i][1]}" if i in earlier else ":")
+    return "\n".join(out), len(own), [says(i) for i in gone]
+
+
+def _rebuild(min_words: int, min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
+            out = []
+            for doc_id, text, gone in zip(ids, texts, found, strict=True):
+                if text is None:
+                    out.append((doc_id, None, 0, 0, ""))
+                    continue
+                left, n, says = remove(text, {g["unit"]: (g["first_doc"], g["first_start"]) for g in gone or ()}, min_words, min_run)
+                out.append((doc_id, left, n, len(says), ",".join(says)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "text", "n_units", "n_removed", "removed"])
+
+    return run
+
+
+def drop_repeated_units(docs: DataFrame, *, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for every row of docs: doc_id, text without repeated units, n_units, n_removed, removed.
+
+    Units are parts of lines up to and with their closing marks (. ! ? …), equal if their lower-cased words are. The
+    earliest by doc_id, then by place, stays. removed lists the others as start:stop:first_doc_id:first_start in code points
+    of the original text, comma-joined by place, without the last two for units too short to be hashed. A line of which
+    nothing is left goes with its newline. Rows without id rank last. Null text stays null, with 0 units. Rows that repeat an
+    id and its text are one document: a unit is not removed in favour of its like there, and each row gets the same result.
+    Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = own.select("doc_id", text_key().alias("tkey"), "text")
-    units = durable(keyed.mapInArrow(_units(min_words), UNITS), "substring-units")
-    item = F.struct("unit", "start", F.concat_ws(":", "start", "stop", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")), "first.start").alias("says"))
-    gone = repeats(units).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.array_sort(F.collect_set(item)).alias("gone"))
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("gone", lambda g: g["unit"]))
-    kept = F.array_join(F.transform(left, lambda i: lines[i]), "\n")
-    return (
-        keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["tkey"] == gone["_key"]), "left")
-        .select(
-            "doc_id",
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-            F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_units"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-            F.coalesce(F.array_join(F.transform("gone", lambda g: g["says"]), ","), F.lit("")).alias("removed"),
-        )
-    )
-
-
-ORACLE = """
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, i - 1 AS unit, ls[i] AS line, trim(regexp_replace(lower(ls[i]), '[\\s]+', ' ', 'g')) AS plain,
-             coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0)::BIGINT AS start
-      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)),
-k AS (SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 >= 5 AS counts FROM u),
-f AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(unit) OVER w AS fu, first_value(start) OVER w AS fs
-      FROM k WHERE counts WINDOW w AS (PARTITION BY plain ORDER BY doc_id NULLS LAST, unit)),
-g AS (SELECT k.doc_id, k.unit, k.line, k.start, f.fd, f.fs, f.doc_id IS NOT NULL AND NOT (f.fd = k.doc_id AND f.fu = k.unit) AS gone
-      FROM k LEFT JOIN f ON k.doc_id = f.doc_id AND k.unit = f.unit)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_units,
-       count(*) FILTER (WHERE gone) AS n_removed,
-       coalesce(string_agg(start || ':' || (start + length(line)) || ':' || fd || ':' || fs, ',' ORDER BY unit) FILTER (WHERE gone), '') AS removed
-FROM g GROUP BY doc_id
-"""
+    hashed = durable(keyed.mapInArrow(_hash(min_words), UNITS), "substring-units")
+    item = F.struct("unit", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    gone = repeats(hashed).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_set(item).alias("gone"))
+    gone = hint_small(gone, "substring-gone", F.size("gone"))
+    both = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["tkey"] == gone["_key"]), "left")
+    return both.select("doc_id", "text", "gone").mapInArrow(_rebuild(min_words, min_run), RESULT)

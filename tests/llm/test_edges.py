@@ -50,8 +50,8 @@ def bench(spark):
     return spark.createDataFrame([(1, LINE), (2, "words that"), (3, None), (4, ""), (None, "second line with other words"), (5, LINE)], "item_id long, text string")
 
 
-def test_line_dedup(odd, none):
-    rows = substring_dedup.drop_repeated_lines(odd).collect()
+def test_substring_dedup(odd, none):
+    rows = substring_dedup.drop_repeated_units(odd).collect()
     assert len(rows) == len(ROWS)
     kept = {(r.doc_id, r.removed): r for r in rows}
     assert kept[1, ""].n_removed == 0
@@ -59,7 +59,7 @@ def test_line_dedup(odd, none):
     assert next(r for r in rows if r.doc_id is None and r.text).text == "a line of a row without an id"
     assert next(r for r in rows if r.doc_id == 6).text == LONG
     assert next(r for r in rows if r.doc_id == 3).text is None
-    assert substring_dedup.drop_repeated_lines(none).collect() == []
+    assert substring_dedup.drop_repeated_units(none).collect() == []
 
 
 def test_personal_data(spark, none):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, queries, sharding
+from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, queries, sharding, substring_dedup
 from quire.llm.bytesops import chunks
 from tests.llm import brute
 
@@ -24,9 +24,22 @@ def result(spark, sf, name):
     return {r[0]: r for r in queries.queries()[name](spark, sf).collect()}
 
 
-def test_line_dedup(spark, sf, docs):
-    got = result(spark, sf, "op1_substring_dedup")
-    assert {k: (r.text, r.n_units, r.n_removed, r.removed) for k, r in got.items()} == brute.line_dedup(docs)
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_substring_dedup(spark, table):
+    frame = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in frame.collect()]
+    got = {r.doc_id: (r.text, r.n_units, r.n_removed, r.removed) for r in queries.op1_substring_dedup(spark, f"/root/testdata/{table}").collect()}
+    assert got == brute.substring_dedup(docs)
+    assert any(r[2] for r in got.values())
+
+
+def test_passages_are_found_inside_of_lines(spark):
+    passage = "The lamp on the pier went out at nine. Nobody in the town saw who had been there. So. By morning the boats were gone and the sea was flat."
+    rows = [(1, f"Some other words stand here before it. {passage}\nAn end of its own in every document."), (2, f"{passage} Then there are words behind it as well."), (3, "The lamp on the pier went out at nine. This is all that it shares.")]
+    got = {r.doc_id: r for r in substring_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[1].text == rows[0][1]
+    assert got[2].text.strip() == "Then there are words behind it as well." and got[2].n_removed == 4
+    assert got[3].text == rows[2][1]  # one sentence alone is no passage
 
 
 def test_personal_data(spark, sf, docs):
