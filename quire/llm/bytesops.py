@@ -43,6 +43,13 @@ LOWER = np.arange(256, dtype=np.uint8) + np.where(byte_class((0x41, 0x5A)), 32,
 SAME = np.arange(256, dtype=np.uint8)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that what Python makes of one stays small."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 @dataclass
 class Chunk:
     """Some consecutive texts, each followed by a newline in data. Text i is data[at[i] : at[i + 1] - 1]."""

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytesops import slices
 from quire.llm.shared import durable, hint_small, text_key
 
 DIVISOR = 3  # so many lines make a chunk on average
@@ -47,7 +48,7 @@ def split_chunks(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for doc_id, tkey, value in zip(*(batch.column(i) for i in range(3)), strict=True):
             text = value.as_py()

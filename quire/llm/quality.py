@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytesops import SPACED, byte_class, chunks, grams, words
+from quire.llm.bytesops import SPACED, byte_class, chunks, grams, slices, words
 from quire.llm.shared import durable, text_key
 
 BUCKETS = 1 << 16
@@ -121,7 +121,7 @@ def _both(ratio: np.ndarray):
     scored = _score(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             base, score = next(_measure(iter([batch]))), next(scored(iter([batch])))
             yield base.append_column("score", score.column(2))
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bytesops import slices
 from quire.llm.shared import durable, hint_small, text_key
 
 UNITS = "doc_id long, tkey long, unit int, start int, digest binary"
@@ -40,7 +41,7 @@ def _count(words: str) -> int:
 
 def _hash(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for i, (_, start, _, words) in enumerate(units(text or "")):
@@ -120,7 +121,7 @@ def remove(text: str, earlier: dict[int, tuple[int | None, int]], min_words: int
 
 def _rebuild(min_words: int, min_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
             out = []
             for doc_id, text, gone in zip(ids, texts, found, strict=True):
