@@ -21,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back."""
-    path = f"{shared_folder(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quire/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; what was read from them must have been written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
