@@ -114,9 +114,9 @@ def dedication_markers(markers: str | Column) -> Column:
     return F.exists(_tokens(markers), lambda m: m.rlike(r"^(?:dedication|dedica\d*)$"))
 
 
-def short_dedication(text: str | Column) -> Column:
+def short_dedication(text: str | Column, norm: Column | None = None) -> Column:
     """A nominal dedication: a preposition and few words, or a longer one with a list of names after a colon."""
-    bare = F.trim(normalized(text))
+    bare = F.trim(normalized(text) if norm is None else norm)
     words = F.split(bare, " ")
     short = (F.size(words) <= 8) & (F.length(bare) <= 80)
     listed = (F.size(words) <= 18) & (F.length(bare) <= 160) & col(text).contains(":") & col(text).contains(",")
@@ -156,8 +156,9 @@ def legal(*texts: str | Column, norm: Column | None = None) -> Column:
     return ((raw.contains("©") | has_any(norm, V.RIGHTS)) & has_any(norm, V.PUBLISHER_MARKS)) | (count_phrases(norm, V.PRINTING_MARKS) >= 2)
 
 
-def contents_opening(text: str | Column) -> Column:
-    return F.exists(constants([normal(p) for p in V.CONTENTS_OPENINGS]), lambda p: F.startswith(normalized(text), p))
+def contents_opening(text: str | Column, norm: Column | None = None) -> Column:
+    opened = lambda n: F.exists(constants([normal(p) for p in V.CONTENTS_OPENINGS]), lambda p: F.startswith(n, p))
+    return bound(normalized(text) if norm is None else norm, opened)
 
 
 def front_page_name(name: str | Column) -> Column:

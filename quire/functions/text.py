@@ -44,9 +44,15 @@ def normalized(c: str | Column) -> Column:
     characters become spaces anyway, so no Unicode normalisation is needed. Null counts as empty.
     """
     source, target = _plain_letters()
-    plain = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), source + "’`", target + "''")
-    words = F.regexp_replace(F.regexp_replace(plain, r"\p{Mn}", ""), r"[^0-9a-z']+", " ")
-    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
+
+    def plain(low: Column) -> Column:
+        # Translation looks every character up, so texts in ASCII are spared it.
+        letters = F.regexp_replace(F.translate(low, source + "’", target + "'"), r"\p{Mn}", "")
+        return F.regexp_replace(F.when(low.rlike(r"[^\x00-\x7F]"), letters).otherwise(low), r"[^0-9a-z'`]+", " ")
+
+    words = bound(F.lower(F.coalesce(col(c), F.lit(""))), plain)
+    # A backtick is an apostrophe; what it would have joined to spaces is unchanged.
+    return F.concat(F.lit(" "), F.trim(F.replace(words, F.lit("`"), F.lit("'"))), F.lit(" "))
 
 
 def normal(text: str | None) -> str:
@@ -95,19 +101,35 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(long)
 
 
+def _ranges(chars: str, gap: int = 24) -> str:
+    """A Java class of few ranges that holds these characters and some near them: what it rejects has none of them."""
+    points = sorted({ord(c) for c in chars})
+    spans = [[points[0], points[0]]]
+    for p in points[1:]:
+        if p - spans[-1][1] > gap:
+            spans.append([p, p])
+        spans[-1][1] = p
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def caseless(c: str | Column) -> Column:
     """Case folding as far as it keeps a text's length: letters that fold to several characters stay as they are."""
     source, target, _ = _folds()
-    return F.translate(F.lower(F.translate(col(c), "İ", "i")), source, target)
+    low = F.lower(F.replace(col(c), F.lit("İ"), F.lit("i")))
+    return bound(low, lambda x: F.when(x.rlike(_ranges(source)), F.translate(x, source, target)).otherwise(x))
 
 
 def casefold(c: str | Column) -> Column:
-    """Caseless form of a text: lower case, and the foldings that go beyond it."""
+    """Caseless form of a text: lower case, and the foldings that go beyond it, where a text has such letters at all."""
     source, target, long = _folds()
-    out = F.translate(F.lower(col(c)), source, target)
-    pairs = F.transform(constants([char + fold for char, fold in long]), lambda p: F.struct(F.left(p, F.lit(1)).alias("c"), F.substring(p, 2, 9).alias("f")))
-    wide = F.aggregate(pairs, out, lambda t, p: F.replace(t, p["c"], p["f"]))
-    return F.when(out.rlike("[" + "".join(c for c, _ in long) + "]"), wide).otherwise(out)
+    rare = [(char, fold) for char, fold in long if char != "ß"]
+    pairs = F.transform(constants([char + fold for char, fold in rare]), lambda p: F.struct(F.left(p, F.lit(1)).alias("c"), F.substring(p, 2, 9).alias("f")))
+
+    def fold(low: Column) -> Column:
+        wide = F.aggregate(pairs, F.translate(low, source, target), lambda t, p: F.replace(t, p["c"], p["f"]))
+        return F.when(low.rlike(r"[^\x00-\x7F]") & low.rlike(_ranges(source + "".join(char for char, _ in rare))), wide).otherwise(low)
+
+    return bound(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), fold)
 
 
 def fingerprint(c: str | Column, length: int = 24) -> Column:

@@ -209,7 +209,8 @@ def lexical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text predicates of the marginal rules over every line."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) != ''")
-    own = lambda f: f("line")
+    lines = lines.withColumn("norm", T.normalized("line"))
+    own = lambda f: f("line", norm=F.col("norm"))
     flags = lines.select("doc_id", "pos", own(legal).alias("legal"), own(promotion).alias("promotion"), own(editorial_credits).alias("credits"), own(user_licence).alias("licence"), own(backlist).alias("backlist"), own(contents_opening).alias("contents"), own(short_dedication).alias("dedication"))
     return flags.where("legal or promotion or credits or licence or backlist or contents or dedication")
 
