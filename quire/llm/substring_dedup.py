@@ -1,8 +1,8 @@
 """Substring dedup by hashing the units of lines: of equal units anywhere in the corpus the earliest is kept.
 
-A unit is a sentence of a line, so that a passage is found wherever it stands, also behind other text on its line. What is
-removed are whole lines all of whose units occur earlier, and runs of such units of at least MIN_RUN words; a sentence that
-only happens to be said again stays.
+A unit is a sentence of a line, so that a passage is found wherever it stands, also behind other text on its line. Short
+sentences in a row are hashed as one. What is removed are whole lines all of whose units occur earlier, however short, and
+runs of such units of at least MIN_RUN words; a sentence that only happens to be said again stays.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from quire.llm.shared import durable, hint_small, text_key
 
 UNITS = "doc_id long, tkey long, unit int, start int, digest binary"
 NAMES = ["doc_id", "tkey", "unit", "start", "digest"]
-MIN_WORDS = 5  # shorter units are not hashed; they go with their neighbours
+MIN_WORDS = 5  # shorter units are hashed in runs, not one by one
 MIN_RUN = 15
-SENTENCE = re.compile("[.!?…]*[^.!?…]+[.!?…]*")
+SENTENCE = re.compile("[.!?…]*[^.!?…]+[.!?…]*|[.!?…]+")
 RESULT = "doc_id long, text string, n_units long, n_removed long, removed string"
 
 
@@ -39,14 +39,27 @@ def _count(words: str) -> int:
     return words.count(" ") + 1
 
 
+def items(own: list[tuple[int, int, int, str]], min_words: int) -> list[range]:
+    """What is hashed of these units, in order: each of min_words words or more, and each run of shorter ones within a line."""
+    out: list[range] = []
+    for i, u in enumerate(own):
+        short = _count(u[3]) < min_words
+        if short and out and i and own[i - 1][0] == u[0] and _count(own[i - 1][3]) < min_words:
+            out[-1] = range(out[-1].start, i + 1)
+        else:
+            out.append(range(i, i + 1))
+    return out
+
+
 def _hash(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for i, (_, start, _, words) in enumerate(units(text or "")):
-                    if _count(words) >= min_words:
-                        rows.append((doc_id, tkey, i, start, blake2b(words.encode(), digest_size=16).digest()))
+                own = units(text or "")
+                for item in items(own, min_words):
+                    words = " ".join(own[i][3] for i in item)
+                    rows.append((doc_id, tkey, item.start, own[item.start][1], blake2b(words.encode(), digest_size=16).digest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
 
@@ -73,16 +86,18 @@ def repeats(hashed: DataFrame) -> DataFrame:
 def remove(text: str, earlier: dict[int, tuple[int | None, int]], min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> tuple[str, int, list[str]]:
     """(text that is left, number of units, removed) for a text and its units that occur earlier, with where.
 
-    A unit too short to be hashed belongs to a run if hashed units before and behind it do, or if the rest of its line does.
+    A run of short units stands in earlier by its first. Short units that do not occur earlier still belong to a run if
+    hashed units before and behind them do, or if all longer units of their line do.
     """
     own = units(text)
+    again = {i for item in items(own, min_words) if item.start in earlier for i in item}
     hashed = [_count(u[3]) >= min_words for u in own]
     lines: dict[int, list[int]] = {}
     for i, u in enumerate(own):
         lines.setdefault(u[0], []).append(i)
-    whole = {n for n, us in lines.items() if any(hashed[i] for i in us) and all(i in earlier or not hashed[i] for i in us)}
-    # Between two hashed units that occur earlier, short ones are part of the run.
-    marked = [i in earlier or own[i][0] in whole for i in range(len(own))]
+    whole = {n for n, us in lines.items() if all(i in again for i in us) or (any(hashed[i] for i in us) and all(i in again or not hashed[i] for i in us))}
+    # Between two units that occur earlier, short ones are part of the run.
+    marked = [i in again or own[i][0] in whole for i in range(len(own))]
     last = None
     for i in range(len(own)):
         if marked[i]:
@@ -141,7 +156,8 @@ def drop_repeated_units(docs: DataFrame, *, min_words: int = MIN_WORDS, min_run:
 
     Units are parts of lines up to and with their closing marks (. ! ? …), equal if their lower-cased words are. The
     earliest by doc_id, then by place, stays. removed lists the others as start:stop:first_doc_id:first_start in code points
-    of the original text, comma-joined by place, without the last two for units too short to be hashed. A line of which
+    of the original text, comma-joined by place; the last two are missing for short units, except the first of a run that occurs earlier as a
+    whole. Units shorter than min_words are compared as runs within a line, so equal lines and exact copies always go. A line of which
     nothing is left goes with its newline. Rows without id rank last. Null text stays null, with 0 units. Rows that repeat an
     id and its text are one document: a unit is not removed in favour of its like there, and each row gets the same result.
     Other columns are ignored.

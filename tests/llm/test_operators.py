@@ -42,6 +42,30 @@ def test_passages_are_found_inside_of_lines(spark):
     assert got[3].text == rows[2][1]  # one sentence alone is no passage
 
 
+def test_short_sentences_that_repeat_go(spark):
+    """Equal lines and exact copies go whatever their sentences are; what is not repeated stays."""
+    marks = "\n".join(" ".join(f"word{i + k}!!" for k in range(8)) for i in range(20))
+    rows = [(1, marks), (2, marks), (3, "Yes.\nBut this line stands nowhere else in here."), (4, "It says 3.14 at a.example.org. No. Yes.\nYes.\n..."), (5, "It says 3.14 at a.example.org. No. Yes.\nNo.\n...")]
+    got = {r.doc_id: r for r in substring_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == marks and got[1].n_removed == 0
+    assert got[2].text == "" and got[2].n_removed == 160 and got[2].removed.startswith("0:7:1:0,")
+    assert got[3].text == rows[2][1]
+    assert got[4].text == "It says 3.14 at a.example.org. No. Yes.\n..."
+    assert got[5].text == "No."
+
+
+def test_exact_copies_lose_all(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = result(spark, sf, "op1_substring_dedup")
+    first = {}
+    copies = [k for k in sorted(docs) if first.setdefault(docs[k], k) != k]
+    assert copies and not any(got[k].text.strip() for k in copies)
+    old = brute.substring_dedup(list(docs.items()))
+    spans = lambda s: {tuple(x.split(":")[:2]) for x in s.split(",")}
+    assert all(spans(old[k][3]) <= spans(got[k].removed) for k in docs if old[k][3])  # nothing stays that went before
+
+
 def test_personal_data(spark, sf, docs):
     got = result(spark, sf, "op2_pii_spans")
     some = 0
