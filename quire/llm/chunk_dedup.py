@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines ends a chunk wherever its value is 0 modulo a divisor. Whether a line ends
-a chunk depends on the lines just before it alone, so a passage that stands after other text in another document is cut at
-the same lines there. Chunks of several lines that occur again in the corpus are compared byte by byte with the earliest
-of their digest and removed.
+A rolling hash over the hashes of the last lines with a word ends a chunk where its value is 0 modulo a divisor and is not
+so a line later, so that a chunk has LEAST such lines. Whether a line ends a chunk depends on the lines just beside it
+alone, so a passage that stands after other text in another document is cut at the same lines there. Chunks that occur again in the corpus are compared byte by byte with the
+earliest of their digest and removed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from quire.llm.shared import durable, hint_small, text_key
 
 DIVISOR = 3  # so many lines make a chunk on average
 LINES = 2  # that the rolling hash covers
-MOST_LINES = 64  # in a chunk
+LEAST = 2  # lines with a word in a chunk, except where a whole text has fewer
+MOST_LINES = 64  # in a chunk, if LEAST of them have a word
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 CHUNKS = "doc_id long, tkey long, chunk int, start int, stop int, n_lines int, digest binary"
 _NAMES = ["doc_id", "tkey", "chunk", "start", "stop", "n_lines", "digest"]
@@ -29,22 +30,44 @@ _OUT = pow(_BASE, LINES, _MOD)
 
 
 def split_chunks(text: str) -> Iterator[tuple[int, int, int]]:
-    """(start, stop, lines with a word) of consecutive chunks that make up the whole text, newlines included."""
-    rolling, window, start, at, worded, n = 0, [], 0, 0, 0, 0
+    """(start, stop, lines with a word) of consecutive chunks that make up the whole text, newlines included.
+
+    What is left at the end with fewer than LEAST such lines belongs to the chunk before. A text with one such line is one
+    chunk and counts as LEAST, so that its copies are found too.
+    """
+    held: tuple[int, int, int] | None = None
     lines = text.split("\n")
     last = len(lines) - 1
-    for i, line in enumerate(lines):
+    rolling, window = 0, []
+    low: list[bool | None] = []  # None for a line without a word
+    for line in lines:
+        if not line.strip():
+            low.append(None)
+            continue
         h = xxhash.xxh3_64_intdigest(line.encode())
         rolling = (rolling * _BASE + h) % _MOD
         window.append(h)
         if len(window) > LINES:
             rolling = (rolling - window.pop(0) * _OUT) % _MOD
+        low.append(rolling % DIVISOR == 0)
+    ends, later = [False] * len(lines), False
+    for i in range(last, -1, -1):
+        if low[i] is not None:
+            ends[i], later = low[i] and not later, low[i]
+    start, at, worded, n = 0, 0, 0, 0
+    for i, line in enumerate(lines):
         at += len(line) + (i < last)
-        worded += bool(line.strip())
+        worded += low[i] is not None
         n += 1
-        if i == last or rolling % DIVISOR == 0 or n == MOST_LINES:
-            yield start, at, worded
+        if worded >= LEAST and (ends[i] or n >= MOST_LINES):
+            if held:
+                yield held
+            held = start, at, worded
             start, worded, n = at, 0, 0
+    if held:
+        yield held if worded >= LEAST else (held[0], at, held[2] + worded)
+    if not held or worded >= LEAST:
+        yield start, at, max(worded, LEAST) if worded else 0
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +76,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, tkey, value in zip(*(batch.column(i) for i in range(3)), strict=True):
             text = value.as_py()
             for k, (a, b, lines) in enumerate(split_chunks(text) if text else ()):
-                if lines > 1:
+                if lines >= LEAST:
                     rows.append((doc_id.as_py(), tkey.as_py(), k, a, b, lines, xxhash.xxh3_128_digest(text[a:b].rstrip("\n").encode())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
@@ -62,7 +85,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every row of docs: doc_id, text without repeated chunks, n_removed, removed.
 
-    Candidates are chunks with at least two lines that have a word. Of those with equal bytes the earliest by doc_id (null
+    Candidates are all chunks with a word; split_chunks gives them two lines with a word at least, if the text has. Of those with equal bytes the earliest by doc_id (null
     last), then by place, stays; removed lists the others as start:stop:first_doc_id:first_start in code points of the
     original text, comma-joined by place. A chunk's last newline goes with it but does not count in the comparison, since
     a text may end there. Null texts stay null. Rows that repeat an id and its text are one document and get the same

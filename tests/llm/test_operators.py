@@ -113,6 +113,24 @@ def test_chunk_dedup(spark, sf, docs):
     assert any(r.n_removed for r in got.values())
 
 
+def test_exact_copies_are_whole_chunks(spark):
+    """Every chunk is a candidate, also a text of one line, so that nothing of a copy stays."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for text in [*docs.values(), "one line", "one line\n", "a\n\nb\n\n\nc", "\n\na\n"]:
+        parts = list(chunk_dedup.split_chunks(text))
+        assert "".join(text[a:b] for a, b, _ in parts) == text
+        worded = sum(bool(line.strip()) for line in text.split("\n"))
+        assert all(n >= 2 for *_, n in parts) or not worded
+        assert sum(n for *_, n in parts) == worded or (len(parts) == 1 and worded < 2)
+    got = {r.doc_id: r for r in queries.op4_line_chunk_dedup(spark, "/root/testdata/sf0.01").collect()}
+    first = {}
+    copies = [k for k in sorted(docs) if first.setdefault(docs[k], k) != k]
+    assert copies and not any(got[k].text.strip() for k in copies)
+    rows = [(1, "one line alone"), (2, "one line alone"), (3, "  "), (4, "  ")]
+    got = {r.doc_id: r.text for r in chunk_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "one line alone", 2: "", 3: "  ", 4: "  "}
+
+
 def test_chunks_resist_shifts():
     lines = [f"line {i} of a passage that stands in several documents" for i in range(40)]
     parts = lambda text: {text[a:b].rstrip("\n") for a, b, _ in chunk_dedup.split_chunks(text)}
