@@ -280,9 +280,9 @@ def note_graph_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as templates of their first forty words: families of those that share most."""
+    """Documents as templates of all their distinct words: families of those that share most."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null")
-    tokens = F.array_distinct(F.slice(S.words(F.lower("text")), 1, 40))
+    tokens = F.array_distinct(S.words(F.lower("text")))
     books = docs.select(F.col("doc_id").alias("book_id"), tokens.alias("template"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("template_id"))
     return families.families(books).select(F.col("book_id").alias("doc_id"), "family")
 
