@@ -53,35 +53,51 @@ def _index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
 
 
 def _step(values: DataFrame, name: str) -> Column:
-    """Order-preserving step of a string column: how many of at most 31 cut points, quantiles of its distinct values, it reaches."""
-    tiled = values.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_tile", F.ntile(1 << BITS).over(Window.orderBy(name)))
-    cuts = [r["cut"] for r in tiled.groupBy("_tile").agg(F.min(name).alias("cut")).orderBy("_tile").collect()][1:]
-    reached = [F.when(F.col(name) >= cut, 1).otherwise(0) for cut in cuts]
-    return sum(reached, F.lit(0)).cast("int")
+    """Order-preserving step of a string column: how many of at most 31 cut points, quantiles of its distinct values, it reaches.
+
+    The distinct values are dealt by range, and the cut points are read off by rank from the counts of the partitions, so
+    that a column with very many values never meets in one task.
+    """
+    each = values.select(F.col(name).alias("v")).where("v is not null").distinct()
+    dealt = durable(each.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "sharding-values")
+    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    total, tiles = sum(counts.values()), 1 << BITS
+    wanted, before = [], 0
+    firsts = sorted({-(-t * total // tiles) for t in range(1, tiles)} - {0, total})
+    for part in sorted(counts):
+        wanted += [(part, r - before + 1) for r in firsts if before <= r < before + counts[part]]
+        before += counts[part]
+    if not wanted:
+        return F.lit(0)
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("v")))
+    ranks = F.broadcast(dealt.sparkSession.createDataFrame(wanted, "part int, r int"))
+    cuts = [r["v"] for r in ranked.join(ranks, ["part", "r"]).collect()]  # fewer than 32
+    return sum([F.when(F.col(name) >= cut, 1).otherwise(0) for cut in cuts], F.lit(0)).cast("int")
 
 
-def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, size, text_crc32, size_step, lang_step, source_step, curve for every row; null text: size 1, sum 0."""
+def placed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row: Column | None = None
+) -> DataFrame:
+    """doc_id, size, text_crc32, size_step, lang_step, source_step, curve for every row; null text: size 1, sum 0.
+
+    row: what else to carry along, as a column row.
+    """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    slim = durable(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")),
-        "sharding-slim",
-    )
+    size, crc = (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)
+    own = docs.select(
+        F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
+        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *([] if row is None else [row.alias("row")]),
+    )
+    slim = durable(own, "sharding-slim") if row is None else own
     size_step = F.least(F.floor(F.log2(F.col("size").cast("double")) * 1.5), F.lit((1 << BITS) - 1)).cast("int")
     steps = slim.select("*", size_step.alias("size_step"), _step(slim, "lang").alias("lang_step"), _step(slim, "source").alias("source_step"))
     return steps.withColumn("curve", _index("size_step", "lang_step", "source_step"))
 
 
-def shard(docs: DataFrame, shards: int = 16, **columns: str) -> DataFrame:
-    """One row for every row of docs, with its shard and its slot there, by equal numbers of rows along the curve.
-
-    Rows are ranked by (curve, doc_id, size, text_crc32); shard s takes ranks ceil(s n / shards) up to the next, so that
-    counts differ by one at most, and slots count from 0. Ranks come from a range partitioning and the partitions' counts:
-    no partition has to hold a whole cell, since ids divide cells. Nulls rank first. Rows equal in all four are
-    interchangeable. No rows give none. Columns beside the four named ones are ignored.
-    """
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """rows with shard and slot added; they have curve, doc_id, size and text_crc32, by which they are ranked."""
     order = ["curve", "doc_id", "size", "text_crc32"]
-    dealt = durable(placed(docs, **columns).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sharding-runs")
+    dealt = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sharding-runs")
     counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a number a partition
     total, starts, before = sum(counts.values()), [], 0
     for part in sorted(counts):
@@ -91,21 +107,41 @@ def shard(docs: DataFrame, shards: int = 16, **columns: str) -> DataFrame:
     rank = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_start")).cast("long")
     at = F.floor(F.col("_rank") * shards / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int")
     first = F.ceil(F.col("shard").cast("decimal(38,0)") * F.lit(total) / shards).cast("long")
-    return (
-        dealt.join(F.broadcast(offsets), "_part")
-        .withColumn("_rank", rank)
-        .withColumn("shard", at)
-        .withColumn("slot", F.col("_rank") - first)
-        .select("doc_id", "size", "text_crc32", "shard", "slot", "curve", "size_step", "lang_step", "source_step")
-    )
+    ranked = dealt.join(F.broadcast(offsets), "_part").withColumn("_rank", rank)
+    return ranked.withColumn("shard", at).withColumn("slot", F.col("_rank") - first)
+
+
+def shard(docs: DataFrame, shards: int = 16, **columns: str) -> DataFrame:
+    """One row for every row of docs, with its shard and its slot there, by equal numbers of rows along the curve.
+
+    Rows are ranked by (curve, doc_id, size, text_crc32); shard s takes ranks ceil(s n / shards) up to the next, so that
+    counts differ by one at most, and slots count from 0. Ranks come from a range partitioning and the partitions' counts:
+    no partition has to hold a whole cell, since ids divide cells. Nulls rank first. Rows equal in all four are
+    interchangeable. No rows give none. Columns beside the four named ones are ignored.
+    """
+    own = ["doc_id", "size", "text_crc32", "shard", "slot", "curve", "size_step", "lang_step", "source_step"]
+    return _dealt(placed(docs, **columns), shards).select(*own)
+
+
+def sharded(docs: DataFrame, shards: int = 16, **columns: str) -> DataFrame:
+    """Every row of docs with all its columns, and its shard and slot as shard() deals them.
+
+    A row travels whole, so rows that repeat an id, a text or everything come out as often as they went in, each with a
+    slot of its own. shard and slot are the last two columns; columns of docs with these names are replaced. Nulls, empty
+    texts and tables without rows are handled as in shard().
+    """
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = _dealt(placed(docs, row=F.struct("*"), **columns), shards)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], "shard", "slot")
 
 
-def write_shards(docs: DataFrame, assignment: DataFrame, path: str) -> None:
-    """Writes docs under path/shard=N, each file in the order of the slots.
+def write_shards(docs: DataFrame, shards: int | DataFrame, path: str, **columns: str) -> None:
+    """Writes the rows of sharded(docs) under path/shard=N, each file in the order of its column slot.
 
-    docs are joined to their shard and slot on doc_id and the text's sum, so doc_id must not repeat with an equal text.
+    shards is their number, or an assignment that shard() made for docs, whose number of shards is taken: rows fall into
+    the same shards and slots again. As many rows are written as docs has, whatever repeats in it.
     """
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    slots = assignment.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    both = docs.join(slots, docs["doc_id"].eqNullSafe(slots["_id"]) & (crc == slots["_crc"])).drop("_id", "_crc")
-    both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if isinstance(shards, DataFrame):
+        shards = (shards.agg(F.max("shard").alias("s")).first()["s"] or 0) + 1
+    rows = sharded(docs, shards, **columns)
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

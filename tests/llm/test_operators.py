@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, queries, sharding, substring_dedup
@@ -139,6 +140,28 @@ def test_chunks_resist_shifts():
     assert "".join(other[a:b] for a, b, _ in chunk_dedup.split_chunks(other)) == other
 
 
+def test_no_window_survives(spark):
+    """The stage leaves no run of 13 words of an item, however little of a document it is, and takes nothing else."""
+    sf = "/root/testdata/sf0.01"
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in frame.collect()]
+    kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, frame, sf).collect()}
+    wins = {tuple(ws[i : i + 13]) for ws in (brute.alnum(t) for _, t in items) for i in range(max(len(ws) - 13, 0) + 1)}
+    has = lambda text: any(tuple(ws[i : i + 13]) in wins for ws in [brute.alnum(text)] for i in range(len(ws)))
+    dirty = {d for d, t in docs if has(t)}
+    assert dirty and set(kept) == {d for d, _ in docs} - dirty
+
+
+def test_bit_table(spark):
+    values = np.random.default_rng(1).integers(0, 1 << 64, 3000, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "shingle long")
+    table = decontamination.bit_table(frame)
+    assert table.has(values).all()
+    assert table.has(np.random.default_rng(2).integers(0, 1 << 64, 3000, dtype=np.uint64)).mean() < 0.05
+    assert not decontamination.bit_table(frame.limit(0)).has(values).any()
+
+
 @pytest.mark.parametrize("block_size", [200_000, 300])
 def test_decontamination(spark, sf, docs, block_size):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -200,6 +223,31 @@ def test_write_shards(spark, sf, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
 
 
+def test_write_mixed_shards(spark, sf, tmp_path):
+    """A mix repeats rows; all of them are written, also beside columns that are called shard and slot."""
+    rows = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("shard", F.lit("x")).withColumn("slot", F.lit(None))
+    n = rows.count()
+    want = Counter(r.doc_id for r in rows.collect())
+    assert n > len(want)
+    for name, shards in (("number", 4), ("assignment", sharding.shard(rows, 4))):
+        sharding.write_shards(rows, shards, f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        assert Counter(r.doc_id for r in back) == want
+        per = Counter(r.shard for r in back)
+        assert len({(r.shard, r.slot) for r in back}) == n and max(per.values()) - min(per.values()) <= 1
+    first = next((tmp_path / "number" / "shard=2").glob("*.parquet"))
+    slots = [r.slot for r in spark.read.parquet(str(first)).collect()]
+    assert slots == sorted(slots)
+
+
+def test_steps_are_quantiles(spark):
+    frame = spark.createDataFrame([(f"s{i:03d}",) for i in range(200) for _ in range(1 + i % 3)] + [(None,)], "source string")
+    step = {r.source: r.s for r in frame.select("source", sharding._step(frame, "source").alias("s")).collect()}
+    values = [step[k] for k in sorted(k for k in step if k)]
+    assert values == sorted(values) and set(Counter(values).values()) <= {6, 7} and len(set(values)) == 32
+    assert {r.s for r in frame.limit(0).union(frame.where("source is null")).select(sharding._step(frame.limit(0), "source").alias("s")).collect()} == {0}
+
+
 def test_near_duplicates(spark, docs):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     small = [(r.doc_id, r.text) for r in frame.collect()]
