@@ -19,10 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for an intermediate table or folder of this application."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read back."""
-    path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df, written as Parquet to the shared folder and read back: the lineage ends there.
+
+    A lost executor then costs a reread of files, not a rerun of what led to them, and a second consumer does not
+    compute the table again. release() deletes all such tables of an application.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
