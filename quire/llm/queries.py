@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, sharding, substring_dedup, warc
-from quire.llm.shared import table, work_dir
+from quire.llm.shared import table
+from quire.sources.tables import new_path
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{work_dir(spark)}/quire/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")  # among the intermediate tables, so that release() deletes it with them
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.parse_records(warc.read_records(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    own = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.parse_records(warc.read_records(spark, path)).select(*own)
 
 
 _QUERIES = (

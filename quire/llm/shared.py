@@ -1,44 +1,17 @@
-"""Helpers that several operators use: durable tables, table access and small column idioms."""
+"""Helpers that several operators use: table access, joins by counted size and small column idioms."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.tables import durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir where the cluster sets it.
-
-    Only a local master may fall back to a temporary folder, since there driver and executors are one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the lineage ends there.
-
-    A lost executor then costs a reread of files, not a rerun of what led to them, and a second consumer does not
-    compute the table again.
-    """
-    path = f"{work_dir(df.sparkSession)}/quire/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: str | Column = "text") -> Column:
     """Tells rows of one id with different texts apart; null counts as its own value."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text, F.isnull(text))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import durable
+from quire.llm.shared import durable, hint_small
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BROADCAST_IDS = 2_000_000  # revisiting ids (16 MB) up to which they are broadcast; above, both sides are shuffled
@@ -64,8 +64,9 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
         "warc-slim",
     )
     first = slim.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-    # Only digests that occur again need the join; the rest are responses.
-    again = slim.join(first.where("n > 1"), "sha256", "left")
+    # Only digests that occur again need the join; the rest are responses. They are written first: broadcast if they are
+    # few, else both sides of the join are scans, whose exchange adaptive execution splits where a digest is hot.
+    again = slim.join(hint_small(first.where("n > 1"), "warc-again"), "sha256", "left")
     revisit = (F.col("payload_bytes") >= least) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
     again.withColumn("header", _header(kind)).select("header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
