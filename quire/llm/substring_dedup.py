@@ -1,8 +1,8 @@
-"""Substring dedup by hashing the units of lines: of equal units anywhere in the corpus the earliest is kept.
+"""Substring dedup by hashing lines: of equal units anywhere in the corpus the earliest is kept and the rest is removed.
 
-A unit is a sentence of a line, so that a passage is found wherever it stands, also behind other text on its line. Short
-sentences in a row are hashed as one. What is removed are whole lines all of whose units occur earlier, however short, and
-runs of such units of at least MIN_RUN words; a sentence that only happens to be said again stays.
+A unit is a line, whatever its length. A passage that was put behind other text on its line is no line there, so of lines
+that hold more than one sentence the long sentences are units as well, nested in the line's. Both kinds have their digest
+in one table: a sentence is also found where it stands as a line of its own.
 """
 
 from __future__ import annotations
@@ -18,50 +18,44 @@ from pyspark.sql import functions as F
 from quire.llm.bytesops import slices
 from quire.llm.shared import durable, hint_small, text_key
 
-UNITS = "doc_id long, tkey long, unit int, start int, digest binary"
-NAMES = ["doc_id", "tkey", "unit", "start", "digest"]
-MIN_WORDS = 5  # shorter units are hashed in runs, not one by one
-MIN_RUN = 15
+LONG = 10  # words from which a sentence inside of a line is a unit
 SENTENCE = re.compile("[.!?…]*[^.!?…]+[.!?…]*|[.!?…]+")
-RESULT = "doc_id long, text string, n_units long, n_removed long, removed string"
-
-
-def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(line, start, stop, words) of the units in order; words are lower-cased and have one space between them."""
-    out, at = [], 0
-    for number, line in enumerate(text.split("\n")):
-        out += [(number, at + m.start(), at + m.end(), " ".join(m.group().lower().split())) for m in SENTENCE.finditer(line)]
+UNITS = "doc_id long, tkey long, start int, stop int, line boolean, digest binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+_NAMES = ["doc_id", "tkey", "start", "stop", "line", "digest"]
+RESULT = "doc_id long, text string, n_removed long, removed string"
+
+
+def normalised(text: str) -> bytes:
+    """Lower-cased words with one space between them; ASCII whitespace parts words."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split())
+
+
+def units(text: str, long: int = LONG) -> Iterator[tuple[int, int, bool, bytes]]:
+    """(start, stop, whether a line, words) of the units of a text, each line before the sentences in it."""
+    at = 0
+    for line in text.split("\n"):
+        words = normalised(line)
+        if words:
+            yield at, at + len(line), True, words
+            if words.count(b" ") >= long:
+                parts = [(m.start(), m.end(), normalised(m.group())) for m in SENTENCE.finditer(line)]
+                if sum(1 for p in parts if p[2]) > 1:
+                    for start, stop, own in parts:
+                        if own.count(b" ") >= long - 1:
+                            yield at + start, at + stop, False, own
         at += len(line) + 1
-    return [u for u in out if u[3]]
-
-
-def _count(words: str) -> int:
-    return words.count(" ") + 1
-
-
-def items(own: list[tuple[int, int, int, str]], min_words: int) -> list[range]:
-    """What is hashed of these units, in order: each of min_words words or more, and each run of shorter ones within a line."""
-    out: list[range] = []
-    for i, u in enumerate(own):
-        short = _count(u[3]) < min_words
-        if short and out and i and own[i - 1][0] == u[0] and _count(own[i - 1][3]) < min_words:
-            out[-1] = range(out[-1].start, i + 1)
-        else:
-            out.append(range(i, i + 1))
-    return out
 
 
-def _hash(min_words: int):
+def _hash(long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, tkey, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = units(text or "")
-                for item in items(own, min_words):
-                    words = " ".join(own[i][3] for i in item)
-                    rows.append((doc_id, tkey, item.start, own[item.start][1], blake2b(words.encode(), digest_size=16).digest()))
+                for start, stop, line, words in units(text or "", long):
+                    rows.append((doc_id, tkey, start, stop, line, blake2b(words, digest_size=16).digest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     return run
 
@@ -78,95 +72,92 @@ def repeats(hashed: DataFrame) -> DataFrame:
     task. What occurs again is written first: if that is little it goes to all tasks, else both sides of the join come
     straight from a shuffle, which adaptive execution splits where it is skewed.
     """
-    first = hashed.groupBy("digest").agg(F.min(rank("unit", "tkey", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit")) & (F.col("tkey") == F.col("first.tkey"))
+    first = hashed.groupBy("digest").agg(F.min(rank("start", "tkey")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("tkey") == F.col("first.tkey"))
     return hashed.join(hint_small(first, "substring-first"), "digest").where(~same)
 
 
-def remove(text: str, earlier: dict[int, tuple[int | None, int]], min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> tuple[str, int, list[str]]:
-    """(text that is left, number of units, removed) for a text and its units that occur earlier, with where.
-
-    A run of short units stands in earlier by its first. Short units that do not occur earlier still belong to a run if
-    hashed units before and behind them do, or if all longer units of their line do.
-    """
-    own = units(text)
-    again = {i for item in items(own, min_words) if item.start in earlier for i in item}
-    hashed = [_count(u[3]) >= min_words for u in own]
-    lines: dict[int, list[int]] = {}
-    for i, u in enumerate(own):
-        lines.setdefault(u[0], []).append(i)
-    whole = {n for n, us in lines.items() if all(i in again for i in us) or (any(hashed[i] for i in us) and all(i in again or not hashed[i] for i in us))}
-    # Between two units that occur earlier, short ones are part of the run.
-    marked = [i in again or own[i][0] in whole for i in range(len(own))]
-    last = None
-    for i in range(len(own)):
-        if marked[i]:
-            if last is not None and not any(hashed[j] for j in range(last + 1, i)):
-                marked[last + 1 : i] = [True] * (i - last - 1)
-            last = i
-        elif hashed[i]:
-            last = None
-    gone: list[int] = []
-    i = 0
-    while i < len(own):
-        j = i
-        while j < len(own) and marked[j]:
-            j += 1
-        run = range(i, j)
-        if sum(_count(own[k][3]) for k in run) >= min_run:
-            gone += run
+def remove(text: str, gone: list[tuple[int, int, bool, int | None, int]]) -> tuple[str, list[str]]:
+    """(text that is left, what was removed) for a text and its units that occur earlier: start, stop, line, where."""
+    lines = {g[0]: g for g in gone if g[2]}
+    nested = sorted(g for g in gone if not g[2])
+    out, removed, at, k = [], [], 0, 0
+    for line in text.split("\n"):
+        end, first = at + len(line), k
+        while k < len(nested) and nested[k][0] < end:
+            k += 1
+        if at in lines:
+            removed.append(lines[at])
+        elif k == first:
+            out.append(line)
         else:
-            gone += [k for k in run if own[k][0] in whole]
-        i = max(j, i + 1)
-    out, at, removed = [], 0, set(gone)
-    for number, line in enumerate(text.split("\n")):
-        cut = [own[i] for i in lines.get(number, ()) if i in removed]
-        kept, place = [], at
-        for _, start, stop, _ in cut:
-            kept.append(text[place:start])
-            place = stop
-        kept.append(text[place : at + len(line)])
-        rest = "".join(kept)
-        if not cut or rest.strip():
-            out.append(rest)
-        at += len(line) + 1
-    says = lambda i: f"{own[i][1]}:{own[i][2]}:" + (f"{'' if earlier[i][0] is None else earlier[i][0]}:{earlier[i][1]}" if i in earlier else ":")
-    return "\n".join(out), len(own), [says(i) for i in gone]
-
-
-def _rebuild(min_words: int, min_run: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for doc_id, text, gone in zip(ids, texts, found, strict=True):
-                if text is None:
-                    out.append((doc_id, None, 0, 0, ""))
-                    continue
-                left, n, says = remove(text, {g["unit"]: (g["first_doc"], g["first_start"]) for g in gone or ()}, min_words, min_run)
-                out.append((doc_id, left, n, len(says), ",".join(says)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "text", "n_units", "n_removed", "removed"])
-
-    return run
-
-
-def drop_repeated_units(docs: DataFrame, *, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every row of docs: doc_id, text without repeated units, n_units, n_removed, removed.
-
-    Units are parts of lines up to and with their closing marks (. ! ? …), equal if their lower-cased words are. The
-    earliest by doc_id, then by place, stays. removed lists the others as start:stop:first_doc_id:first_start in code points
-    of the original text, comma-joined by place; the last two are missing for short units, except the first of a run that occurs earlier as a
-    whole. Units shorter than min_words are compared as runs within a line, so equal lines and exact copies always go. A line of which
-    nothing is left goes with its newline. Rows without id rank last. Null text stays null, with 0 units. Rows that repeat an
-    id and its text are one document: a unit is not removed in favour of its like there, and each row gets the same result.
-    Other columns are ignored.
+            places = [at, *[x for g in nested[first:k] for x in g[:2]], end]
+            rest = "".join(text[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
+            if normalised(rest):
+                out.append(rest)
+            removed += nested[first:k]
+        at = end + 1
+    return "\n".join(out), [f"{a}:{b}:{'' if doc is None else doc}:{place}" for a, b, _, doc, place in removed]
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = []
+        for doc_id, text, gone in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            says: list[str] = []
+            if gone:
+                text, says = remove(text, [(g["start"], g["stop"], g["line"], g["first_doc"], g["first_start"]) for g in gone])
+            out.append((doc_id, text, len(says), ",".join(says)))
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        cols = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_removed", "removed"])
+
+
+def drop_repeated_units(docs: DataFrame, *, long: int = LONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for every row of docs: doc_id, text without repeated units, n_removed, removed.
+
+    Units are equal if their lower-cased words are. The earliest by doc_id, then by place, stays; all others go, whatever
+    their length. removed lists them as start:stop:first_doc_id:first_start in code points of the original text,
+    comma-joined by place; sentences of a removed line are not listed. A removed line goes with its newline, and so does a
+    line whose sentences all went. long: words from which a sentence of a longer line is a unit. Lines without a word stay.
+    Rows without id rank last. Null text stays null. Rows that repeat an id and its text are one document: a unit is not
+    removed in favour of its like there, and each row gets the same result. Other columns are ignored. No rows give none.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = own.select("doc_id", text_key().alias("tkey"), "text")
-    hashed = durable(keyed.mapInArrow(_hash(min_words), UNITS), "substring-units")
-    item = F.struct("unit", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    hashed = durable(keyed.mapInArrow(_hash(long), UNITS), "substring-units")
+    item = F.struct("start", "stop", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     gone = repeats(hashed).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_set(item).alias("gone"))
     gone = hint_small(gone, "substring-gone", F.size("gone"))
     both = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["tkey"] == gone["_key"]), "left")
-    return both.select("doc_id", "text", "gone").mapInArrow(_rebuild(min_words, min_run), RESULT)
+    return both.select("doc_id", "text", "gone").mapInArrow(_rebuild, RESULT)
+
+
+ORACLE = """
+WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+             array_to_string(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM l0),
+p0 AS (SELECT doc_id, i, start AS line_start, unnest(ps) AS piece, generate_subscripts(ps, 1) AS j
+       FROM (SELECT *, regexp_extract_all(line, '[.!?…]*[^.!?…]+[.!?…]*|[.!?…]+') AS ps FROM l WHERE w <> '')),
+p AS (SELECT *, (line_start + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
+             regexp_extract_all(lower(piece), '[^\\x20\\x09-\\x0D]+') AS ws FROM p0),
+s AS (SELECT *, count(*) FILTER (len(ws) > 0) OVER (PARTITION BY doc_id, i) AS worded FROM p),
+u AS (SELECT doc_id, i, 0 AS j, start, start + length(line) AS stop, w FROM l WHERE w <> ''
+      UNION ALL SELECT doc_id, i, j, start, start + length(piece), array_to_string(ws, ' ') FROM s WHERE worded > 1 AND len(ws) >= 10),
+r AS (SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS first_doc, first_value(start) OVER o AS first_start
+      FROM u WINDOW o AS (PARTITION BY w ORDER BY doc_id, start)),
+g AS (SELECT * FROM r WHERE n > 1),
+gl AS (SELECT * FROM g WHERE j = 0),
+gs AS (SELECT g.* FROM g ANTI JOIN gl USING (doc_id, i) WHERE g.j > 0),
+cut AS (SELECT p.doc_id, p.i, string_agg(p.piece, '' ORDER BY p.j) FILTER (gs.j IS NULL) AS rest
+        FROM p JOIN (SELECT DISTINCT doc_id, i FROM gs) USING (doc_id, i) LEFT JOIN gs ON gs.doc_id = p.doc_id AND gs.i = p.i AND gs.j = p.j GROUP BY p.doc_id, p.i),
+left_ AS (SELECT l.doc_id, string_agg(CASE WHEN cut.doc_id IS NULL THEN l.line ELSE cut.rest END, chr(10) ORDER BY l.i) AS text
+          FROM l LEFT JOIN cut ON cut.doc_id = l.doc_id AND cut.i = l.i ANTI JOIN gl ON gl.doc_id = l.doc_id AND gl.i = l.i
+          WHERE cut.doc_id IS NULL OR regexp_matches(coalesce(cut.rest, ''), '[^\\x20\\x09-\\x0D]') GROUP BY l.doc_id),
+says AS (SELECT doc_id, count(*) AS n, string_agg(start || ':' || stop || ':' || first_doc || ':' || first_start, ',' ORDER BY start) AS removed
+         FROM (SELECT * FROM gl UNION ALL SELECT * FROM gs) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_.text, '') END AS text,
+       coalesce(says.n, 0)::BIGINT AS n_removed, coalesce(says.removed, '') AS removed
+FROM documents d LEFT JOIN left_ USING (doc_id) LEFT JOIN says USING (doc_id)
+"""

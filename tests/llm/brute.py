@@ -14,46 +14,46 @@ def alnum(text):
     return ALNUM.findall((text or "").translate(LOWER))
 
 
-def substring_dedup(docs, min_words=5, min_run=15):
-    """docs: (doc_id, text) with distinct ids. Marks words instead of runs of units, line by line."""
-    pattern = re.compile("[.!?…]*[^.!?…]+[.!?…]*")
+def sentences(line):
+    """(start, stop) of the parts of a line, each up to and with its closing marks; marks at the start belong to the first."""
+    out, start, body = [], 0, False
+    for i, c in enumerate(line):
+        if c in ".!?…":
+            continue
+        if body and line[i - 1] in ".!?…":
+            out.append((start, i))
+            start = i
+        body = True
+    return [*out, (start, len(line))] if line else []
+
+
+def substring_dedup(docs, long=10):
+    """docs: (doc_id, text) with distinct ids. Goes through all texts in order and remembers every unit it has met."""
+    say = lambda words: " ".join(words).lower()
     seen, out = {}, {}
     for doc_id, text in sorted(docs, key=lambda d: d[0]):
         if text is None:
-            out[doc_id] = (None, 0, 0, "")
+            out[doc_id] = (None, 0, "")
             continue
-        found, at = [], 0  # line, start, stop, words, first place or None, hashed
-        for n, line in enumerate(text.split("\n")):
-            for m in pattern.finditer(line):
-                words = m.group().lower().split()
-                if words:
-                    here = (doc_id, at + m.start())
-                    first = seen.setdefault(" ".join(words), here) if len(words) >= min_words else None
-                    found.append([n, at + m.start(), at + m.end(), len(words), first if first != here else None, first is not None])
-            at += len(line) + 1
-        of_line = defaultdict(list)
-        for u in found:
-            of_line[u[0]].append(u)
-        whole = {n for n, us in of_line.items() if any(u[5] for u in us) and all(u[4] or not u[5] for u in us)}
-        state = ["r" if u[4] or u[0] in whole else "k" if u[5] else "s" for u in found]
-        # Short units between repeated ones join them.
-        marks = re.sub("(?<=r)s+(?=r)", lambda m: "r" * len(m.group()), "".join(state))
-        gone = set()
-        for m in re.finditer("r+", marks):
-            span = range(m.start(), m.end())
-            long = sum(found[i][3] for i in span) >= min_run
-            gone |= {i for i in span if long or found[i][0] in whole}
-        lines, at = [], 0
-        for n, line in enumerate(text.split("\n")):
-            mine = [found[i] for i in sorted(gone) if found[i][0] == n]
-            rest = line
-            for u in reversed(mine):
-                rest = rest[: u[1] - at] + rest[u[2] - at :]
-            if not mine or rest.strip():
-                lines.append(rest)
+        left, says, at = [], [], 0
+        for line in text.split("\n"):
+            here = [(at, at + len(line), SPACED.findall(line))]
+            parts = [(at + a, at + b, SPACED.findall(line[a:b])) for a, b in sentences(line)]
+            parts = parts if sum(bool(p[2]) for p in parts) > 1 else []
+            first = [seen.setdefault(say(ws), (doc_id, a)) for a, b, ws in here]
+            inner = [seen.setdefault(say(ws), (doc_id, a)) if len(ws) >= long else (doc_id, a) for a, b, ws in parts]
+            if not here[0][2]:
+                left.append(line)
+            elif first[0] != (doc_id, at):
+                says.append(f"{at}:{at + len(line)}:{first[0][0]}:{first[0][1]}")
+            else:
+                gone = [k for k, p in enumerate(parts) if inner[k] != (doc_id, p[0])]
+                says += [f"{parts[k][0]}:{parts[k][1]}:{inner[k][0]}:{inner[k][1]}" for k in gone]
+                rest = "".join(text[a:b] for k, (a, b, _) in enumerate(parts) if k not in gone) if gone else line
+                if SPACED.search(rest):
+                    left.append(rest)
             at += len(line) + 1
-        says = [f"{found[i][1]}:{found[i][2]}:" + (f"{found[i][4][0]}:{found[i][4][1]}" if found[i][4] else ":") for i in sorted(gone)]
-        out[doc_id] = ("\n".join(lines), len(found), len(says), ",".join(says))
+        out[doc_id] = ("\n".join(left), len(says), ",".join(says))
     return out
 
 
