@@ -27,7 +27,7 @@ WINDOW = 13
 SHINGLE = 5
 BLOCK = 200_000  # filed windows up to which they are broadcast (about 50 MB); more are joined by a shuffle
 MOST_BITS = 28  # the bit table has at most 2**28 bits, 32 MB
-PAGE = 16  # and is put together from pages of 2**16 bits
+PAGE = 12  # and is put together from pages of 2**12 bits
 WINDOWS = "item_id string, window string, shingles array<struct<shingle: long, place: int>>"
 _SHINGLES = pa.list_(pa.struct([("shingle", pa.int64()), ("place", pa.int32())]))
 CANDIDATES = "doc_id long, tkey long, n_words long, found array<struct<shingle: long, place: long, lead: int, around: string>>"
