@@ -2,11 +2,13 @@
 
 Documents are sets of hashed five-word shingles. Those with equal sets are one class, which its least document stands for.
 Classes that share a band of MinHash values are candidates: 40 bands of 6 values miss a pair of similarity 0.8 with a
-chance of 5e-6. Classes are linked to the least class of each shared band only, so a band that any number of classes
-share makes one row each; the components of these links hold all candidate pairs. A component is compared in tiles of two
-blocks of bounded size. Inside a tile MinHash values are compared 30 at a time, and a pair is dropped as soon as the
-posterior probability of a similarity of at least the threshold, from a uniform prior, falls below the tolerance. What is
-left is verified on the shingle sets. A tile returns counts of links and a spanning forest, not pairs.
+chance of 5e-6. Candidates are compared in tiles. A class's home is the largest band group that it is in; the classes of a
+home make one block, or several of bounded size; and two blocks (or one with itself) make a tile if classes of both share
+a band. Only such classes go into the tile, so a chain of templates, each like the next, takes tiles in proportion to its
+length and not to the square, while a group of near copies of any size meets in a few blocks. Every pair falls into one
+tile. There pairs that share a band are compared by MinHash values, 30 at a time, and dropped as soon as the posterior
+probability of a similarity of at least the threshold, from a uniform prior, falls below the tolerance. What is left is
+verified on the shingle sets. A tile returns counts of links and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ STEP = 30
 TOLERANCE = 1e-6
 BLOCK = 512  # classes in one side of a tile
 BLOCK_SHINGLES = 1_000_000  # and shingles, about
+GROUP = 256  # classes and
+GROUP_SHINGLES = 500_000  # shingles of small tiles that are compared in one call, about
+MEMBERS = "node binary, signature binary, shingles binary"
 SLIM = "doc_id long, tkey long, n_shingles long, node binary, bands array<long>"
 LINKED = "node binary, root binary, n_texts long, n_docs long"
 _A = (mix64(np.arange(1, K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -108,16 +113,42 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
-    """For each i of left the j of right (beyond i where left is right) with a Jaccard similarity of at least threshold."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature and shingle set of texts (node, text), both as bytes."""
+    for batch in batches:
+        for a in range(0, len(batch), 500):
+            part = batch.slice(a, 500)
+            sets = list(shingle_sets(part.column(1)))
+            cols = [part.column(0), pa.array([s.tobytes() for s in signatures(sets)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "signature", "shingles"])
+
+
+def candidates(signature: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) matrix of the pairs that share a band; of one side with itself, each pair once."""
+    if len(left) * len(right) <= 4096:  # few: compare each value at once
+        equal = signature[left][:, None] == signature[right][None]
+        out = equal.reshape(len(left), len(right), BANDS, ROWS).all(-1).any(-1)
+    else:
+        keys, out = band_keys(signature), np.zeros((len(left), len(right)), bool)
+        for b in range(BANDS):
+            place = np.argsort(keys[right, b], kind="stable")
+            lo, hi = (np.searchsorted(keys[right[place], b], keys[left, b], side) for side in ("left", "right"))
+            for i in np.flatnonzero(hi > lo):
+                out[i, place[lo[i] : hi[i]]] = True
+    return np.triu(out, 1) if left is right else out
+
+
+def linked_pairs(
+    sets: list[np.ndarray], signature: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD
+) -> Iterator[tuple[int, np.ndarray]]:
+    """For each i of left the j of right with a Jaccard similarity of at least threshold."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    signature, least = signatures(sets), least_matches(threshold)
+    least, pairs = least_matches(threshold), candidates(signature, left, right)
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum([0, *sizes[:-1]])
     marked = np.zeros(len(ids), bool)
-    same = left is right
     for n, i in enumerate(left):
-        js = right[n + 1 :] if same else right
+        js = right[pairs[n]]
         js = js[(np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i]) - 1e-9)]
         matches = np.zeros(len(js), np.int64)
         for k in range(0, K, STEP):
@@ -141,21 +172,17 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 
 
 def _compare(threshold: float):
-    def run(tile: pa.Table) -> pa.Table:
-        tile = tile.combine_chunks()
-        label, ti, tj, block = (np.array(tile.column(c).to_pylist(), object if c == "label" else np.int64) for c in ("label", "ti", "tj", "block"))
-        copies = tile.column("copies").to_numpy()
-        nodes = tile.column("node").to_pylist()
-        texts = tile.column("text")
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks == 1 else pa.concat_arrays(texts.chunks)
-        every = list(shingle_sets(texts))
-        groups: dict[tuple, list[int]] = {}
-        for r, key in enumerate(zip(label, ti, tj, strict=True)):
-            groups.setdefault(key, []).append(r)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ta, tb, block, copies = (table.column(c).to_numpy() for c in ("ta", "tb", "block", "copies"))
+        nodes = table.column("node").to_pylist()
+        every = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        signed = np.stack([np.frombuffer(x, np.uint32) for x in table.column("signature").to_pylist()])
+        order = np.lexsort((tb, ta))
+        cuts = np.flatnonzero((np.diff(ta[order]) != 0) | (np.diff(tb[order]) != 0)) + 1
         out: list[tuple] = []
-        for (_, a, b), members in groups.items():
-            rows = np.array(members)
-            sets = [every[r] for r in members]
+        for rows in np.split(order, cuts):
+            a, b = ta[rows[0]], tb[rows[0]]
             n_texts, n_docs, root = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), list(range(len(rows)))
 
             def top(x: int, root: list[int] = root) -> int:
@@ -164,10 +191,11 @@ def _compare(threshold: float):
                     x = root[x]
                 return x
 
-            at = np.arange(len(rows))
-            left = at[block[rows] == a]
-            right = left if a == b else at[block[rows] == b]
-            for i, js in linked_pairs(sets, left, right, threshold):
+            left = np.flatnonzero(block[rows] == a)
+            right = left if a == b else np.flatnonzero(block[rows] == b)
+            if not len(left) or not len(right):
+                continue
+            for i, js in linked_pairs([every[r] for r in rows], signed[rows], left, right, threshold):
                 n_texts[i] += len(js)
                 n_docs[i] += copies[rows[js]].sum()
                 n_texts[js] += 1
@@ -177,52 +205,69 @@ def _compare(threshold: float):
                     if x != y:
                         root[max(x, y)] = min(x, y)
             for i in np.flatnonzero(n_texts).tolist():
-                out.append((nodes[members[i]], nodes[members[top(i)]], int(n_texts[i]), int(n_docs[i])))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["node", "root", "n_texts", "n_docs"])
+                out.append((nodes[rows[i]], nodes[rows[top(i)]], int(n_texts[i]), int(n_docs[i])))
+        cols, types = list(zip(*out, strict=True)) or [()] * 4, (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["node", "root", "n_texts", "n_docs"])
 
     return run
 
 
+def tiles(classes: DataFrame) -> DataFrame:
+    """(node, ta, tb, block, copies, group): which class goes into which tiles (ta <= tb), and as a row of which block.
+
+    classes: node, n_shingles, copies, bands. Band groups, homes and blocks are handled as keys and counts only. A group is
+    what one call compares: a large tile, or small ones of about GROUP classes and GROUP_SHINGLES shingles together.
+    """
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = durable(banded.join(hint_small(sizes, "jaccard-bands"), "key"), "jaccard-shared")
+    home = shared.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("home"))
+    housed = durable(home.join(classes.select("node", "copies", "n_shingles"), "node"), "jaccard-homes")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    n_blocks = hint_small(housed.groupBy("home").agg(blocks.alias("blocks")), "jaccard-blocks")
+    number = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = durable(housed.join(n_blocks, "home").select("node", "copies", "n_shingles", F.xxhash64("home", number).alias("block")), "jaccard-placed")
+    inside = durable(shared.select("node", "key").join(hint_small(placed.select("node", "block"), "jaccard-block-of"), "node"), "jaccard-inside")
+    # Band groups as lists of blocks, not of classes: at most one in BLOCK of a large home's classes is a block of its own.
+    each = inside.groupBy("key", "block").agg(F.count("*").alias("n"))
+    met = hint_small(each.groupBy("key").agg(F.collect_list(F.struct("block", "n")).alias("met")), "jaccard-met", F.size("met"))
+    to = inside.join(met, "key").select("node", "block", F.explode(F.filter("met", lambda m: (m["block"] != F.col("block")) | (m["n"] > 1))).alias("m"))
+    rows = to.select("node", "block", F.least("block", "m.block").alias("ta"), F.greatest("block", "m.block").alias("tb")).distinct()
+    rows = durable(rows.join(hint_small(placed.drop("block"), "jaccard-weights"), "node"), "jaccard-tile-rows")
+    totals = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
+    bins = max(1, totals["n"] // GROUP, (totals["s"] or 0) // GROUP_SHINGLES)
+    weights = rows.groupBy("ta", "tb").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    large = weights.where((F.col("_n") > GROUP) | (F.col("_s") > GROUP_SHINGLES)).select("ta", "tb", F.lit(True).alias("alone"))
+    group = F.when(F.col("alone"), F.xxhash64("ta", "tb")).otherwise(F.pmod(F.xxhash64("ta", "tb"), F.lit(bins)))
+    return rows.join(hint_small(large, "jaccard-large"), ["ta", "tb"], "left").select("node", "ta", "tb", "block", "copies", group.alias("group"))
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tkey, class_id, copy_of, n_copies, n_text_links, n_links, is_head for every row of docs.
 
     Words are runs of ASCII letters and digits and other than ASCII characters, A-Z in lower case. class_id is the least
     doc_id of those that links lead to, n_links the number of other rows with a similarity of at least threshold (copies
-    included), is_head whether the row stands for its class, n_text_links the number of different shingle sets among them, copy_of the least doc_id with the same set
-    and n_copies the rows with it. Every pair of different sets is counted; none is returned. Texts without words (null,
+    included), is_head whether the row stands for its class, n_text_links the number of different shingle sets among them,
+    copy_of the least doc_id with the same set and n_copies the rows with it. Every pair of different sets is counted; none is returned. Texts without words (null,
     empty) are linked to nothing and are classes of their own. Rows that repeat an id count as rows. Null ids come after
     all others. Other columns are ignored. threshold must be 0.8 or more for the bands' chance of a miss to hold.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key().alias("tkey"), "text")
     slim = durable(keyed.mapInArrow(_slim, SLIM), "jaccard-slim")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tkey"))
-    classes = durable(
-        slim.where("node is not null").groupBy("node").agg(first.alias("f"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select("node", F.col("f.doc_id").alias("rep_id"), F.col("f.tkey").alias("rep_key"), "copies", "n_shingles", "bands"),
-        "jaccard-classes",
-    )
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    least = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    least = hint_small(least, "jaccard-bands")
-    stars = banded.join(least, "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    inside = durable(connected(stars, "jaccard-candidates").join(classes.drop("bands"), "node"), "jaccard-members")
-    sizes = inside.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("label", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    n_members = inside.count()
-    bins = max(1, n_members // 256)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
-    tiles = (
-        inside.join(sizes, "label")
-        .withColumn("block", block)
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
-        .select("label", "node", "rep_id", "rep_key", "copies", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "blocks")
-        # Small components share a group, a large one has a group a tile.
-        .withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label", "ti", "tj")))
-        .drop("blocks")
-    )
-    texts = keyed.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "text").dropDuplicates(["_id", "_key"]) if _repeats(slim) else keyed.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "text")
-    tiles = hint_small(tiles, "jaccard-tiles")
-    with_text = texts.join(tiles, texts["_id"].eqNullSafe(tiles["rep_id"]) & (texts["_key"] == tiles["rep_key"])).drop("_id", "_key", "rep_id", "rep_key")
-    compared = durable(with_text.groupBy("group").applyInArrow(_compare(threshold), LINKED), "jaccard-links")
+    equal = slim.where("node is not null").groupBy("node")
+    equal = equal.agg(first.alias("f"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    rep = (F.col("f.doc_id").alias("rep_id"), F.col("f.tkey").alias("rep_key"))
+    classes = durable(equal.select("node", *rep, "copies", "n_shingles", "bands"), "jaccard-classes")
+    placed = hint_small(tiles(classes), "jaccard-tiles")
+    # Every class that has a candidate is shingled and signed once; its tiles get the results, not the text.
+    needed = hint_small(placed.select("node").distinct().join(classes.select("node", "rep_id", "rep_key"), "node"), "jaccard-needed")
+    texts = keyed.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "text")
+    if _repeats(slim):
+        texts = texts.dropDuplicates(["_id", "_key"])
+    chosen = texts.join(needed, texts["_id"].eqNullSafe(needed["rep_id"]) & (texts["_key"] == needed["rep_key"])).select("node", "text")
+    members = durable(chosen.mapInArrow(_members, MEMBERS), "jaccard-members")
+    compared = durable(members.join(placed, "node").groupBy("group").applyInArrow(_compare(threshold), LINKED), "jaccard-links")
     counts = compared.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     label = connected(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     named = classes.select("node", "rep_id", "rep_key", "copies").join(label, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -281,6 +281,41 @@ def test_near_duplicates_in_tiles(spark, monkeypatch):
     assert got == brute.near_duplicates(rows)
 
 
+def test_chains_take_tiles_in_proportion(spark, monkeypatch):
+    """Documents of a chain, each like the next at 0.6, are one component of candidates; compared are those near each other."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    n, step = 600, 30
+    stream = [f"w{i}" for i in range(step * n + 150)]
+    rows = [(d, " ".join(stream[d * step : d * step + 124])) for d in range(n)]
+    slim = spark.createDataFrame([(d, 0, t) for d, t in rows], "doc_id long, tkey long, text string").mapInArrow(jaccard._slim, jaccard.SLIM)
+    placed = jaccard.tiles(slim.selectExpr("node", "n_shingles", "1L as copies", "bands")).collect()
+    sides = Counter((r.ta, r.tb, r.block) for r in placed)
+    pairs = sum(sides[a, b, a] * (sides[a, b, a] - 1) // 2 if a == b else sides[a, b, a] * sides[a, b, b] for a, b in {(r.ta, r.tb) for r in placed})
+    near = {}
+    for r in slim.collect():
+        for k in r.bands:
+            near.setdefault(k, set()).add(bytes(r.node))
+    candidates = {frozenset((a, b)) for ns in near.values() for a in ns for b in ns if a < b}
+    assert len(candidates) > n / 2 and pairs < 3 * len(candidates) and len(placed) < 20 * n
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_candidates_are_pairs_that_share_a_band():
+    """Both ways of finding them, for one side with itself and for two."""
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(10)]
+    sets = [np.unique(np.concatenate([base[i % 10][: 25 + i % 13], rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for i in range(140)]
+    signature = jaccard.signatures(sets)
+    keys = jaccard.band_keys(signature)
+    want = (keys[:, None] == keys[None]).any(-1)
+    some, all_, rest = np.arange(30), np.arange(140), np.arange(30, 140)
+    assert (jaccard.candidates(signature, some, rest[:60]) == want[np.ix_(some, rest[:60])]).all()
+    assert (jaccard.candidates(signature, all_, all_) == np.triu(want, 1)).all()
+    assert (jaccard.candidates(signature, rest, some[:20]) == want[np.ix_(rest, some[:20])]).all()
+    assert (jaccard.candidates(signature, rest, all_) == want[np.ix_(rest, all_)]).all() and want.sum() > 200
+
+
 def test_bayesian_bound():
     least = jaccard.least_matches()
     assert all(0 < least[n] < 0.8 * n for n in least)
