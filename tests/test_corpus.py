@@ -235,6 +235,22 @@ def test_audit(spark, book):
     assert sorted(sent) == sorted(before)
 
 
+def test_answers_are_kept_in_a_table(spark, book, tmp_path):
+    """A second audit asks nothing, whatever executor it runs on; another backend's answers are others."""
+    plan, store = book.audit_requests(), str(tmp_path / "answers")
+    first = audit.answer(plan, Reviewer(), store=store).collect()
+    again = audit.answer(plan, Reviewer(), store=store).collect()
+    key = lambda r: (r.book_id, r.name, r.call)
+    assert len(first) == plan.count() == len(again) and not any(r.cached for r in first) and all(r.cached for r in again)
+    assert {key(r): r.data for r in first} == {key(r): r.data for r in again}
+    assert spark.read.parquet(store).count() == len(first)
+
+    class Other(Reviewer):
+        pass
+
+    assert not any(r.cached for r in audit.answer(plan, Other(), store=store).collect())
+
+
 def test_audit_can_be_stopped(book):
     plan = book.audit_requests()
     seen = []
