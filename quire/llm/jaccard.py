@@ -230,9 +230,13 @@ def tiles(classes: DataFrame) -> DataFrame:
     inside = durable(shared.select("node", "key").join(hint_small(placed.select("node", "block"), "jaccard-block-of"), "node"), "jaccard-inside")
     # Band groups as lists of blocks, not of classes: at most one in BLOCK of a large home's classes is a block of its own.
     each = inside.groupBy("key", "block").agg(F.count("*").alias("n"))
-    met = hint_small(each.groupBy("key").agg(F.collect_list(F.struct("block", "n")).alias("met")), "jaccard-met", F.size("met"))
-    to = inside.join(met, "key").select("node", "block", F.explode(F.filter("met", lambda m: (m["block"] != F.col("block")) | (m["n"] > 1))).alias("m"))
-    rows = to.select("node", "block", F.least("block", "m.block").alias("ta"), F.greatest("block", "m.block").alias("tb")).distinct()
+    lists = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("met"))
+    met = hint_small(lists, "jaccard-met", F.size("met"))
+    # The band groups of a dense group meet the same blocks, so their lists are put together before a class is dealt to them.
+    other = F.transform(F.filter("met", lambda m: (m["block"] != F.col("block")) | (m["n"] > 1)), lambda m: m["block"])
+    to = inside.join(met, "key").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set(other))).alias("to"))
+    rows = to.select("node", "block", F.explode("to").alias("other"))
+    rows = rows.select("node", "block", F.least("block", "other").alias("ta"), F.greatest("block", "other").alias("tb"))
     rows = durable(rows.join(hint_small(placed.drop("block"), "jaccard-weights"), "node"), "jaccard-tile-rows")
     totals = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
     bins = max(1, totals["n"] // GROUP, (totals["s"] or 0) // GROUP_SHINGLES)
