@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from quire.plans.oracles import ORACLES
+from quire.plans import epub_cases, rule_cases
+from quire.plans.oracles import ORACLES as _TABLE_ORACLES
 from quire.plans.table_queries import ALL
 
-QUERIES = {f.__name__: f for f in ALL}
+_CASES = (rule_cases.rule_cases, epub_cases.epub_books, epub_cases.epub_documents, epub_cases.epub_atoms, epub_cases.epub_links)
+
+QUERIES = {f.__name__: f for f in (*ALL, *_CASES)}
+ORACLES = _TABLE_ORACLES | {
+    "rule_cases": rule_cases.ORACLE,
+    "epub_books": epub_cases.BOOKS,
+    "epub_documents": epub_cases.DOCUMENTS,
+    "epub_atoms": epub_cases.ATOMS,
+    "epub_links": epub_cases.LINKS,
+}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,18 +1,19 @@
-"""Text functions as columns: normalisation, fingerprints, lexical reading of markup."""
+"""Text functions as columns: normalisation, fingerprints, the reader's view of markup."""
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Java class of the characters that count as whitespace, wider than Java's own \s.
 SPACE = r"[\s\p{Z}\x85\x1c-\x1f]"
-#: Containers that hold no visible text.
-HIDDEN = ("head", "script", "style", "nav", "svg")
 
 
 def col(c: str | Column) -> Column:
@@ -143,59 +144,64 @@ def joined_id(*parts: str | Column, length: int = 24) -> Column:
     return F.substring(F.sha2(F.encode(F.concat_ws("\0", *texts), "utf-8"), 256), 1, length)
 
 
-def drop_nav(html: str | Column) -> Column:
-    return F.regexp_replace(col(html), r"(?is)<nav\b.*?</nav\s*>", " ")
+def _by_reader(type_: str, read: Callable):
+    """A column function that hands values to the EPUB reader's own code, so that there is one reading of markup."""
 
+    @F.pandas_udf(type_)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else read(v)).astype(object)
 
-def strip_tags(html: str | Column) -> Column:
-    return F.regexp_replace(col(html), r"<[^>]+>", " ")
+    return run
+
+
+def _document(html: str) -> dict:
+    from quire.sources.epub import read_document  # the reader imports this package's vocabulary
+
+    return read_document(html.encode(), "", set())
+
+
+def _nav_titles(html: str) -> list[dict]:
+    from quire.sources.epub import nav_links
+
+    return [{"href": x.href, "title": x.label} for x in nav_links(html.encode()) if x.label and "landmarks" not in x.nav]
 
 
 def visible_text(html: str | Column) -> Column:
-    """Text outside of hidden containers, read lexically; entities stay as they are. For markup that is no well-formed XML."""
-    out = col(html)
-    for tag in HIDDEN:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    return squeeze(strip_tags(out))
+    """Text outside of hidden containers; of markup that is no well-formed XML read lexically, with its entities."""
+    return _by_reader("string", lambda h: _document(h)["text"])(col(html))
 
 
 def paragraphs(html: str | Column) -> Column:
     """Texts of the p elements that have any, in order."""
-    found = F.regexp_extract_all(drop_nav(html), F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))
-    return F.filter(F.transform(found, lambda p: squeeze(strip_tags(p))), lambda p: p != "")
+    return _by_reader("array<string>", lambda h: _document(h)["paragraphs"])(col(html))
 
 
 def heading(html: str | Column) -> Column:
     """struct(level, text) of the first h1-h6 element, null without one."""
-    pattern = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
-    level = F.nullif(F.regexp_extract(drop_nav(html), pattern, 1), F.lit(""))
-    text = F.nullif(squeeze(strip_tags(F.regexp_extract(drop_nav(html), pattern, 2))), F.lit(""))
-    return F.when(level.isNotNull() & text.isNotNull(), F.struct(level.cast("int").alias("level"), text.alias("text")))
 
+    def first(h: str) -> tuple | None:
+        found = _document(h)
+        return (int(found["title_source"][1:]), found["title"]) if found.get("title") else None
 
-def hrefs(html: str | Column) -> Column:
-    """Targets of links that do not leave the archive, read lexically."""
-    found = F.regexp_extract_all(drop_nav(html), F.lit(r"""(?i)<a\b[^>]*href\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    return F.filter(found, lambda h: ~h.rlike("^(?:https?://|mailto:)"))
+    said = _by_reader("string", lambda h: None if (f := first(h)) is None else json.dumps({"level": f[0], "text": f[1]}))(col(html))
+    return F.from_json(said, "struct<level:int,text:string>")
 
 
 def toc_links(html: str | Column) -> Column:
     """array<struct<href, title>> of the links in navigation elements other than landmarks, with a text, in order."""
-    navs = F.regexp_extract_all(col(html), F.lit(r"(?is)<nav\b.*?</nav\s*>"), F.lit(0))
-    kind = lambda n: F.lower(F.regexp_extract(n, r"""(?i)epub:type\s*=\s*["']([^"']+)["']""", 1))
-    link = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
-    pairs = lambda n: F.arrays_zip(F.regexp_extract_all(n, F.lit(link), F.lit(1)).alias("href"), F.transform(F.regexp_extract_all(n, F.lit(link), F.lit(2)), lambda t: squeeze(strip_tags(t))).alias("title"))
-    each = F.flatten(F.transform(F.filter(navs, lambda n: ~kind(n).contains("landmarks")), pairs))
-    return F.when(col(html).contains("<nav") | F.lower(col(html)).contains("<nav"), F.filter(each, lambda p: p["title"] != "")).otherwise(F.filter(each, lambda p: F.lit(False)))
+    return F.from_json(_by_reader("string", lambda h: json.dumps(_nav_titles(h)))(col(html)), "array<struct<href:string,title:string>>")
 
 
 def resolve(base: str | Column, href: str | Column) -> Column:
     """The path that href names from within the document base: without fragment, . and .. folded, percent-decoded."""
-    path = F.substring_index(col(href), "#", 1)
-    parts = F.concat(F.slice(F.split(col(base), "/"), F.lit(1), F.size(F.split(col(base), "/")) - 1), F.split(path, "/"))
-    step = lambda out, p: F.when(p.isin("", "."), out).when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p)))
-    folded = F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/")
-    return F.when(path == "", col(base)).otherwise(unquote(folded))
+
+    @F.pandas_udf("string")
+    def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
+        from quire.sources import epub
+
+        return pd.Series([None if b is None or h is None else epub.resolve(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
+
+    return run(col(base), col(href))
 
 
 def unquote(c: str | Column) -> Column:

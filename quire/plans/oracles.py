@@ -38,8 +38,9 @@ def _any(norm: str, values) -> str:
     return f"({_count(norm, values)} > 0)"
 
 
+BOOK = "concat(coalesce(source, ''), '-', doc_id // 500)"
 SEC = f"""sec AS (
-  SELECT doc_id, coalesce(source, '') AS book_id, doc_id::VARCHAR AS href, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS spine_index,
+  SELECT doc_id, {BOOK} AS book_id, doc_id::VARCHAR AS href, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) - 1 AS spine_index,
          {_squeeze('text')} AS text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_squeeze('x')}), lambda x: x <> '') AS ps, lang AS language
   FROM documents WHERE text IS NOT NULL)"""
 
@@ -104,8 +105,8 @@ verdict_c AS (SELECT *, CASE role WHEN 'note' THEN 'note' WHEN 'bibliography' TH
 ALL_VERDICTS = f"{SEC}, {MET}, {SHAPE}, {POS}, {VERDICT}"
 USE = "CASE category WHEN 'work_text' THEN 'main' WHEN 'note' THEN 'on_request' ELSE 'excluded' END"
 
-UNITS = f"""unit AS (SELECT coalesce(source, '') AS book_id, doc_id::VARCHAR AS unit_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord, {_squeeze('text')} AS text,
-    CASE lang WHEN 'en' THEN 'work_text' WHEN 'de' THEN 'note' WHEN 'fr' THEN 'bibliography' ELSE 'index' END AS category FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)"""
+UNITS = f"""unit AS (SELECT {BOOK} AS book_id, doc_id::VARCHAR AS unit_id, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) - 1 AS ord, {_squeeze('text')} AS text,
+    CASE lang WHEN 'en' THEN 'work_text' WHEN 'de' THEN 'note' WHEN 'fr' THEN 'bibliography' ELSE 'index' END AS category FROM documents WHERE text IS NOT NULL)"""
 
 
 def _seq(where: str = "true") -> str:
@@ -195,10 +196,10 @@ SELECT query, doc_id, start, start + n AS stop, trim(substr(text, start + 1, n))
 r AS (SELECT *, max(stop) OVER (PARTITION BY lang ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 g AS (SELECT *, sum(coalesce(start > reach, true)::INTEGER) OVER (PARTITION BY lang ORDER BY start, stop) AS island FROM r) SELECT lang, min(start) AS start, max(stop) AS stop FROM g GROUP BY lang, island""",
     "excerpts": f"WITH s AS (SELECT doc_id, {_squeeze('text')} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE left(t, 60) || ' [...] ' || right(t, 60) END AS excerpt FROM s",
-    "audit_batches": """WITH RECURSIVE d AS (SELECT coalesce(source, '') AS source, doc_id, length(text) AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
-b(source, doc_id, i, batch, items, size) AS (SELECT source, doc_id, i, 0, 1, s FROM d WHERE i = 1
-  UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN 1 ELSE b.items + 1 END, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN d.s ELSE b.size + d.s END FROM b JOIN d ON d.source = b.source AND d.i = b.i + 1)
-SELECT source, doc_id, batch FROM b""",
+    "audit_batches": f"""WITH RECURSIVE d AS (SELECT {BOOK} AS book_id, doc_id, length(text) AS s, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
+b(book_id, doc_id, i, batch, items, size) AS (SELECT book_id, doc_id, i, 0, 1, s FROM d WHERE i = 1
+  UNION ALL SELECT d.book_id, d.doc_id, d.i, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN 1 ELSE b.items + 1 END, CASE WHEN b.items >= 18 OR b.size + d.s > 24000 THEN d.s ELSE b.size + d.s END FROM b JOIN d ON d.book_id = b.book_id AND d.i = b.i + 1)
+SELECT book_id, doc_id, batch FROM b""",
     "packed_blocks": f"WITH RECURSIVE {SEC}, {PACK} SELECT href, i - 1 AS atom, block AS block_index FROM pack",
     "line_blocks": f"""WITH RECURSIVE {SEC}, {PACK},
 b AS (SELECT pack.href, block, min(pack.i) AS first, count(*) AS elements, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS text FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block)
@@ -209,10 +210,13 @@ f AS (SELECT doc_id, pos, ((contains(line, '©') OR {_any(_n, V.RIGHTS)}) AND {_
   {_any(_n, V.BACKLIST)} OR {_pairs} AS backlist, len(list_filter({_phrases(V.CONTENTS_OPENINGS)}, lambda p: starts_with(norm, p))) > 0 AS contents,
   len(string_split(trim(norm), ' ')) >= 2 AND list_contains([{', '.join(_q(p) for p in V.DEDICATION_PREPOSITIONS)}], split_part(trim(norm), ' ', 1)) AND ((len(string_split(trim(norm), ' ')) <= 8 AND length(trim(norm)) <= 80) OR (len(string_split(trim(norm), ' ')) <= 18 AND length(trim(norm)) <= 160 AND contains(line, ':') AND contains(line, ','))) AS dedication FROM l)
 SELECT * FROM f WHERE legal OR promotion OR credits OR licence OR backlist OR contents OR dedication""",
+    # A profile with one wrong fingerprint is rejected as a whole; else a block's correction goes before its document's.
     "profile_precedence": f"""WITH {ALL_VERDICTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-d AS (SELECT DISTINCT book_id FROM verdict_c JOIN lab USING (doc_id) WHERE toxic = 1)
-SELECT v.doc_id, CASE WHEN lab.quality = 0 THEN 'paratext' WHEN d.book_id IS NOT NULL THEN 'note' ELSE category END AS category, CASE WHEN lab.quality = 0 OR d.book_id IS NOT NULL THEN 'edition_profile' ELSE 'classifier' END AS source
-FROM verdict_c v LEFT JOIN lab ON lab.doc_id = v.doc_id LEFT JOIN d ON d.book_id = v.book_id""",
+v AS (SELECT v.doc_id, v.book_id, v.category, v.confidence, length(v.text) AS chars, quality, toxic FROM verdict_c v LEFT JOIN lab USING (doc_id)),
+shut AS (SELECT DISTINCT book_id FROM v WHERE quality = 0 AND doc_id % 23 = 5),
+w AS (SELECT v.*, shut.book_id IS NULL AS good, CASE WHEN quality = 0 THEN 'paratext' WHEN toxic = 1 THEN 'note' END AS said FROM v LEFT JOIN shut USING (book_id)),
+x AS (SELECT doc_id, good AND said IS NOT NULL AS changed, CASE WHEN good AND said IS NOT NULL THEN said ELSE category END AS category, confidence, good AND quality = 1 AND chars >= 40 AS cut FROM w)
+SELECT doc_id, category, {USE} AS use, (CASE WHEN changed THEN 1 ELSE confidence END)::DECIMAL(6,3) AS confidence, CASE WHEN changed THEN 'edition_profile' ELSE 'classifier' END AS source, coalesce(cut, false)::INTEGER AS ranges FROM x""",
     "range_split": f"""WITH {UNITS}, p AS (SELECT *, unnest(CASE WHEN length(text) < 100 THEN [[0, length(text), 0]] ELSE list_filter([[0, 10, 0], [10, 30, 1], [30, 60, 0], [60, 90, 2], [90, length(text), 0]], lambda x: x[1] < x[2]) END) AS c FROM unit)
 SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord, c[1]) - 1 AS "order", unit_id AS block_id, CASE c[3] WHEN 1 THEN 'note' WHEN 2 THEN 'index' ELSE category END AS category, substr(text, c[1] + 1, c[2] - c[1]) AS text FROM p""",
     "range_overlap_violations": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS start, l_partkey + l_quantity::BIGINT AS "end" FROM lineitem),

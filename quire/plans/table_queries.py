@@ -8,15 +8,18 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.lexical import backlist, category_of_role, contents_opening, editorial_credits, legal, promotion, short_dedication, title_role, use_of_category, user_licence
+from quire.functions.lexical import (
+    backlist, category_of_role, contents_opening, editorial_credits, legal, lookup, promotion, short_dedication, title_role, use_of_category, user_licence,
+)
 from quire.operators import audit, chunking, families, links, model, profiles, review, search, segment, sequences, signals, units, verdicts
 from quire.operators.rules import classify, context
 from quire.plans import standins as S
 from quire.plans.corpus import Corpus
+from quire.sources.tables import durable
 
 TITLES = (
     ("Note", "it"), ("Indice analitico", "it"), ("Il libro di larga circolazione", "it"), ("Prefazióne", "it"), ("Sources", "en"), ("Sources of the Nile", "en"), ("Table of Contents", "en"), ("Anhang", "de"), ("Ottocento", "it"),
@@ -49,8 +52,11 @@ def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _verdicts(spark, sf_dir).withColumn("category", category_of_role("role"))
-    return done.groupBy("book_id", "category").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("documents")).withColumn("use", use_of_category("category"))
+    """Characters of each book by category, summed over its documents' coverage; a document is one unit here."""
+    done = _verdicts(spark, sf_dir).withColumn("category", category_of_role("role")).withColumn("use", use_of_category("category"))
+    each = units.document_coverage(S.sections(spark, sf_dir), done.select("book_id", "href", "category", "use", "text"))
+    by = each.select("book_id", F.explode("by_category").alias("category", "c"))
+    return by.groupBy("book_id", "category").agg(F.sum("c").alias("chars"), F.count("*").alias("documents")).withColumn("use", use_of_category("category"))
 
 
 def title_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ def duplicate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.table(spark, sf_dir, "pages").where("html is not null")
-    return pages.select("page_id", T.visible_text(T.drop_nav("html")).alias("text"))
+    return pages.select("page_id", T.visible_text("html").alias("text"))
 
 
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +129,24 @@ def sequence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select("sequence_id", F.explode("units").alias("u")).select("sequence_id", "u.unit_id", "u.start", "u.stop")
 
 
+ROLE_CATEGORY = {"user": "work_text", "assistant": "note", "system": "paratext", "tool": "bibliography"}
+
+
 def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of turns of one role, as sequences are made of units."""
-    turns = S.table(spark, sf_dir, "conversations")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    new = F.coalesce((F.col("role") != F.lag("role").over(order)) | (F.col("turn") != F.lag("turn").over(order) + 1), F.lit(True))
-    runs = turns.withColumn("run", F.sum(new.cast("int")).over(order))
-    return runs.groupBy("conv_id", "run", "role").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).alias("chars"))
+    """Runs of turns of one role: sequences of units, with the role as category."""
+    turns = S.table(spark, sf_dir, "conversations").where("text is not null")
+    empty = F.array().cast("array<string>")
+    spots = F.array().cast("array<struct<xpath:string,start:int,stop:int,fingerprint:string,source_start:int>>")
+    category = F.coalesce(lookup(ROLE_CATEGORY, F.col("role")), F.lit("index"))
+    own = turns.select(
+        F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("order"), F.col("turn").cast("string").alias("unit_id"), F.lit("c").alias("href"), "text", F.lit(None).cast("string").alias("title"),
+        category.alias("category"), use_of_category(category).alias("use"), F.lit(1.0).alias("confidence"), F.lit("role").alias("source"), empty.alias("evidence"), spots.alias("fragments"),
+    )
+    runs = sequences.sequences(own, "all")
+    role = lookup({c: r for r, c in ROLE_CATEGORY.items()}, F.col("category"))
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("first_order"))
+    chars = F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + F.length(u["text"]))
+    return runs.select(F.col("book_id").cast("long").alias("conv_id"), number.alias("run"), role.alias("role"), F.size("units").alias("turns"), F.col("first_order").alias("first_turn"), chars.alias("chars"))
 
 
 def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +208,8 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").where("text is not null").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.length("text").alias("size"))
-    return audit.numbered_batches(docs, ["source"], "doc_id", "size", 18, 24_000).select("source", "doc_id", "batch")
+    docs = S.table(spark, sf_dir, "documents").where("text is not null").select(S.book_of().alias("book_id"), "doc_id", F.length("text").alias("size"))
+    return audit.numbered_batches(docs, ["book_id"], "doc_id", "size", 18, 24_000).select("book_id", "doc_id", "batch")
 
 
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,19 +234,45 @@ def lexical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into blocks, classified by the whole cascade."""
-    blocks = segment.blocks(S.line_atoms(spark, sf_dir))
-    facts = context(S.books(spark, sf_dir), _verdicts(spark, sf_dir).drop("doc_id", "language"), blocks)
+    blocks = durable(segment.blocks(S.line_atoms(spark, sf_dir)), "cascade-blocks")  # each is used more than once
+    said = durable(_verdicts(spark, sf_dir).drop("doc_id", "language"), "cascade-verdicts")
+    facts = context(S.books(spark, sf_dir), said, blocks)
     return classify(facts).select("href", "block_index", "rule_id", "role", F.col("confidence").cast("decimal(6,3)").alias("confidence"), "category", "use")
 
 
 def profile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections from labels: a document's (by its source) yields to a block's (by its id); no other changes."""
-    v = _verdicts(spark, sf_dir).select("doc_id", "book_id", "role", category_of_role("role").alias("category"))
+    """Profiles made of labels, written as JSON, read and applied: toxic documents are notes, bad ones paratext by their
+    block, good ones have a range. A wrong fingerprint in a book rejects its profile."""
+    book = F.sha2(F.encode("book_id", "utf-8"), 256)
+    v = _verdicts(spark, sf_dir).select("doc_id", book.alias("book_id"), "href", "text", "confidence", category_of_role("role").alias("category"))
+    blocks = v.select(
+        "*", F.concat(F.lit("b"), "href").alias("block_id"), F.lit("/p[1]").alias("xpath"), T.fingerprint("text", 20).alias("fingerprint"),
+        use_of_category("category").alias("use"), F.lit("classifier").alias("source"), F.array().cast("array<string>").alias("evidence"),
+    )
+    blocks = durable(blocks, "profile-blocks")
     labels = S.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    of_block = labels.where("quality = 0").select("doc_id", F.lit("paratext").alias("of_block"))
-    of_document = v.join(labels.where("toxic = 1"), "doc_id").select("book_id").distinct().withColumn("of_document", F.lit("note"))
-    both = v.join(of_block, "doc_id", "left").join(of_document, "book_id", "left")
-    return both.select("doc_id", F.coalesce("of_block", "of_document", "category").alias("category"), F.when(F.col("of_block").isNotNull() | F.col("of_document").isNotNull(), "edition_profile").otherwise("classifier").alias("source"))
+    known = blocks.join(labels, "doc_id")
+    none, blank = F.lit(None), F.lit("")
+
+    def note(rows: DataFrame, scope: str, label: str, start: Column = none, stop: Column = none, print_: Column = blank) -> DataFrame:
+        block, place = (F.lit(""), F.lit("")) if scope == "document" else (F.col("block_id"), F.col("xpath"))
+        return rows.select(
+            "book_id", F.lit(scope).alias("scope"), F.lit(label).alias("label"), "href", block.alias("block_id"), place.alias("xpath"), F.col("fingerprint"), F.concat(F.lit("r"), "href").alias("range_id"),
+            start.cast("int").alias("start"), stop.cast("int").alias("end"), print_.alias("text_fingerprint"), blank.alias("note"), F.lit("2024-01-01").alias("updated_at"),
+        )
+
+    wrong = F.when(F.col("doc_id") % 23 == 5, F.lit("0" * 20)).otherwise(F.col("fingerprint"))
+    said = note(known.where("toxic = 1"), "document", "note").unionByName(note(known.where("quality = 0").withColumn("fingerprint", wrong), "block", "paratext"))
+    within = T.fingerprint(F.substring("text", 11, 20), 20)
+    said = said.unionByName(note(known.where("quality = 1 and length(text) >= 40"), "range", "index", F.lit(10), F.lit(30), within))
+    books = blocks.select("book_id").distinct().select("book_id", blank.alias("path"), blank.alias("title"), blank.alias("language"))
+    made = profiles.profile_payloads(books, said, "2024-01-01", "1")
+    read = made.select(F.from_json("payload", profiles.PROFILE).alias("p"), F.col("book_id").alias("profile")).select("profile", "p.*")
+    corrected, ranges, _ = profiles.apply_profiles(durable(read, "profiles"), blocks.select("book_id", "href"), blocks)
+    cut = ranges.groupBy("book_id", "href").agg(F.count("*").cast("int").alias("ranges"))
+    return corrected.join(cut, ["book_id", "href"], "left").select(
+        "doc_id", "category", "use", F.col("confidence").cast("decimal(6,3)").alias("confidence"), "source", F.coalesce("ranges", F.lit(0)).alias("ranges")
+    )
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
