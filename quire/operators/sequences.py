@@ -116,22 +116,31 @@ def resolve_sources(sources: DataFrame, units: DataFrame) -> DataFrame:
     """Adds resolved (the text that an anchor names, null if its elements are not found) and verified to rows with an anchor.
 
     The elements are found by book, document, xpath, fingerprint and offset, so an anchor outlives any cut into chunks.
+    Equal anchors are resolved once. Both ends are looked up by all their fields, without text; then the places in between
+    are listed and joined to the document's pieces by number, so an anchor meets no piece that it does not name.
     """
-    numbered = sources.withColumn("_source", F.monotonically_increasing_id())
-    pieces = units.select("book_id", "href", F.col("order").alias("_order"), "text", F.posexplode("fragments").alias("_at", "_f"))
-    every = pieces.select("book_id", "href", F.struct("_order", "_at").alias("_place"), F.substring("text", F.col("_f.start") + 1, F.col("_f.stop") - F.col("_f.start")).alias("_text"), F.col("_f.xpath").alias("_xpath"), F.col("_f.fingerprint").alias("_print"), F.col("_f.source_start").alias("_from"))
-    wanted = numbered.select("_source", F.col("anchor.epub_sha256").alias("book_id"), F.col("anchor.href").alias("href"), F.col("anchor.start").alias("_s"), F.col("anchor.end").alias("_e"), F.col("anchor.text_fingerprint").alias("_want"))
-    near = wanted.join(every, ["book_id", "href"])
-    length = F.length("_text")
-    starts = (F.col("_xpath") == F.col("_s.xpath")) & (F.col("_print") == F.col("_s.element_fingerprint")) & (F.col("_from") <= F.col("_s.offset")) & (F.col("_s.offset") < F.col("_from") + length)
-    ends = (F.col("_xpath") == F.col("_e.xpath")) & (F.col("_print") == F.col("_e.element_fingerprint")) & (F.col("_from") < F.col("_e.offset")) & (F.col("_e.offset") <= F.col("_from") + length)
-    first = F.min(F.when(starts, F.col("_place"))).over(Window.partitionBy("_source"))
-    marked = near.withColumn("_first", first).withColumn("_last", F.min(F.when(ends & (F.col("_place") >= F.col("_first")), F.col("_place"))).over(Window.partitionBy("_source")))
-    used = marked.where((F.col("_place") >= F.col("_first")) & (F.col("_place") <= F.col("_last")))
-    a = F.when(F.col("_place") == F.col("_first"), F.col("_s.offset") - F.col("_from")).otherwise(0)
-    b = F.when(F.col("_place") == F.col("_last"), F.col("_e.offset") - F.col("_from")).otherwise(length)
-    cut = used.withColumn("_part", F.substring("_text", a + 1, b - a))
+    a = F.col("anchor")
+    key = F.sha2(F.to_json(F.struct(a["epub_sha256"], a["href"], *[a[e][f] for e in ("start", "end") for f in ("xpath", "element_fingerprint", "offset")], a["text_fingerprint"])), 256)
+    named = sources.withColumn("_source", key)
+    wanted = named.select("_source", a["epub_sha256"].alias("book_id"), a["href"].alias("href"), a["start"].alias("_s"), a["end"].alias("_e"), a["text_fingerprint"].alias("_want")).dropDuplicates(["_source"])
+    pieces = units.select("book_id", "href", F.col("order").alias("_order"), F.posexplode("fragments").alias("_at", "_f"), F.col("text").alias("_unit"))
+    place = F.row_number().over(Window.partitionBy("book_id", "href").orderBy("_order", "_at"))
+    text = F.substring("_unit", F.col("_f.start") + 1, F.col("_f.stop") - F.col("_f.start"))
+    spots = pieces.withColumn("_place", place).select(
+        "book_id", "href", "_place", F.col("_f.xpath").alias("_xpath"), F.col("_f.fingerprint").alias("_print"), F.col("_f.source_start").alias("_from"), text.alias("_text")
+    )
+    slim = spots.select("book_id", "href", "_place", "_xpath", "_print", "_from", F.length("_text").alias("_length"))
+    at = lambda end: wanted.select("_source", "book_id", "href", F.col(f"{end}.xpath").alias("_xpath"), F.col(f"{end}.element_fingerprint").alias("_print"), F.col(f"{end}.offset").alias("_offset"))
+    same = ["book_id", "href", "_xpath", "_print"]
+    begins = at("_s").join(slim, same).where("_from <= _offset and _offset < _from + _length").groupBy("_source").agg(F.min(F.struct("_place", "_from")).alias("_b"))
+    stops = at("_e").join(slim, same).where("_from < _offset and _offset <= _from + _length").select("_source", F.struct("_place", "_from").alias("_z"))
+    ends = stops.join(begins, "_source").where("_z._place >= _b._place").groupBy("_source", "_b").agg(F.min("_z").alias("_z"))
+    spans = wanted.join(ends, "_source").withColumn("_place", F.explode(F.sequence("_b._place", "_z._place")))
+    used = spans.join(spots.select("book_id", "href", "_place", "_text"), ["book_id", "href", "_place"])
+    first = F.when(F.col("_place") == F.col("_b._place"), F.col("_s.offset") - F.col("_b._from")).otherwise(0)
+    last = F.when(F.col("_place") == F.col("_z._place"), F.col("_e.offset") - F.col("_z._from")).otherwise(F.length("_text"))
+    cut = used.withColumn("_part", F.substring("_text", first + 1, last - first))
     joined = cut.groupBy("_source", "_want").agg(F.array_sort(F.collect_list(F.struct("_place", "_part"))).alias("_parts"))
-    text = F.array_join(F.filter(F.transform("_parts", lambda p: p["_part"]), lambda p: p != ""), " ")
-    found = joined.select("_source", text.alias("resolved"), (fingerprint(text, 24) == F.col("_want")).alias("_same"))
-    return numbered.join(found, "_source", "left").withColumn("verified", F.coalesce("_same", F.lit(False))).drop("_source", "_same")
+    whole = F.array_join(F.filter(F.transform("_parts", lambda p: p["_part"]), lambda p: p != ""), " ")
+    found = joined.select("_source", whole.alias("resolved"), (fingerprint(whole, 24) == F.col("_want")).alias("_same"))
+    return named.join(found, "_source", "left").withColumn("verified", F.coalesce("_same", F.lit(False))).drop("_source", "_same")

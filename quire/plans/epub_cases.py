@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.corpus import Corpus
 from quire.plans.standins import table
 from quire.sources.epub import read_epubs
 
@@ -212,3 +213,44 @@ WITH {_DOCS}
 SELECT d.href, 'n' || i AS src_id, o.href AS dst_href, 'r' || i AS dst_id
 FROM (SELECT n, b, href, unnest(range(1, len(xs) + 1)) AS i FROM d WHERE k = 3) d JOIN d AS o ON o.n = d.n - 1 AND o.b = d.b
 """
+
+
+def epub_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors in plain documents, resolved in the books as read: within a line, over two lines, and three ways to be wrong."""
+    packed = files(spark, sf_dir)
+    corpus = Corpus.from_files(packed)
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x09\\x0b-\\x1f]", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: T.squeeze(x)), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % len(KINDS) == 0).select("doc_id", F.posexplode(lines).alias("i", "x"), lines.alias("xs"))
+    ids = packed.select(F.col("path"), F.sha2("content", 256).alias("epub_sha256"))
+    after = F.get("xs", F.col("i") + 1)
+    two = (F.col("i") % 2 == 1) & after.isNotNull()
+    start = F.when(two, 0).otherwise((F.length("x") / 3).cast("int"))
+    stop = F.when(two, (F.length(after) / 2).cast("int") + 1).otherwise(F.length("x"))
+    said = F.when(two, F.concat("x", F.lit(" "), F.left(after, stop))).otherwise(F.substring("x", start + 1, F.length("x")))
+    fault = F.when(F.col("i") % 10 == 4, "text").when(F.col("i") % 10 == 6, "element").when(F.col("i") % 10 == 8, "place").otherwise("none")
+    point = lambda i, text, offset: F.struct(
+        F.concat(F.lit("/html[1]/body[1]/p["), (i + 1 + F.when(fault == "place", 100_000).otherwise(0)).cast("string"), F.lit("]")).alias("xpath"),
+        offset.cast("int").alias("offset"), F.when(fault == "element", F.lit("0" * 20)).otherwise(T.fingerprint(text, 20)).alias("element_fingerprint"), F.lit("").alias("context"),
+    )
+    end = F.when(two, point(F.col("i") + 1, after, stop)).otherwise(point(F.col("i"), F.col("x"), stop))
+    anchor = F.struct(
+        "epub_sha256", F.concat(F.lit("OEBPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("href"), point(F.col("i"), F.col("x"), start).alias("start"), end.alias("end"),
+        F.when(fault == "text", F.lit("0" * 24)).otherwise(T.fingerprint(said, 24)).alias("text_fingerprint"), F.lit("").alias("quote"),
+    )
+    at = F.concat(F.lit("/b"), F.floor(F.col("doc_id") / BOOK).cast("string"), F.lit(".epub"))
+    sources = docs.withColumn("path", at).join(ids, "path").select("doc_id", "i", fault.alias("fault"), anchor.alias("anchor"))
+    return corpus.verify_sources(sources).select("doc_id", "i", "fault", "resolved", "verified")
+
+
+# A book is shut out as a whole if the blocks of a document do not account for its visible text. Here that is so where a
+# document without well-formed markup has many entities, since what is visible of it is read with them.
+ANCHORS = f"""
+WITH {_DOCS},
+v AS (SELECT b, length('Top ' || n || ' ' || array_to_string(es, ' ')) AS visible, length('Top ' || n || ' ' || array_to_string(xs, ' ')) AS classified FROM e WHERE k = 7),
+shut AS (SELECT DISTINCT b FROM v WHERE abs(visible - classified) > greatest(64, round_even(visible * 0.01, 0)) UNION SELECT b FROM e WHERE bad),
+x AS (SELECT n AS doc_id, shut.b IS NOT NULL AS bad, unnest(range(0, len(xs))) AS i, xs FROM e LEFT JOIN shut ON shut.b = e.b WHERE k = 0),
+y AS (SELECT *, xs[i + 1] AS x, xs[i + 2] AS after, i % 2 = 1 AND i + 2 <= len(xs) AS two, CASE i % 10 WHEN 4 THEN 'text' WHEN 6 THEN 'element' WHEN 8 THEN 'place' ELSE 'none' END AS fault FROM x)
+SELECT doc_id, i::INTEGER AS i, fault, CASE WHEN bad OR fault IN ('element', 'place') THEN NULL WHEN two THEN x || ' ' || left(after, length(after) // 2 + 1) ELSE substr(x, length(x) // 3 + 1) END AS resolved,
+       NOT bad AND fault = 'none' AS verified FROM y
+"""

@@ -145,6 +145,16 @@ arc AS (SELECT book_id, a AS src, x AS src_id, b AS dst, y AS dst_id FROM item U
 _n = "norm"
 _pairs = " OR ".join(f"({_any(_n, (c,))} AND {_any(_n, ps)})" for c, ps in V.CATALOGUE_PUBLISHERS)
 
+#: Predicates of a text in the column line with its normal form in norm.
+FLAGS = f"""((contains(line, '©') OR {_any(_n, V.RIGHTS)}) AND {_any(_n, V.PUBLISHER_MARKS)}) OR {_count(_n, V.PRINTING_MARKS)} >= 2 AS legal,
+  {_count(_n, V.PROMOTION)} >= 2 OR ({_any(_n, V.STRONG_PROMOTION)} AND regexp_matches(line, '(?i)(?:https?://|www\\.)')) AS promotion, {_count(_n, V.EDITORIAL_CREDITS)} >= 2 AS credits, {_any(_n, V.USER_LICENCES)} AS licence,
+  {_any(_n, V.BACKLIST)} OR {_pairs} AS backlist, len(list_filter({_phrases(V.CONTENTS_OPENINGS)}, lambda p: starts_with(norm, p))) > 0 AS contents,
+  len(string_split(trim(norm), ' ')) >= 2 AND list_contains([{', '.join(_q(p) for p in V.DEDICATION_PREPOSITIONS)}], split_part(trim(norm), ' ', 1)) AND ((len(string_split(trim(norm), ' ')) <= 8 AND length(trim(norm)) <= 80) OR (len(string_split(trim(norm), ' ')) <= 18 AND length(trim(norm)) <= 160 AND contains(line, ':') AND contains(line, ','))) AS dedication"""
+
+#: Documents as chapters of EPUB files: a heading, then the lines that have any text without control characters.
+EPUB_SEC = f"""sec AS (SELECT {BOOK} AS book_id, 'd' || doc_id || '.xhtml' AS href,
+  list_prepend('Chapter ' || doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), chr(10)), lambda x: {_squeeze('x')}), lambda x: x <> '')) AS ps FROM documents WHERE text IS NOT NULL)"""
+
 PACK = """line AS (SELECT href, ps, unnest(range(1, len(ps) + 1)) AS i FROM sec),
 sized AS (SELECT href, i, length(ps[i]) AS s FROM line),
 pack(href, i, block, size) AS (SELECT href, i, 0, s FROM sized WHERE i = 1
@@ -205,11 +215,48 @@ SELECT book_id, doc_id, batch FROM b""",
 b AS (SELECT pack.href, block, min(pack.i) AS first, count(*) AS elements, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS text FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block)
 SELECT href, block AS block_index, substr(sha256(href || chr(0) || '/p[' || first || ']' || chr(0) || left(text, 200)), 1, 20) AS block_id, length(text) AS chars, elements, substr(sha256({_fold(_squeeze('text'))}), 1, 20) AS fingerprint, elements AS fragments FROM b""",
     "lexical_flags": f"""WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, {_norm('ls[i]')} AS norm FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) WHERE trim(ls[i]) <> ''),
-f AS (SELECT doc_id, pos, ((contains(line, '©') OR {_any(_n, V.RIGHTS)}) AND {_any(_n, V.PUBLISHER_MARKS)}) OR {_count(_n, V.PRINTING_MARKS)} >= 2 AS legal,
-  {_count(_n, V.PROMOTION)} >= 2 OR ({_any(_n, V.STRONG_PROMOTION)} AND regexp_matches(line, '(?i)(?:https?://|www\\.)')) AS promotion, {_count(_n, V.EDITORIAL_CREDITS)} >= 2 AS credits, {_any(_n, V.USER_LICENCES)} AS licence,
-  {_any(_n, V.BACKLIST)} OR {_pairs} AS backlist, len(list_filter({_phrases(V.CONTENTS_OPENINGS)}, lambda p: starts_with(norm, p))) > 0 AS contents,
-  len(string_split(trim(norm), ' ')) >= 2 AND list_contains([{', '.join(_q(p) for p in V.DEDICATION_PREPOSITIONS)}], split_part(trim(norm), ' ', 1)) AND ((len(string_split(trim(norm), ' ')) <= 8 AND length(trim(norm)) <= 80) OR (len(string_split(trim(norm), ' ')) <= 18 AND length(trim(norm)) <= 160 AND contains(line, ':') AND contains(line, ','))) AS dedication FROM l)
+f AS (SELECT doc_id, pos, {FLAGS} FROM l)
 SELECT * FROM f WHERE legal OR promotion OR credits OR licence OR backlist OR contents OR dedication""",
+    # Blocks of plain lines: no titles, markers, links or declarations, so most rules cannot hold here; rule_cases has those.
+    "rule_cascade": f"""WITH RECURSIVE {ALL_VERDICTS}, {PACK},
+b0 AS (SELECT pack.href, block AS block_index, count(*) AS elements, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS line FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block),
+b1 AS (SELECT *, {_norm('line')} AS norm, length(line) AS chars, len(regexp_extract_all(line, '[.!?…](?:{_WS}|$)')) AS sentences FROM b0),
+b2 AS (SELECT *, {FLAGS} FROM b1),
+dv AS (SELECT v.doc_id, v.book_id, v.role, v.confidence, sec.href, sec.spine_index, length(sec.text) AS d_chars, sec.text AS d_text, shape.role = 'analytic_index' AS looks_index,
+              sec.spine_index / greatest(1, count(*) OVER (PARTITION BY v.book_id) - 1) AS p_spine FROM verdict v JOIN sec ON sec.doc_id = v.doc_id LEFT JOIN shape ON shape.doc_id = v.doc_id),
+nb AS (SELECT *, lag(role) OVER w IN ('body', 'threshold', 'appendix') AS after_text, lead(role) OVER w IN ('body', 'threshold', 'appendix') AS before_text,
+              CASE WHEN length(lag(d_text) OVER w) <= 200 THEN trim({_norm('lag(d_text) OVER w')}) END AS before FROM dv WINDOW w AS (PARTITION BY book_id ORDER BY spine_index)),
+x AS (SELECT nb.*, b2.* EXCLUDE (href), chars / greatest(1, elements) AS density, count(*) OVER (PARTITION BY nb.book_id, nb.href) AS d_blocks, max(chars) OVER (PARTITION BY nb.book_id, nb.href) AS longest,
+             (row_number() OVER (PARTITION BY nb.book_id ORDER BY spine_index, block_index) - 1) / greatest(1, count(*) OVER (PARTITION BY nb.book_id) - 1) AS p FROM nb JOIN b2 ON b2.href = nb.href),
+r AS (SELECT *, CASE
+  WHEN legal AND (p <= 0.12 OR p >= 0.88) AND chars <= 4000 THEN 'marginal-legal-matter' WHEN backlist AND p >= 0.88 AND chars <= 20000 THEN 'publisher-backlist'
+  WHEN credits AND p >= 0.88 AND chars <= 4000 THEN 'editorial-credits' WHEN licence AND p >= 0.88 AND chars <= 4000 THEN 'end-user-licence' WHEN promotion AND p >= 0.88 AND chars <= 4000 THEN 'publisher-promotion'
+  WHEN role = 'paratext' AND d_blocks <= 3 AND d_chars <= 300 AND longest <= 120 AND chars <= 120 AND (trim(norm) = '' OR p BETWEEN 0.08 AND 0.92) AND (coalesce(after_text, false) OR coalesce(before_text, false)) THEN 'narrative-divider'
+  WHEN d_blocks = 1 AND list_contains([{", ".join(_q(normal(h).strip()) for h in V.AUTHOR_HEADINGS)}], before) THEN 'continued-author-biography'
+  WHEN role = 'paratext' AND p_spine <= 0.08 AND chars BETWEEN 450 AND 3000 AND elements >= 4 AND sentences >= 3 AND coalesce(before_text, false) AND NOT legal AND NOT backlist AND NOT credits THEN 'composite-textual-opening'
+  WHEN role = 'uncertain' AND p_spine BETWEEN 0.12 AND 0.92 AND chars BETWEEN 600 AND 1500 AND density >= 120 AND NOT credits THEN 'unmarked-internal-prose'
+  WHEN role = 'analytic_index' AND looks_index AND chars >= 800 AND density >= 300 THEN 'weak-index-not-propagated' ELSE 'document-role-inheritance' END AS rule_id FROM x),
+z AS (SELECT href, block_index, rule_id, dedication, credits, CASE WHEN rule_id IN ('narrative-divider', 'composite-textual-opening', 'unmarked-internal-prose', 'weak-index-not-propagated') THEN 'body' WHEN rule_id = 'document-role-inheritance' THEN role ELSE 'paratext' END AS role,
+  CASE rule_id WHEN 'narrative-divider' THEN 0.9 WHEN 'composite-textual-opening' THEN 0.8 WHEN 'unmarked-internal-prose' THEN 0.65 WHEN 'weak-index-not-propagated' THEN 0.65 WHEN 'end-user-licence' THEN 0.99 WHEN 'publisher-promotion' THEN 0.95
+    WHEN 'document-role-inheritance' THEN least(0.75, greatest(0.2, confidence)) ELSE 0.98 END AS confidence FROM r),
+k AS (SELECT *, CASE WHEN role = 'paratext' AND dedication AND NOT credits THEN 'work_text' WHEN role IN ('note', 'bibliography', 'paratext') THEN role WHEN role IN ('analytic_index', 'contents') THEN 'index' ELSE 'work_text' END AS category FROM z)
+SELECT href, block_index, rule_id, role, confidence::DECIMAL(6,3) AS confidence, category, {USE} AS use FROM k""",
+    "semantic_chunks": f"""WITH RECURSIVE {_seq()},
+u AS (SELECT book_id, run, sum(len(regexp_extract_all(text, '{TOKEN}'))) OVER (PARTITION BY book_id, run ORDER BY ord) AS stop FROM run),
+s AS (SELECT sequence_id, list(stop ORDER BY stop) AS ends, max(stop)::BIGINT AS total FROM u JOIN seq USING (book_id, run) GROUP BY sequence_id),
+cut(sequence_id, chunk, first, last) AS (
+  SELECT sequence_id, 0, 0::BIGINT, CASE WHEN total <= 200 THEN total ELSE coalesce(list_max(list_filter(ends, lambda x: x BETWEEN 50 AND 200)), 200) END::BIGINT FROM s WHERE total > 0
+  UNION ALL SELECT n.sequence_id, n.chunk, n.first, CASE WHEN s.total - n.first <= 200 THEN s.total ELSE greatest(n.first + 1, coalesce(list_max(list_filter(s.ends, lambda x: x BETWEEN n.first + 50 AND n.first + 200)), n.first + 200)) END::BIGINT
+    FROM (SELECT cut.sequence_id, chunk + 1 AS chunk, greatest(cut.first + 1, cut.last - 20) AS first, cut.last FROM cut) n JOIN s ON s.sequence_id = n.sequence_id WHERE n.last < s.total)
+SELECT sequence_id, chunk, last - first AS tokens FROM cut""",
+    "epub_blocks": f"""WITH RECURSIVE {EPUB_SEC}, {PACK},
+b AS (SELECT pack.href, block, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS text FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block)
+SELECT book_id AS book, b.href, block AS "order", CASE WHEN block = 0 THEN 'section' ELSE 'prose' END AS shape, length(b.text) AS chars, 'work_text' AS category, 'block-title-role' AS classification_rule FROM b JOIN sec ON sec.href = b.href""",
+    "epub_coverage": f"""WITH RECURSIVE {EPUB_SEC}, {PACK},
+b AS (SELECT pack.href, block, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS text FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block),
+c AS (SELECT book_id, sum(length(b.text))::BIGINT AS classified FROM b JOIN sec ON sec.href = b.href GROUP BY book_id),
+v AS (SELECT book_id, sum(length(array_to_string(ps, ' ')))::BIGINT AS visible FROM sec GROUP BY book_id)
+SELECT book_id AS book, visible, classified, classified AS main, 0 AS notes, 0 AS excluded, true AS valid FROM c JOIN v USING (book_id)""",
     # A profile with one wrong fingerprint is rejected as a whole; else a block's correction goes before its document's.
     "profile_precedence": f"""WITH {ALL_VERDICTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 v AS (SELECT v.doc_id, v.book_id, v.category, v.confidence, length(v.text) AS chars, quality, toxic FROM verdict_c v LEFT JOIN lab USING (doc_id)),
@@ -232,12 +279,14 @@ v AS (SELECT *, CASE WHEN n >= 3 THEN CASE WHEN back >= greatest(2, ceil(n * 0.6
 i AS (SELECT o.book_id, o.href, count(*) AS n FROM (SELECT DISTINCT book_id, src AS href, src_id, dst_id FROM arc WHERE src = dst AND src_id < dst_id) o JOIN (SELECT DISTINCT book_id, src AS href, src_id, dst_id FROM arc WHERE src = dst) r ON r.book_id = o.book_id AND r.href = o.href AND r.src_id = o.dst_id AND r.dst_id = o.src_id GROUP BY 1, 2),
 a AS (SELECT book_id, dst AS href, 'note' AS role, weight FROM v WHERE weight IS NOT NULL UNION ALL SELECT x.book_id, x.src, 'body', 0.8 FROM x JOIN v ON v.book_id = x.book_id AND v.dst = x.dst WHERE v.weight IS NOT NULL UNION ALL SELECT book_id, href, 'body', 1.2 FROM i WHERE n >= 4)
 SELECT book_id, href, role, count(*) AS votes, round(sum(weight), 4) AS weight FROM a GROUP BY book_id, href, role""",
-    "template_families": f"""WITH RECURSIVE d AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '{_WS}+', ' ', 'g'), ' '), lambda w: w <> '')[1:40]) AS t FROM documents WHERE text IS NOT NULL),
-k AS (SELECT doc_id, unnest(t) AS token FROM d WHERE len(t) > 0), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM k x JOIN k y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY 1, 2),
-p AS (SELECT a, b FROM c JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE n / (len(x.t) + len(y.t) - n) >= 0.72),
-g AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT doc_id, doc_id FROM d WHERE len(t) > 0),
-r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
-SELECT a AS doc_id, 'fam-' || lpad(min(b)::VARCHAR, 12, '0') AS family FROM r GROUP BY a""",
+    "template_families": f"""WITH RECURSIVE d AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '{_WS}+', ' ', 'g'), ' '), lambda w: w <> '')) AS t FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS same FROM d WHERE len(t) > 0), one AS (SELECT min(doc_id) AS doc_id, same, any_value(n) AS n FROM h GROUP BY same),
+k AS (SELECT one.doc_id, one.n, unnest(t) AS token FROM one JOIN d USING (doc_id)), c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS n FROM k x JOIN k y ON x.token = y.token AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.72 * greatest(x.n, y.n) GROUP BY 1, 2, 3, 4),
+p AS (SELECT a, b FROM c WHERE n / (na + nb - n) >= 0.72),
+g AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT doc_id, doc_id FROM one),
+r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+f AS (SELECT a, min(b) AS family FROM r GROUP BY a)
+SELECT h.doc_id, 'fam-' || lpad(family::VARCHAR, 12, '0') AS family FROM h JOIN one USING (same) JOIN f ON f.a = one.doc_id""",
     "softmax_scores": f"""WITH {SEC}, {MET}, f AS (SELECT doc_id, least(1.5, length(text) / 5000) AS l, least(1.5, short) AS s, least(1.5, numbers) AS m, least(1.5, n / 20) AS p FROM met),
 z AS (SELECT doc_id, 'body' AS role, (0.1 + 1.2 * l - 0.7 * s) / 1.3 AS v FROM f UNION ALL SELECT doc_id, 'note', (-0.2 + 0.9 * s + 0.4 * m) / 1.3 FROM f UNION ALL SELECT doc_id, 'paratext', (0.0 - 1.1 * p) / 1.3 FROM f),
 e AS (SELECT doc_id, role, exp(v) / sum(exp(v)) OVER (PARTITION BY doc_id) AS p FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, role) AS i FROM e)

@@ -192,7 +192,7 @@ def chunk_interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunking.chunks(_sequences(spark, sf_dir), chunking.Policy(200, 50, 20, 400))
-    return c.select("sequence_id", "chunk", "chunk_id", "tokens", "start", "stop", "confidence")
+    return c.select("sequence_id", "chunk", "tokens")
 
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
