@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,26 +52,33 @@ def _index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a.to_numpy(), b.to_numpy(), c.to_numpy()], axis=1)))
 
 
+def ranked(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """(rows with _rank, from 0 in this order; their number): rows are dealt by range and sorted, and written with their
+    place in their partition, so that a partition's count is all that leaves it and no second shuffle is needed.
+    """
+    at = F.monotonically_increasing_id()  # the partition's number in the upper bits, the place in the lower 33
+    dealt = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), name)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one a partition
+    starts, before = [], 0
+    for p in sorted(counts):
+        starts.append((p, before))
+        before += counts[p]
+    offsets = rows.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
+    both = dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return both.withColumn("_rank", place + F.col("_start")).drop("_part", "_start", "_at"), before
+
+
 def _step(values: DataFrame, name: str) -> Column:
     """Order-preserving step of a string column: how many of at most 31 cut points, quantiles of its distinct values, it reaches.
 
-    The distinct values are dealt by range, and the cut points are read off by rank from the counts of the partitions, so
-    that a column with very many values never meets in one task.
+    The distinct values are dealt by range, so that a column with very many of them never meets in one task.
     """
     each = values.select(F.col(name).alias("v")).where("v is not null").distinct()
-    dealt = durable(each.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "sharding-values")
-    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    total, tiles = sum(counts.values()), 1 << BITS
-    wanted, before = [], 0
+    found, total = ranked(each, ["v"], "sharding-values")
+    tiles = 1 << BITS
     firsts = sorted({-(-t * total // tiles) for t in range(1, tiles)} - {0, total})
-    for part in sorted(counts):
-        wanted += [(part, r - before + 1) for r in firsts if before <= r < before + counts[part]]
-        before += counts[part]
-    if not wanted:
-        return F.lit(0)
-    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("v")))
-    ranks = F.broadcast(dealt.sparkSession.createDataFrame(wanted, "part int, r int"))
-    cuts = [r["v"] for r in ranked.join(ranks, ["part", "r"]).collect()]  # fewer than 32
+    cuts = [r["v"] for r in found.where(F.col("_rank").isin(firsts)).collect()]  # fewer than 32
     return sum([F.when(F.col(name) >= cut, 1).otherwise(0) for cut in cuts], F.lit(0)).cast("int")
 
 
@@ -96,19 +103,10 @@ def placed(
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
     """rows with shard and slot added; they have curve, doc_id, size and text_crc32, by which they are ranked."""
-    order = ["curve", "doc_id", "size", "text_crc32"]
-    dealt = durable(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sharding-runs")
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a number a partition
-    total, starts, before = sum(counts.values()), [], 0
-    for part in sorted(counts):
-        starts.append((part, before))
-        before += counts[part]
-    offsets = dealt.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start long")
-    rank = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_start")).cast("long")
+    found, total = ranked(rows, ["curve", "doc_id", "size", "text_crc32"], "sharding-runs")
     at = F.floor(F.col("_rank") * shards / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int")
     first = F.ceil(F.col("shard").cast("decimal(38,0)") * F.lit(total) / shards).cast("long")
-    ranked = dealt.join(F.broadcast(offsets), "_part").withColumn("_rank", rank)
-    return ranked.withColumn("shard", at).withColumn("slot", F.col("_rank") - first)
+    return found.withColumn("shard", at).withColumn("slot", F.col("_rank") - first)
 
 
 def shard(docs: DataFrame, shards: int = 16, **columns: str) -> DataFrame:
