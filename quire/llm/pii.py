@@ -1,8 +1,10 @@
 """Personal data by weak supervision. DataFrame functions only.
 
-Exact patterns give the base spans, which always stay. Looser patterns give further candidates. Four labelers vote on
-every candidate (strict form, checksum or plausible shape, cue words nearby from a gazetteer, adjoining context), each
-with yes, no or abstain. Expectation-maximisation over the counts of vote patterns (at most 81 a kind) estimates how
+Exact patterns give the base spans, which always stay. Looser patterns give further candidates: addresses that spell out
+or bracket their marks, numbers parted in other ways. Four labelers vote on every candidate, each with yes, no or abstain:
+the form (does the candidate, with its marks restored, meet the exact pattern's conditions), a gazetteer of what such data
+looks like (top-level domains, issuers' digits, area codes), cue words nearby (for this kind, or only for another), and the
+context that adjoins it. Expectation-maximisation over the counts of vote patterns (at most 81 a kind) estimates how
 reliable every labeler is, without any gold label. The posteriors are the soft labels on which the final classifier, a
 naive Bayes over features of the span, is trained, and the looser candidates that it accepts are added.
 """
@@ -28,11 +30,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?|\x20at\x20|\x20@\x20)", r"(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20|\x20\.\x20|\.)"
+_SEP = r"(?:\[\.\]|\(\.\)|\x20dot\x20|\.)"
 LOOSE = {
-    "email": _LOCAL + r"\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": _LOCAL + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}" + _SEP + r"[0-9]{1,3}" + _SEP + r"[0-9]{1,3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[._/]|\x20{2,3}|\x20[-–]\x20)[0-9]{4}(?:[._/]|\x20{2,3}|\x20[-–]\x20)[0-9]{4}(?:[._/]|\x20{2,3}|\x20[-–]\x20)[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|00[1-9][0-9]{0,2}[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,8}|0[1-9][0-9]{1,3}[/-][0-9]{5,8})(?![0-9])",
 }
 #: What a text must contain for a pattern to match at all.
 NEEDS = {
@@ -40,20 +44,21 @@ NEEDS = {
     ("ip", True): lambda t: t.rlike(r"[0-9]\.[0-9]"),
     ("card", True): lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
     ("phone", True): lambda t: t.rlike(r"\+[0-9]"),
-    ("email", False): lambda t: t.rlike(r"[(\[{]at[)\]}]"),
-    ("ip", False): lambda t: t.rlike(r"[0-9][\[(]\.[\])]"),
-    ("card", False): lambda t: t.rlike(r"[0-9][._/][0-9]{4}[._/]"),
-    ("phone", False): lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    ("email", False): lambda t: t.rlike(r"[(\[{]at[)\]}]|\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20|\.|\x20?[(\[{]dot)|\x20@\x20"),
+    ("ip", False): lambda t: t.rlike(r"[0-9](?:[\[(]\.[\])]|\x20dot\x20)[0-9]"),
+    ("card", False): lambda t: t.rlike(r"[0-9](?:[._/]|\x20{2,3}|\x20[-\u2013]\x20)[0-9]{4}"),
+    ("phone", False): lambda t: t.rlike(r"[0-9][\x20.-][0-9]{3}|0[0-9]{2,4}[/-][0-9]"),
 }
-#: Words whose presence nearby speaks for a kind, in the languages of the corpus.
+#: Whole words whose presence nearby speaks for a kind, in the languages of the corpus.
 CUES = {
-    "email": "e-?mail|mail|contact|correo|courriel|kontakt|write|escrib",
-    "ip": "ip|host|server|address|adresse|direcci",
-    "card": "card|visa|mastercard|amex|carte|karte|tarjeta|payment|credit",
-    "phone": "phone|tel|call|fax|mobile|telefon|t[eé]l[eé]phone|m[oó]vil|handy",
+    "email": "e-?mails?|mails?|mailto|contact|correos?|courriels?|kontakt|adresse mail|write|escrib(?:e|ir|a)|schreib(?:en|t)",
+    "ip": "ips?|hosts?|servers?|address(?:es)?|adresses?|direcci[oó]n|ping|router|gateway|subnet|dns",
+    "card": "cards?|visa|mastercard|amex|cartes?|karten?|tarjetas?|payments?|credit|debit|kreditkarte|cvv",
+    "phone": "phones?|tel|telephone|calls?|call|fax|mobile|cell|telefon|t[eé]l[eé]phone|tel[eé]fono|m[oó]vil|handy|whatsapp",
 }
-AGAINST = r"(?:version|ver\.|isbn|doi|page|order|serial|build|section|token|hash)\W*$"
-DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|eu|us)$"
+_WORD = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
+AGAINST = r"(?<![\p{L}\p{N}_])(?:versions?|ver\.|v|isbn|issn|doi|pages?|orders?|serial|build|sections?|tokens?|hash|invoice|chapter|fig(?:ure)?|ref(?:erence)?|bestellung|commande|pedido|seite)\W*$"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|eu|us|ch|at|be|nl|biz|dev|app|example)$"
 LABELERS = 4
 ROUNDS = 30
 ALPHA = 0.5  # weight of the first guess of each reliability
@@ -106,19 +111,38 @@ def valid(kind: str, txt: Column) -> Column:
     }[kind]
 
 
-def _shape(kind: str, txt: Column) -> Column:
-    """Second labeler: plausible beyond the form."""
+def _restored(txt: Column) -> Column:
+    """An address with its marks as they are meant."""
+    at = F.regexp_replace(txt, r"\x20?(?:\(at\)|\[at\]|\{at\})\x20?|\x20at\x20|\x20@\x20", "@")
+    return F.regexp_replace(at, r"\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20|\x20\.\x20", ".")
+
+
+def _form(kind: str, txt: Column) -> Column:
+    """First labeler, on a looser candidate: whether it meets the exact pattern's conditions once its marks are restored.
+
+    Words and blanks that stand for marks are also plain words and blanks: they count as marks before a known domain only.
+    """
     n = F.length(_digits(txt))
+    exact = _restored(txt).rlike("^" + BASE["email"].replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "") + "$")
+    marked = txt.rlike(r"[(\[{]at[)\]}]") | _restored(txt).rlike(DOMAINS)
     return {
-        "email": F.regexp_replace(txt, r"\x20?[(\[{]dot[)\]}]\x20?", ".").rlike(DOMAINS),
-        "ip": _octets(txt, r"[^0-9]+") & ~txt.rlike(r"^0|[^0-9]0[0-9]"),
-        "card": luhn(_digits(txt)) & txt.rlike("^[3-6]"),
-        "phone": (n >= 10) & (n <= 13),
+        "email": F.when(exact & marked, YES).otherwise(NO),
+        "ip": F.when(_octets(txt, r"[^0-9]+"), YES).otherwise(NO),
+        "card": F.when((n == 16) & luhn(_digits(txt)), YES).otherwise(NO),
+        "phone": F.when((n < 8) | (n > 15), NO).when(n.between(9, 13), YES).otherwise(ABSTAIN),
     }[kind]
 
 
-def _vote(condition: Column, otherwise: int) -> Column:
-    return F.when(condition, YES).otherwise(otherwise)
+def _listed(kind: str, txt: Column) -> Column:
+    """Second labeler: what a gazetteer says. It abstains where a span has nothing that could be listed."""
+    n, digits = F.length(_digits(txt)), _digits(txt)
+    area = F.regexp_replace(digits, "^(?:00)?1(?=[0-9]{10}$)", "")
+    return {
+        "email": F.when(_restored(txt).rlike(DOMAINS), YES).otherwise(NO),
+        "ip": F.when(txt.rlike(r"^0(?![0-9])|(?:^|[^0-9])0[0-9]"), NO).when(txt.rlike(r"^(?:10|127|172|192)(?![0-9])"), YES).otherwise(ABSTAIN),
+        "card": F.when(txt.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), YES).when(txt.rlike("^[0-17-9]"), NO).otherwise(ABSTAIN),
+        "phone": F.when(txt.rlike(r"^(?:\+|00)[1-9]"), YES).when((n == 10) & area.rlike("^[2-9][0-9]{2}[2-9]"), YES).when((n == 10) & area.rlike("^[01]{2}"), NO).otherwise(ABSTAIN),
+    }[kind]
 
 
 def candidates(text: Column, kind: str, base: bool) -> Column:
@@ -128,21 +152,28 @@ def candidates(text: Column, kind: str, base: bool) -> Column:
         found = F.filter(found, lambda m: valid(kind, m["txt"]))
 
     def described(m: Column) -> Column:
-        cue = F.lower(F.concat_ws(" ", m["before"], m["after"])).rlike(rf"\b(?:{CUES[kind]})")
+        around = F.lower(F.concat_ws(" ", m["before"], m["after"]))
+        cue = around.rlike(_WORD % CUES[kind])
+        other = around.rlike(_WORD % "|".join(c for k, c in CUES.items() if k != kind)) & ~cue
         joined = m["before"].rlike(r"[\p{L}0-9_]$") | m["after"].rlike(r"^[\p{L}0-9_]")
         against = F.lower(m["before"]).rlike(AGAINST)
-        shape = _shape(kind, m["txt"])
-        votes = F.array(F.lit(YES if base else ABSTAIN), _vote(shape, NO), _vote(cue, ABSTAIN), F.when(against | joined, NO).otherwise(YES))
+        parted = (m["before"] == "") | m["before"].rlike(r"[\s(:;,<\"'=\[]$")
+        form, listed = F.lit(YES) if base else _form(kind, m["txt"]), _listed(kind, m["txt"])
+        about = F.when(cue, YES).when(other, NO).otherwise(ABSTAIN)
+        votes = F.array(form, listed, about, F.when(against | joined, NO).when(parted, YES).otherwise(ABSTAIN))
         n = F.length(m["txt"])
+        feature = lambda name, value: F.concat(F.lit(f"{name}:"), value.cast("string"))
         features = F.array(
-            F.concat(F.lit("shape:"), shape.cast("string")),
-            F.concat(F.lit("cue:"), cue.cast("string")),
-            F.concat(F.lit("joined:"), joined.cast("string")),
-            F.concat(F.lit("against:"), against.cast("string")),
-            F.concat(F.lit("length:"), F.least(F.floor(n / 6), F.lit(6)).cast("string")),
-            F.concat(F.lit("left:"), F.when(m["before"].rlike(r"[\s]$"), "space").when(m["before"] == "", "edge").otherwise("mark")),
+            feature("form", form),
+            feature("listed", listed),
+            feature("about", about),
+            feature("joined", joined),
+            feature("against", against),
+            feature("length", F.least(F.floor(n / 6), F.lit(6))),
+            feature("left", F.when(m["before"].rlike(r"[\s]$"), "space").when(m["before"] == "", "edge").otherwise("mark")),
         )
-        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), (m["start"] + n).alias("stop"), F.lit(base).alias("base"), votes.alias("votes"), features.alias("features"))
+        own = F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), (m["start"] + n).alias("stop"))
+        return F.struct(own["kind"].alias("kind"), own["start"].alias("start"), own["stop"].alias("stop"), F.lit(base).alias("base"), votes.alias("votes"), features.alias("features"))
 
     return F.transform(found, described)
 
@@ -237,9 +268,22 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, found: DataFrame, mark: str = "█") -> DataFrame:
-    """docs with text in which every code point of a span is mark; found: what find() returned for docs, ids unique."""
-    spans = found.select(F.col("doc_id").alias("_id"), F.concat("base", "added").alias("_spans"))
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]), "left")
-    hidden = F.aggregate(F.coalesce("_spans", F.array()), F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["stop"] - s["start"]), s["start"] + 1, s["stop"] - s["start"]))
-    return both.select(*[hidden.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+def masked(docs: DataFrame, found: DataFrame | None = None, mark: str = "█", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all their columns, and a text in which every code point of a span is mark.
+
+    Without found, spans are looked for in docs themselves and rows travel whole, so ids may be null or repeat with any
+    texts. found is what find() returned for docs in which an id has one text; rows may repeat in either. A null text stays
+    null; other columns are carried, whatever their names.
+    """
+    whole = F.struct("*")
+    if found is None:
+        rows = docs.select(F.struct(whole.alias("row")).alias("_row"), F.col(text_col).alias("_text"))
+        both = find(rows, id_col="_row", text_col="_text").select(F.col("doc_id.row").alias("row"), F.concat("base", "added").alias("spans"))
+    else:
+        spans = found.select(F.col("doc_id").alias("_id"), F.concat("base", "added").alias("spans")).distinct()
+        rows = docs.select(whole.alias("row"), F.col(id_col).alias("_of"))
+        both = rows.join(spans, F.col("_of").eqNullSafe(F.col("_id")), "left").withColumn("spans", F.coalesce("spans", F.array()))
+    size = lambda s: (s["stop"] - s["start"]).cast("int")
+    hide = lambda t, s: F.overlay(t, F.repeat(F.lit(mark), size(s)), s["start"] + 1, size(s))
+    hidden = F.aggregate("spans", F.col("row").getField(text_col), hide)
+    return both.select(*[hidden.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

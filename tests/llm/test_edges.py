@@ -87,6 +87,59 @@ def test_personal_data_learns_from_votes(spark):
     assert "555" not in masked[0] and masked[0].startswith("call my phone █")
 
 
+PLANTED = {
+    "email": ["ann.lee (at) mail-host.org", "bob [at] post [dot] com", "c_d at server dot net", "eve+x {at} a.example {dot} de", "joe @ host . io"],
+    "ip": ["10[.]0[.]3[.]44", "192(.)168(.)7(.)9", "172 dot 16 dot 4 dot 200", "127[.]0.0.1", "10[.]11.12[.]13"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4012_8888_8888_1881", "4111  1111  1111  1111", "4111 - 1111 - 1111 - 1111"],
+    "phone": ["(555) 234-4567", "555.234.7788", "0049 30 1234567", "030/1234567", "555 987 6543"],
+}
+DECOYS = {
+    "email": ["look at noon dot dash", "meet @ five . sharp", "run at speed dot maximum"],
+    "ip": ["version 3[.]0[.]999[.]4", "section 1 dot 400 dot 3 dot 512"],
+    "card": ["order 4111.1111.1111.1112", "serial 9234_5678_9012_3456", "invoice 1000/2000/3000/4001"],
+    "phone": ["isbn 111-222-3333", "order 011-011-0110", "page 000 111 2222"],
+}
+CUED = {"email": "my email is", "ip": "the server address", "card": "paid with card", "phone": "my phone:"}
+
+
+def test_added_personal_data(spark):
+    """Precision and recall of what the method adds, on planted spans that no exact pattern finds, among exact ones."""
+    exact = {"email": "a{}@host.org", "ip": "10.0.0.{}", "card": "4111 1111 1111 1111", "phone": "+1 (555) 234-{}"}
+    rows, want = [], {}
+    for n in range(40):
+        for kind, form in exact.items():
+            rows.append(f"{CUED[kind]} {form.format(1000 + n if kind == 'phone' else n)} as said")
+    for kind in pii.KINDS:
+        for span in PLANTED[kind]:
+            for before in (f"{CUED[kind]} ", "so it goes: "):
+                want[len(rows)] = (kind, len(before), len(before) + len(span))
+                rows.append(f"{before}{span} and more")
+        rows += [f"he said {d} and left" for d in DECOYS[kind]]
+        rows += ["ipsum dolor tell me of the ipsum", "the hostage was tallied, cellar by cellar"]
+    found = pii.digest(pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()
+    added = {(r.doc_id, s) for r in found for s in set(r.spans.split(",")) - {f"{k}:{a}:{b}" for k, a, b in brute.pii(rows[r.doc_id])} - {""}}
+    true = {(d, f"{k}:{a}:{b}") for d, (k, a, b) in want.items()}
+    for kind in pii.KINDS:
+        got, hoped = {x for x in added if x[1].startswith(kind)}, {x for x in true if x[1].startswith(kind)}
+        assert len(got & hoped) >= 0.9 * len(hoped), (kind, "recall", hoped - got, [rows[d] for d, _ in hoped - got])
+        assert len(got & hoped) >= 0.9 * len(got), (kind, "precision", [(rows[d], s) for d, s in got - hoped])
+
+
+def test_cues_are_whole_words():
+    import re
+
+    words = {k: re.compile(r"(?<![^\W_])(?:%s)(?![^\W_])" % c) for k, c in pii.CUES.items()}
+    assert not any(w.search("ipsum tell hostage cellar callow mailbox scorecard") for w in words.values())
+    assert words["ip"].search("the ip is") and words["phone"].search("tel. me")
+
+
+def test_masked_rows(spark):
+    rows = [(1, "a@b.org x", "k"), (1, "a@b.org x", "k"), (None, "call +1 555 123 4567", "m"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string").withColumnRenamed("doc_id", "id")
+    got = sorted(str((r.id, r.text, r.base)) for r in pii.masked(docs, mark="#", id_col="id").collect())
+    assert got == sorted(["(1, '####### x', 'k')", "(1, '####### x', 'k')", "(None, 'call ###############', 'm')", "(2, None, None)"])
+
+
 def test_mixing(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ROWS)
