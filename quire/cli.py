@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
+from collections.abc import Iterator
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 
@@ -28,14 +29,20 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def render(corpus: Corpus, args: argparse.Namespace) -> str:
+def pieces(corpus: Corpus, args: argparse.Namespace) -> tuple[str, Iterator[str]]:
+    """(what stands between two pieces, the pieces): a book, or a record, at a time, so that the driver never holds all."""
     categories = "all" if "all" in (args.category or ()) else tuple(args.category or ("work_text",))
     if args.format == "text":
-        return "\n\n".join(r["text"] for r in corpus.text(categories).orderBy("book_id").toLocalIterator())
+        return "\n\n", (r["text"] for r in corpus.text(categories).orderBy("book_id").toLocalIterator())
     if args.format == "units-json":
-        return "\n".join(r["value"] for r in units_json(corpus.metadata(), corpus.units(categories)).orderBy("book_id").toLocalIterator())
+        return "\n", (r["value"] for r in units_json(corpus.metadata(), corpus.units(categories)).orderBy("book_id").toLocalIterator())
     records = corpus.rag_records(categories, args.max_tokens, args.min_tokens, args.overlap_tokens, args.context_tokens)
-    return "\n".join(r["value"] for r in records_jsonl(records).orderBy("book_id", "first_order", "chunk").toLocalIterator())
+    return "\n", (r["value"] for r in records_jsonl(records).orderBy("book_id", "first_order", "chunk").toLocalIterator())
+
+
+def write(out: TextIO, between: str, parts: Iterator[str]) -> None:
+    for i, part in enumerate(parts):
+        out.write(between * (i > 0) + part)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -49,12 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             failed += [r["reason"] for r in corpus.rejected_profiles.collect()]
         if failed:
             raise ValueError("; ".join(failed))
-        output = render(corpus, args)
+        between, parts = pieces(corpus, args)
         if args.output:
-            Path(args.output).write_text(output, encoding="utf-8")
+            with open(args.output, "w", encoding="utf-8") as out:
+                write(out, between, parts)
             print(f"Wrote {args.output}", file=sys.stderr)
         else:
-            print(output)
+            write(sys.stdout, between, parts)
+            print()
         return 0
     except Exception as error:
         print(f"quire: error: {error}", file=sys.stderr)

@@ -165,10 +165,6 @@ def front_page_name(name: str | Column) -> Column:
     return F.coalesce(col(name).rlike(rf"(?i)^(?:{V.FRONT_PAGE_NAME})$"), F.lit(False))
 
 
-def didactic_heading(title: str | Column) -> Column:
-    return is_one_of(title, V.DIDACTIC_HEADINGS) | F.trim(normalized(title)).rlike(r"^d\s+omande$")
-
-
 def use_of_role(role: str | Column) -> Column:
     return F.when(col(role).isin(*V.TEXTUAL), V.MAIN).when(col(role) == V.NOTE, V.ON_REQUEST).otherwise(V.EXCLUDED)
 

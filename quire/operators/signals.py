@@ -6,6 +6,8 @@ another vote asserts), signal, signal_order, vote_order. Documents carry their b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,8 +194,29 @@ def position(documents: DataFrame) -> DataFrame:
     )
 
 
-def all_votes(books: DataFrame, documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    out = declarations(books, documents, blocks)
-    for votes in (graph(documents), titles(documents), shapes(documents), position(documents)):
-        out = out.unionByName(votes)
-    return out
+def voters(books: DataFrame, documents: DataFrame, blocks: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The five signals by name, in the order of their votes."""
+    return {
+        "declarations": lambda: declarations(books, documents, blocks),
+        "graph": lambda: graph(documents),
+        "titles": lambda: titles(documents),
+        "shape": lambda: shapes(documents),
+        "position": lambda: position(documents),
+    }
+
+
+def all_votes(named: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """(votes, faults): the votes of all signals, each written by itself; one that fails has no votes and its reason in
+    faults, and the others decide.
+    """
+    out, faults = None, {}
+    for name, vote in named.items():
+        try:
+            votes = durable(vote(), f"votes-{name}")
+        except Exception as error:  # whatever a voter fails on, the other signals still stand
+            faults[name] = f"{type(error).__name__}: {str(error)[:300]}"
+            continue
+        out = votes if out is None else out.unionByName(votes)
+    if out is None:
+        raise RuntimeError(f"no signal could vote: {faults}")
+    return out, faults

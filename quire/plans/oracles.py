@@ -139,7 +139,7 @@ LINK = r"""(?is)<a\b[^>]*href\s*=\s*["'']([^"'']+)["''][^>]*>(.*?)</a>"""
 
 _HEADING = rf"regexp_extract({HTML}, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', 1)"
 
-ARCS = """item AS (SELECT (l_orderkey % 500)::VARCHAR AS book_id, (l_suppkey % 7)::VARCHAR AS a, (l_partkey % 5)::VARCHAR AS b, (l_partkey % 11)::VARCHAR AS x, (l_suppkey % 3)::VARCHAR AS y, l_returnflag FROM lineitem),
+ARCS = """item AS (SELECT (l_orderkey // 32)::VARCHAR AS book_id, (l_suppkey % 7)::VARCHAR AS a, (l_partkey % 5)::VARCHAR AS b, (l_partkey % 11)::VARCHAR AS x, (l_suppkey % 3)::VARCHAR AS y, l_returnflag FROM lineitem),
 arc AS (SELECT book_id, a AS src, x AS src_id, b AS dst, y AS dst_id FROM item UNION ALL SELECT book_id, b, y, a, x FROM item WHERE l_returnflag = 'R')"""
 
 _n = "norm"

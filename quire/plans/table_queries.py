@@ -296,8 +296,8 @@ def range_overlap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links made of line items: every order is a book, suppliers are documents, parts are anchors; some lead back."""
-    items = S.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).cast("string").alias("book_id"), (F.col("l_suppkey") % 7).cast("string").alias("a"), (F.col("l_partkey") % 5).cast("string").alias("b"), (F.col("l_partkey") % 11).cast("string").alias("x"), (F.col("l_suppkey") % 3).cast("string").alias("y"), "l_returnflag")
+    """Links made of line items: every 32 orders are a book, suppliers are documents, parts are anchors; some lead back."""
+    items = S.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 32).cast("string").alias("book_id"), (F.col("l_suppkey") % 7).cast("string").alias("a"), (F.col("l_partkey") % 5).cast("string").alias("b"), (F.col("l_partkey") % 11).cast("string").alias("x"), (F.col("l_suppkey") % 3).cast("string").alias("y"), "l_returnflag")
     there = items.select("book_id", F.col("a").alias("src_href"), F.col("x").alias("src_id"), F.col("b").alias("dst_href"), F.col("y").alias("dst_id"))
     back = items.where("l_returnflag = 'R'").select("book_id", F.col("b").alias("src_href"), F.col("y").alias("src_id"), F.col("a").alias("dst_href"), F.col("x").alias("dst_id"))
     return there.unionByName(back)
@@ -314,7 +314,7 @@ def mutual_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_graph_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of the link graph over books made of line items; documents have no titles, and sizes by their number."""
     arcs = _arcs(spark, sf_dir)
-    cast = arcs.groupBy("book_id", F.col("src_href").alias("href")).agg(F.collect_list(F.struct("src_id", "dst_href", "dst_id")).alias("links"))
+    cast = arcs.distinct().groupBy("book_id", F.col("src_href").alias("href")).agg(F.collect_list(F.struct("src_id", "dst_href", "dst_id")).alias("links"))
     targets = arcs.select("book_id", F.col("dst_href").alias("href")).distinct()
     docs = cast.join(targets, ["book_id", "href"], "full")
     empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")

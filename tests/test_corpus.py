@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.cli import main
 from quire.functions import vocab as V
-from quire.operators import audit, families, model, profiles, rules, units
+from quire.operators import audit, families, model, profiles, rules, signals, units
 from quire.operators.chunking import Policy, SimpleTokenizer, chunk_coverage, cut, widen
 from quire.operators.search import find_text
 from quire.plans.corpus import Corpus, Options
@@ -251,6 +251,34 @@ def test_answers_are_kept_in_a_table(spark, book, tmp_path):
     assert not any(r.cached for r in audit.answer(plan, Other(), store=store).collect())
 
 
+def test_package_and_chunk_plan(spark, book, tmp_path):
+    book.write(str(tmp_path / "out"), policy=Policy(120, 20, 10, 240))
+    units_back = spark.read.json(str(tmp_path / "out" / "units")).collect()
+    assert len(units_back) == book.units("all").count() and all(r.text for r in units_back)
+    plan = spark.read.json(str(tmp_path / "out" / "chunks")).collect()
+    cut_ = book.chunks("all", Policy(120, 20, 10, 240)).collect()
+    assert {r.id for r in plan} == {r.chunk_id for r in cut_} and "text" not in plan[0]
+    assert {(r.policy.max_tokens, r.schema) for r in plan} == {(120, "quire-chunk-plan-1")}
+    book.write(str(tmp_path / "bare"), with_text=False)
+    assert "text" not in spark.read.json(str(tmp_path / "bare" / "units")).columns
+
+
+def test_sequences_are_written_once(book):
+    one = book.sequences(("note", "work_text"))
+    assert book.sequences(["work_text", "note"]) is one and book.sequences("all") is not one
+
+
+def test_a_failed_signal_leaves_the_others(spark, book):
+    named = signals.voters(book.books, book.documents_raw, book.blocks_raw)
+    broken = named | {"graph": lambda: book.documents_raw.select(F.raise_error(F.lit("no graph")).alias("book_id"))}
+    votes, faults = signals.all_votes(broken)
+    assert set(faults) == {"graph"} and "no graph" in faults["graph"]
+    assert {r.signal for r in votes.select("signal").distinct().collect()} <= {"declarations", "title", "shape", "position"}
+    assert votes.count() and not book.failed_signals
+    with pytest.raises(RuntimeError, match="no signal"):
+        signals.all_votes({"graph": broken["graph"]})
+
+
 def test_audit_can_be_stopped(book):
     plan = book.audit_requests()
     seen = []
