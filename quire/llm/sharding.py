@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.llm.shared import durable
 
@@ -47,9 +46,11 @@ def hilbert_index(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-@F.pandas_udf(T.LongType())
-def _index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-    return pd.Series(hilbert_index(np.stack([a.to_numpy(), b.to_numpy(), c.to_numpy()], axis=1)))
+def _cells(spark: SparkSession) -> DataFrame:
+    """(_cell, curve): the curve's index of each of the 2**(BITS * DIMS) = 32,768 cells of the grid."""
+    cells = np.arange(1 << (BITS * DIMS))
+    axes = np.stack([(cells >> (BITS * (DIMS - 1 - d))) & ((1 << BITS) - 1) for d in range(DIMS)], axis=1)
+    return spark.createDataFrame(pd.DataFrame({"_cell": cells.astype(np.int32), "curve": hilbert_index(axes)}), "_cell int, curve long")
 
 
 def ranked(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
@@ -98,7 +99,9 @@ def placed(
     slim = durable(own, "sharding-slim") if row is None else own
     size_step = F.least(F.floor(F.log2(F.col("size").cast("double")) * 1.5), F.lit((1 << BITS) - 1)).cast("int")
     steps = slim.select("*", size_step.alias("size_step"), _step(slim, "lang").alias("lang_step"), _step(slim, "source").alias("source_step"))
-    return steps.withColumn("curve", _index("size_step", "lang_step", "source_step"))
+    cell = (F.col("size_step") * (1 << BITS) + F.col("lang_step")) * (1 << BITS) + F.col("source_step")
+    # The whole grid is a table of fixed size, so rows need no Python and no shuffle to find their place on the curve.
+    return steps.withColumn("_cell", cell).join(F.broadcast(_cells(docs.sparkSession)), "_cell").drop("_cell")
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
