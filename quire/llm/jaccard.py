@@ -292,7 +292,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
 
 
 def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns: the one with the least doc_id of each."""
+    """The rows of docs that stand for their class, with all their columns: the one with the least doc_id of each.
+
+    Of rows that repeat an id and its text one stays. Texts without words (null, empty, blank) are no copies of each other
+    and stay, but for rows that repeat their id; rows without id come after all others; no rows give none.
+    """
     found = durable(near_duplicates(docs, threshold=threshold), "jaccard-found")
     heads = found.where("is_head")
     left = without(docs, found.where("not is_head"))

@@ -170,17 +170,20 @@ def train(labelled: DataFrame, *, per_lang: int = TRAIN_DOCS) -> Model:
     """Learns from about per_lang documents of each language of labelled (doc_id, text, lang), chosen by a hash of the id.
 
     The share of a language's documents that is taken follows from its number of documents and of bytes, so what reaches
-    the driver is bounded by the sample, whatever the corpus.
+    the driver is bounded by the sample, whatever the corpus. Of every language at least the document with the least hash
+    is taken, so that none that has a labelled document is missing. Equal rows are taken together; null texts count as empty.
     """
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    shares = {r["lang"]: min(1.0, per_lang / r["n"], TRAIN_BYTES / max(r["bytes"] or 0, 1)) for r in sizes.collect()}
+    # Rows without id are told apart by their texts.
+    name = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    placed = labelled.withColumn("_place", F.pmod(name, F.lit(1 << 30)) / float(1 << 30))
+    sizes = placed.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("_place").alias("least"))
+    shares = {r["lang"]: max(r["least"], min(1.0, per_lang / r["n"], TRAIN_BYTES / max(r["bytes"] or 0, 1))) for r in sizes.collect()}
     if not shares:
         return Model({})
     share = F.lit(0.0)
     for lang, s in shares.items():
         share = F.when(F.col("lang") == lang, s).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(place < share).select("lang", "text")
+    sample = placed.where(F.col("_place") <= share).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
     langs, found, n = (counted.column(i).to_numpy() for i in range(3))
     return Model({lang: (found[langs == lang].astype(np.uint64), n[langs == lang]) for lang in dict.fromkeys(langs)})

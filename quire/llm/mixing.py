@@ -25,9 +25,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(spaced, " "), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """60 bits of the id's MD5; a null id hashes as an empty one."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the id's MD5; without an id of the text's, so that rows without id are told apart."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -90,7 +90,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """sized: doc_id, source, size, _hash by document; plan: _t (source), source_size, target, _rounds, _below by source."""
     sized = durable(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("_hash")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("_hash")),
         "mixing-sizes",
     )
     targets = durable(source_targets(sized, weights, share, float(most)), "mixing-targets")
@@ -110,9 +110,10 @@ _COPIES = "cast(_rounds + if(_hash < _below, 1, 0) as long)"
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, **columns: str) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs.
 
-    copies is how often the mix takes the document (0 to most), taken = copies x size. Each source's taken words differ
-    from its target by at most half of one document. Null texts have size 0; a null source is a source of its own, last
-    in order; rows that repeat an id share its hash and are taken together; other columns are ignored; no rows give none.
+    copies is how often the mix takes the document (0 to most), taken = copies x size. Rows with one hash are taken
+    together: those that repeat an id, and those without id that repeat a text. Each source's taken words differ from its
+    target by at most half of what one hash has, which is half of one document where ids do not repeat. Null texts have
+    size 0; a null source is a source of its own, last in order; other columns are ignored; no rows give none.
     """
     sized, plan = plan_mix(docs, weights, share, most, **columns)
     return (
@@ -123,10 +124,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs with all their columns, each as often as the mix takes it. Texts are not moved."""
+    """The rows of docs with all their columns, each as often as the mix takes it. Texts are not moved.
+
+    Nulls, repeated rows, empty texts and empty tables are handled as in mix(); columns keep their names, whatever those are.
+    """
     _, plan = plan_mix(docs, weights, share, most, id_col=id_col, text_col=text_col, source_col=source_col)
     # Whole rows are carried in a struct, so no name of theirs meets one of the plan's.
-    packed = docs.select(F.struct("*").alias("_row"), doc_hash(F.col(id_col)).alias("_hash"), F.col(source_col).alias("_source"))
+    packed = docs.select(F.struct("*").alias("_row"), doc_hash(F.col(id_col), F.col(text_col)).alias("_hash"), F.col(source_col).alias("_source"))
     taken = packed.join(plan, F.col("_source").eqNullSafe(F.col("_t"))).withColumn("_copies", F.expr(_COPIES)).where("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
@@ -134,7 +138,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),

@@ -113,7 +113,7 @@ def _score(ratio: np.ndarray):
 
 
 def measures(keyed: DataFrame) -> DataFrame:
-    """Base measures for rows of (doc_id, tkey, text)."""
+    """Base measures for each row of (doc_id, tkey, text), repeated ones too. Null texts count as empty: all measures 0."""
     return keyed.mapInArrow(_measure, BASE)
 
 
