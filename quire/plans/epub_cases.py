@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.signals import all_votes, voters
 from quire.plans.corpus import Corpus
 from quire.plans.standins import table
 from quire.sources.epub import read_epubs
@@ -254,3 +255,42 @@ y AS (SELECT *, xs[i + 1] AS x, xs[i + 2] AS after, i % 2 = 1 AND i + 2 <= len(x
 SELECT doc_id, i::INTEGER AS i, fault, CASE WHEN bad OR fault IN ('element', 'place') THEN NULL WHEN two THEN x || ' ' || left(after, length(after) // 2 + 1) ELSE substr(x, length(x) // 3 + 1) END AS resolved,
        NOT bad AND fault = 'none' AS verified FROM y
 """
+
+
+def epub_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What declarations and titles vote, over books as read."""
+    corpus = Corpus.from_files(files(spark, sf_dir))
+    votes, _ = all_votes({k: v for k, v in voters(corpus.books, corpus.documents_raw, corpus.blocks_raw).items() if k in ("declarations", "titles")})
+    return votes.select("href", "signal", "role", F.col("weight").cast("decimal(4,2)").alias("weight"), "evidence", "confirms")
+
+
+def epub_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of plain documents in the books that are not shut out, with the places in the source that prove them."""
+    corpus = Corpus.from_files(files(spark, sf_dir))
+    number = F.regexp_extract("href", r"d(\d+)\.xhtml$", 1).cast("long")
+    a = F.col("anchor")
+    return corpus.units("all").where(number % len(KINDS) == 0).select(
+        "href", F.length("text").alias("chars"), a["start"]["xpath"].alias("first"), a["start"]["offset"].alias("first_offset"), a["end"]["xpath"].alias("last"), a["end"]["offset"].alias("last_offset"),
+        a["text_fingerprint"].alias("fingerprint"), a["quote"].alias("quote"),
+    )
+
+
+VOTES = f"""
+WITH {_DOCS}, named AS (SELECT *, (b % 2 = 0 AND n % 3 = 0) OR (b % 2 = 1 AND n % 3 = 1) AS listed FROM d)
+SELECT href, 'title' AS signal, 'body' AS role, 3.5::DECIMAL(4,2) AS weight, 'title «Chapter ' || n || '» contains «chapter»' AS evidence, false AS confirms FROM named WHERE NOT listed AND k NOT IN (1, 5, 7)
+UNION ALL SELECT href, 'declarations', 'body', 6, 'epub:type or ARIA declares body', false FROM named WHERE k = 2
+UNION ALL SELECT href, 'declarations', 'body', 3, 'landmark bodymatter', false FROM named WHERE b % 2 = 0 AND n = first
+"""
+UNITS = f"""
+WITH RECURSIVE {_DOCS},
+v AS (SELECT b, length('Top ' || n || ' ' || array_to_string(es, ' ')) AS visible, length('Top ' || n || ' ' || array_to_string(xs, ' ')) AS classified FROM e WHERE k = 7),
+shut AS (SELECT DISTINCT b FROM v WHERE abs(visible - classified) > greatest(64, round_even(visible * 0.01, 0))),
+sec AS (SELECT href, list_prepend('Chapter ' || n, xs) AS ps FROM d ANTI JOIN shut USING (b) WHERE k = 0),
+sized AS (SELECT href, i, length(ps[i]) AS s FROM (SELECT href, ps, unnest(range(1, len(ps) + 1)) AS i FROM sec)),
+pack(href, i, block, size) AS (SELECT href, i, 0, s FROM sized WHERE i = 1
+  UNION ALL SELECT z.href, z.i, CASE WHEN p.size + z.s > 12000 THEN p.block + 1 ELSE p.block END, CASE WHEN p.size + z.s > 12000 THEN z.s ELSE p.size + z.s END FROM pack p JOIN sized z ON z.href = p.href AND z.i = p.i + 1),
+u AS (SELECT pack.href, block, min(i) AS a, max(i) AS z, string_agg(ps[i], ' ' ORDER BY i) AS text, any_value(ps) AS ps FROM pack JOIN sec ON sec.href = pack.href GROUP BY pack.href, block)
+SELECT href, length(text) AS chars, '/html[1]/body[1]/' || CASE WHEN a = 1 THEN 'h1[1]' ELSE 'p[' || a - 1 || ']' END AS first, 0 AS first_offset,
+       '/html[1]/body[1]/' || CASE WHEN z = 1 THEN 'h1[1]' ELSE 'p[' || z - 1 || ']' END AS last, length(ps[z]) AS last_offset,
+       substr(sha256(replace(lower(text), 'ß', 'ss')), 1, 24) AS fingerprint, left(text, 180) AS quote FROM u
+"""

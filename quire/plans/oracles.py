@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.functions import vocab as V
 from quire.functions.lexical import _ranked
 from quire.functions.text import normal
-from quire.plans.table_queries import TITLES
+from quire.plans.table_queries import FINDING_FIELDS, TITLES
 
 _WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 
@@ -257,6 +257,29 @@ b AS (SELECT pack.href, block, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS te
 c AS (SELECT book_id, sum(length(b.text))::BIGINT AS classified FROM b JOIN sec ON sec.href = b.href GROUP BY book_id),
 v AS (SELECT book_id, sum(length(array_to_string(ps, ' ')))::BIGINT AS visible FROM sec GROUP BY book_id)
 SELECT book_id AS book, visible, classified, classified AS main, 0 AS notes, 0 AS excluded, true AS valid FROM c JOIN v USING (book_id)""",
+    "chunk_contexts": f"""WITH {CHUNKED}, c AS (SELECT sequence_id, chunk, t, chunk * 180 AS a, least(t, chunk * 180 + 200) AS b FROM chunk),
+d AS (SELECT *, greatest(0, 400 - (b - a)) AS extra FROM c), e AS (SELECT *, least(a, extra // 2) AS half FROM d), f AS (SELECT *, least(t - b, extra - half) AS behind FROM e)
+SELECT sequence_id, chunk, (b + behind) - (a - half - least(a - half, extra - half - behind)) AS tokens FROM f""",
+    "calibrated_temperature": f"""WITH {SEC}, {MET}, f AS (SELECT doc_id, least(1.5, length(text) / 5000) AS l, least(1.5, short) AS s, least(1.5, numbers) AS m, least(1.5, n / 20) AS p FROM met),
+z AS (SELECT doc_id, 0 AS r, 0.1 + 1.2 * l - 0.7 * s AS v FROM f UNION ALL SELECT doc_id, 1, -0.2 + 0.9 * s + 0.4 * m FROM f UNION ALL SELECT doc_id, 2, 0.0 - 1.1 * p FROM f),
+e AS (SELECT doc_id, r, t / 20 AS t, exp(v / (t / 20)) AS x FROM z, range(10, 61) g(t)),
+q AS (SELECT t, avg(-ln(own / x)) AS loss FROM (SELECT doc_id, t, sum(x) AS x, max(CASE WHEN r = doc_id % 3 THEN x END) AS own FROM e GROUP BY doc_id, t) GROUP BY t)
+SELECT arg_min(t, loss)::DOUBLE AS temperature FROM q""",
+    "finding_cases": f"""WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+h AS (SELECT *, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS h FROM i),
+f AS (SELECT l_orderkey, {", ".join(f"([{', '.join('NULL' if x is None else _q(x) if isinstance(x, str) else str(x) for x in v)}])[('0x' || substr(h, {2 * k + 1}, 2))::INTEGER % {len(v)} + 1] AS {n}" for k, (n, v) in enumerate(FINDING_FIELDS.items()))} FROM h),
+g AS (SELECT *, CASE WHEN scope = 'document' THEN CASE href WHEN 'd0' THEN 'note' WHEN 'd2' THEN 'paratext' END
+                     WHEN scope = 'block' THEN CASE href || block_id WHEN 'd0b0' THEN 'note' WHEN 'd1b1' THEN 'work_text' WHEN 'd1b0' THEN 'paratext' END END AS current FROM f),
+r AS (SELECT *, CASE WHEN confidence IS NULL THEN 'confidence must be numeric' WHEN kind = 'praise' THEN 'invalid kind'
+  WHEN NOT (scope = 'document' OR scope = CASE WHEN l_orderkey % 2 = 0 THEN 'block' ELSE 'book' END) THEN 'invalid scope' WHEN severity = 'fatal' THEN 'invalid severity'
+  WHEN confidence > 1 THEN 'confidence must be between 0 and 1' WHEN explanation = '' THEN 'explanation cannot be empty' WHEN evidence = 'broken' THEN 'evidence must be a list of strings'
+  WHEN category = 'poem' THEN 'invalid proposed category' WHEN scope = 'book' AND (href <> '' OR block_id <> '') THEN 'a finding on the book cannot name a document or block'
+  WHEN scope = 'document' AND (href NOT IN ('d0', 'd1', 'd2') OR block_id <> '') THEN 'no such document' WHEN scope = 'block' AND current IS NULL THEN 'no such block'
+  WHEN kind = 'category_change' AND (scope = 'book' OR category = '') THEN 'a category change needs a document or block and a category'
+  WHEN kind = 'category_change' AND category = current THEN 'a category change must change the category' END AS reason FROM g),
+k AS (SELECT DISTINCT kind, scope, href, block_id, category, trim(explanation) AS explanation, current FROM r WHERE reason IS NULL)
+SELECT 'issue' AS what, reason, '' AS kind, '' AS scope, NULL AS current, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'finding', CASE WHEN kind = 'category_change' AND scope <> 'book' THEN 'can override' ELSE 'cannot' END AS why, kind, scope, current, count(*) FROM k GROUP BY why, kind, scope, current""",
     # A profile with one wrong fingerprint is rejected as a whole; else a block's correction goes before its document's.
     "profile_precedence": f"""WITH {ALL_VERDICTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 v AS (SELECT v.doc_id, v.book_id, v.category, v.confidence, length(v.text) AS chars, quality, toxic FROM verdict_c v LEFT JOIN lab USING (doc_id)),

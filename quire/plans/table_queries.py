@@ -195,6 +195,13 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sequence_id", "chunk", "tokens")
 
 
+def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fixed chunk widened to 400 tokens of its sequence: as much on either side, and what one lacks on the other."""
+    s, c = _chunked(spark, sf_dir)
+    wide = chunking.expand(c, s, chunking.Policy(200, 50, 20, 400))
+    return wide.join(c.select("sequence_id", "chunk_id", "chunk"), ["sequence_id", "chunk_id"]).select("sequence_id", "chunk", "tokens")
+
+
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a language as intervals of their lengths: overlapping ones merged."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null and lang is not null")
@@ -330,15 +337,72 @@ def template_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.families(books).select(F.col("book_id").alias("doc_id"), "family")
 
 
-def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear model with fixed weights over the shape metrics."""
+def _linear_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(examples, weights): a linear model with fixed weights over the shape metrics."""
     m = signals.shape_metrics(S.sections(spark, sf_dir))
-    parts = [F.struct(F.lit(n).alias("key"), F.least(F.lit(1.5), c.cast("double")).alias("value")) for n, c in (("length", F.length("text") / 5000), ("short", F.col("short")), ("numbers", F.col("numbers")), ("paragraphs", F.col("n_paragraphs") / 20))]
-    examples = m.select("doc_id", F.map_from_entries(F.array(*parts)).alias("features"))
-    weights = spark.createDataFrame([("body", "", 0.1), ("body", "length", 1.2), ("body", "short", -0.7), ("note", "", -0.2), ("note", "short", 0.9), ("note", "numbers", 0.4), ("paratext", "", 0.0), ("paratext", "paragraphs", -1.1)], "role string, feature string, weight double")
+    measures = (("length", F.length("text") / 5000), ("short", F.col("short")), ("numbers", F.col("numbers")), ("paragraphs", F.col("n_paragraphs") / 20))
+    parts = [F.struct(F.lit(n).alias("key"), F.least(F.lit(1.5), c.cast("double")).alias("value")) for n, c in measures]
+    weights = [
+        ("body", "", 0.1), ("body", "length", 1.2), ("body", "short", -0.7), ("note", "", -0.2), ("note", "short", 0.9), ("note", "numbers", 0.4), ("paratext", "", 0.0), ("paratext", "paragraphs", -1.1),
+    ]
+    return m.select("doc_id", F.map_from_entries(F.array(*parts)).alias("features")), spark.createDataFrame(weights, "role string, feature string, weight double")
+
+
+def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roles that the model gives."""
+    examples, weights = _linear_model(spark, sf_dir)
     return model.score(examples, weights, ["doc_id"], 1.3).select("doc_id", F.col("m_role").alias("role"), F.round("m_probability", 6).cast("decimal(9,6)").alias("probability"))
 
 
+def calibrated_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temperature that fits the same model best to roles dealt by the documents' ids."""
+    examples, weights = _linear_model(spark, sf_dir)
+    truth = F.get(F.array(F.lit("body"), F.lit("note"), F.lit("paratext")), (F.col("doc_id") % 3).cast("int"))
+    best = model.calibrate(examples.withColumn("role", truth), weights, ["doc_id"])
+    return spark.createDataFrame([(float(best),)], "temperature double")
+
+
+FINDING_FIELDS = {
+    "kind": ("category_change", "possible_omission", "structure_issue", "category_change", "praise"),
+    "scope": ("block", "document", "book", "block", "document", "shelf"),
+    "href": ("d0", "d1", "d1", "d2", "d9", "", "d0"),
+    "block_id": ("b0", "b1", "", "b9", "", ""),
+    "category": ("note", "paratext", "work_text", "", "poem"),
+    "severity": ("info", "warning", "critical", "info", "fatal"),
+    "confidence": (0.5, 1.0, 0.25, None, 1.5, 0.75),
+    "explanation": ("looks like notes", " seen twice ", "", "other"),
+    "evidence": ("one", "one; two", "", "broken"),
+}
+
+
+def finding_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings made of line items, each order one answer: which are kept, and why the others are not."""
+    items = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    drawn = items.withColumn("h", F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])))
+    pick = lambda i, values, type_: F.get(F.array(*[F.lit(v).cast(type_) for v in values]), F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int") % len(values))
+    f = {n: pick(i, v, "double" if n == "confidence" else "string") for i, (n, v) in enumerate(FINDING_FIELDS.items())}
+    evidence = F.when(f["evidence"] == "broken", F.lit(None)).otherwise(F.split(f["evidence"], "; "))
+    finding = F.struct(
+        f["kind"].alias("kind"), f["scope"].alias("scope"), f["href"].alias("href"), f["block_id"].alias("block_id"), f["category"].alias("proposed_category"), f["severity"].alias("severity"),
+        f["confidence"].alias("confidence"), f["explanation"].alias("explanation"), evidence.alias("evidence"),
+    )
+    order = ("l_linenumber", "l_partkey", "l_suppkey")
+    told = drawn.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, finding.alias("f")))), lambda x: x["f"]).alias("findings"))
+    answers = told.select(
+        F.lit("b").alias("book_id"), F.concat(F.lit("call_"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_orderkey").alias("call"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("block"), F.lit("document"))).otherwise(F.array(F.lit("book"), F.lit("document"))).alias("scopes"), F.to_json(F.struct("findings")).alias("data"),
+    )
+    docs = spark.createDataFrame([("b", "d0", {"note": 3}, "x"), ("b", "d1", {"work_text": 1, "note": 2}, "y"), ("b", "d2", {"paratext": 1}, "z")], "book_id string, href string, category_counts map<string,long>, visible_text_excerpt string")
+    columns = "book_id string, href string, block_id string, spine_index int, block_index int, xpath string, fingerprint string, shape string, title string, text string, category string, confidence double, source string, rule_id string, evidence array<string>, epub_types array<string>, aria array<string>, markers array<string>"
+    block = lambda href, name, category: ("b", href, name, 0, 0, "/p", "f", "prose", None, "text", category, 0.5, "s", "r", [], [], [], [])
+    classified = spark.createDataFrame([block("d0", "b0", "note"), block("d1", "b1", "work_text"), block("d1", "b0", "paratext")], columns)
+    kept, issues = audit.validate(answers, docs, classified)
+    one = issues.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("issue").alias("what"), "reason", F.lit("").alias("kind"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("current"), "n")
+    two = kept.groupBy("kind", "scope", "current_category", "can_override").agg(F.count("*").alias("n"))
+    two = two.select(F.lit("finding").alias("what"), F.when(F.col("can_override"), "can override").otherwise("cannot").alias("reason"), "kind", "scope", F.col("current_category").alias("current"), "n")
+    return one.unionByName(two)
+
+
 def quality_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = doc_verdicts(spark, sf_dir)
     return v.join(S.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "role").agg(F.count("*").alias("n"))
@@ -413,7 +477,7 @@ def verify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     shape_metrics, shape_votes, position_votes, doc_verdicts, category_coverage, title_roles, normalize_text, text_fingerprint, duplicate_units, page_visible_text, page_paragraphs, page_toc_links, page_headings, href_resolve,
-    hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours, chunk_interval_coverage, semantic_chunks, interval_merge, excerpts, audit_batches, packed_blocks,
-    line_blocks, lexical_flags, rule_cascade, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors, note_graph_votes, template_families, softmax_scores, quality_confusion, role_characters,
+    hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours, chunk_interval_coverage, semantic_chunks, chunk_contexts, interval_merge, excerpts, audit_batches, packed_blocks,
+    line_blocks, lexical_flags, rule_cascade, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors, note_graph_votes, template_families, softmax_scores, calibrated_temperature, finding_cases, quality_confusion, role_characters,
     review_merge, profile_payloads, epub_blocks, epub_coverage, verify_sources,
 )
