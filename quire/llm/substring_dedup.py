@@ -124,7 +124,10 @@ def drop_repeated_units(docs: DataFrame, *, long: int = LONG, id_col: str = "doc
     removed in favour of its like there, and each row gets the same result. Other columns are ignored. No rows give none.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = own.select("doc_id", text_key().alias("tkey"), "text")
+    # Where ids do not repeat, they tell documents apart; a text key in each row of units is then only weight in the shuffles.
+    n = own.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.isnull("doc_id")).alias("none")).first()
+    unique = n["ids"] + min(n["none"], 1) == n["rows"]
+    keyed = own.select("doc_id", (F.lit(0).cast("long") if unique else text_key()).alias("tkey"), "text")
     hashed = durable(keyed.mapInArrow(_hash(long), UNITS), "substring-units")
     item = F.struct("start", "stop", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     gone = repeats(hashed).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_set(item).alias("gone"))
