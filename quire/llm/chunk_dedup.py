@@ -21,7 +21,7 @@ from quire.llm.shared import durable, hint_small, text_key
 DIVISOR = 3  # so many lines make a chunk on average
 LINES = 2  # that the rolling hash covers
 LEAST = 2  # lines with a word in a chunk, except where a whole text has fewer
-MOST_LINES = 64  # in a chunk, if LEAST of them have a word
+MOST_LINES = 64  # in a chunk, if LEAST of them have a word: only runs of so many lines without a natural cut are cut by place
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 CHUNKS = "doc_id long, tkey long, chunk int, start int, stop int, n_lines int, digest binary"
 _NAMES = ["doc_id", "tkey", "chunk", "start", "stop", "n_lines", "digest"]
@@ -85,9 +85,9 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every row of docs: doc_id, text without repeated chunks, n_removed, removed.
 
-    Candidates are all chunks with a word; split_chunks gives them two lines with a word at least, if the text has. Of those with equal bytes the earliest by doc_id (null
-    last), then by place, stays; removed lists the others as start:stop:first_doc_id:first_start in code points of the
-    original text, comma-joined by place. A chunk's last newline goes with it but does not count in the comparison, since
+    Candidates are all chunks with a word; split_chunks gives them two lines with a word at least, if the text has. Of those
+    with equal bytes the earliest by doc_id (null last), then by place, stays; removed lists the others as
+    start:stop:first_doc_id:first_start in code points of the original text, comma-joined by place. A chunk's last newline goes with it but does not count in the comparison, since
     a text may end there. Null texts stay null. Rows that repeat an id and its text are one document and get the same
     result. Other columns are ignored.
     """
@@ -103,7 +103,8 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "chunk", "tkey", "start")
     first = bodies.groupBy("digest").agg(F.min(F.struct(rank.alias("r"), F.col("body").alias("b"))).alias("f")).select("digest", "f.r", "f.b")
     is_first = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("chunk") == F.col("r.chunk")) & (F.col("tkey") == F.col("r.tkey"))
-    gone = bodies.join(first, "digest").where(~is_first & (F.col("body") == F.col("b")))  # the bytes decide, not the digest
+    # The bytes decide, not the digest; put this way they are compared after the join and are no key to shuffle and sort by.
+    gone = bodies.join(first, "digest").where(~is_first & F.array_contains(F.array("b"), F.col("body")))
     says = F.concat_ws(":", "start", "stop", F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")), "r.start")
     cuts = gone.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", says.alias("says")))).alias("cuts"))
     cuts = hint_small(cuts, "chunk-cuts", F.size("cuts"))
