@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.cli import main
 from quire.functions import vocab as V
-from quire.operators import audit, families, model, profiles, rules, signals, units
+from quire.operators import audit, families, model, profiles, review, rules, signals, units
 from quire.operators.chunking import Policy, SimpleTokenizer, chunk_coverage, cut, widen
 from quire.operators.search import find_text
 from quire.plans.corpus import Corpus, Options
@@ -279,6 +279,35 @@ def test_a_failed_signal_leaves_the_others(spark, book):
         signals.all_votes({"graph": broken["graph"]})
 
 
+def test_audit_progress(spark, book):
+    plan = book.audit_requests()
+    answers = audit.answer(plan, Reviewer())
+    state = lambda a: [(r.planned, r.answered, r.state) for r in audit.progress(plan, a).collect()]
+    n = plan.count()
+    assert state(answers) == [(n, n, "complete")]
+    assert state(answers.limit(1)) == [(n, 1, "running")] and state(answers.limit(0)) == [(n, 0, "planned")]
+
+
+def test_review_session(spark, tmp_path):
+    session = review.Session(spark, str(tmp_path / "review"))
+    assert session.annotations().count() == 0 and session.decisions().count() == 0
+    row = lambda label, at, deleted=False, range_id=None, start=None, end=None: ("b", "range" if range_id else "block", label, "h", "k", "/p", "f", range_id, start, end, None, "", at, deleted)
+    put = lambda *rows: session.annotate(spark.createDataFrame(list(rows), review.ANNOTATION))
+    put(row("note", "2024-01-01"), row("index", "2024-01-01", range_id="r1", start=0, end=10))
+    put(row("paratext", "2024-01-02"))
+    with pytest.raises(ValueError, match="overlapping ranges: b#h#k#r2"):
+        put(row("index", "2024-01-03", range_id="r2", start=5, end=12))
+    assert {(r.scope, r.label) for r in session.annotations().collect()} == {("block", "paratext"), ("range", "index")}
+    put(row("index", "2024-01-04", deleted=True, range_id="r1", start=0, end=10))
+    put(row("index", "2024-01-05", range_id="r2", start=5, end=12))
+    assert {(r.label, r.range_id) for r in session.annotations().collect()} == {("paratext", None), ("index", "r2")}
+    session.decide(spark.createDataFrame([("b", "f1", "accepted", "note", "", "2024-01-06", False), ("b", "f2", "accepted", "note", "", "2024-01-06", False), ("b", "f2", "accepted", "note", "", "2024-01-07", True)], review.DECISION))
+    assert [r.finding_id for r in session.decisions().collect()] == ["f1"]
+    fields = "book_id string, finding_id string, scope string, href string, block_id string, xpath string, fingerprint string, explanation string, proposed_category string, can_override boolean, run string"
+    findings = spark.createDataFrame([("b", f, "block", "h", k, "/p", "f", "why", "note", True, "2024-01-05") for f, k in (("f1", "k9"), ("f2", "k8"))], fields)
+    assert {(r.block_id, r.label) for r in session.export(findings).collect()} == {("k", "paratext"), ("k", "index"), ("k9", "note")}
+
+
 def test_audit_can_be_stopped(book):
     plan = book.audit_requests()
     seen = []
