@@ -7,6 +7,7 @@ another vote asserts), signal, signal_order, vote_order. Documents carry their b
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,17 +207,19 @@ def voters(books: DataFrame, documents: DataFrame, blocks: DataFrame) -> dict[st
 
 
 def all_votes(named: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
-    """(votes, faults): the votes of all signals, each written by itself; one that fails has no votes and its reason in
-    faults, and the others decide.
+    """(votes, faults): the votes of all signals, written at once. If that fails each signal is written by itself: one that
+    fails has no votes and its reason in faults, and the others decide.
     """
-    out, faults = None, {}
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    try:
+        return durable(union([vote() for vote in named.values()]), "votes"), {}
+    except Exception:  # whatever a voter fails on, the other signals still stand; which one it is shows below
+        parts, faults = [], {}
     for name, vote in named.items():
         try:
-            votes = durable(vote(), f"votes-{name}")
-        except Exception as error:  # whatever a voter fails on, the other signals still stand
+            parts.append(durable(vote(), f"votes-{name}"))
+        except Exception as error:
             faults[name] = f"{type(error).__name__}: {str(error)[:300]}"
-            continue
-        out = votes if out is None else out.unionByName(votes)
-    if out is None:
+    if not parts:
         raise RuntimeError(f"no signal could vote: {faults}")
-    return out, faults
+    return union(parts), faults

@@ -294,3 +294,42 @@ SELECT href, length(text) AS chars, '/html[1]/body[1]/' || CASE WHEN a = 1 THEN
        '/html[1]/body[1]/' || CASE WHEN z = 1 THEN 'h1[1]' ELSE 'p[' || z - 1 || ']' END AS last, length(ps[z]) AS last_offset,
        substr(sha256(replace(lower(text), 'ß', 'ss')), 1, 24) AS fingerprint, left(text, 180) AS quote FROM u
 """
+
+
+def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the books that are not shut out."""
+    corpus = Corpus.from_files(files(spark, sf_dir))
+    return corpus.metadata().select("path", "title", F.concat_ws(";", "authors").alias("authors"), "language", "publisher", "publication_date", "publication_date_raw")
+
+
+def epub_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for a retrieval index of plain documents: chunks of up to 350 tokens that end with an element where they can."""
+    corpus = Corpus.from_files(files(spark, sf_dir))
+    m = F.col("metadata")
+    number = F.regexp_extract(m["source"]["href"], r"d(\d+)\.xhtml$", 1).cast("long")
+    return corpus.rag_records().where(number % len(KINDS) == 0).select(
+        m["source"]["href"].alias("href"), "chunk", m["token_count"].alias("tokens"), m["category"].alias("category"), m["document_title"].alias("title"), m["book"]["title"].alias("book"),
+        m["previous_id"].isNotNull().alias("follows"), m["next_id"].isNotNull().alias("goes_on"), F.length("id").alias("id_length"),
+    )
+
+
+_SHUT = f"""v AS (SELECT b, length('Top ' || n || ' ' || array_to_string(es, ' ')) AS visible, length('Top ' || n || ' ' || array_to_string(xs, ' ')) AS classified FROM e WHERE k = 7),
+shut AS (SELECT DISTINCT b FROM v WHERE abs(visible - classified) > greatest(64, round_even(visible * 0.01, 0)) UNION SELECT b FROM e WHERE bad)"""
+METADATA = f"""
+WITH {_DOCS}, {_SHUT}
+SELECT DISTINCT '/b' || b || '.epub' AS path, 'Book ' || b AS title, 'Jane Doe' AS authors, ['en', 'it', 'de'][b % 3 + 1] AS language, 'Press & Co' AS publisher,
+  ['2001-05-01', '1999-12', '2010', NULL][b % 4 + 1] AS publication_date, ['2001-05-01', '1999-12', '2010', 'in spring'][b % 4 + 1] AS publication_date_raw FROM e ANTI JOIN shut USING (b)
+"""
+_TOKEN = r"[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}]"
+RECORDS = f"""
+WITH RECURSIVE {_DOCS}, {_SHUT},
+atom AS (SELECT n, b, href, unnest(range(0, len(xs) + 1)) AS i, list_prepend('Chapter ' || n, xs) AS ps FROM d ANTI JOIN shut USING (b) WHERE k = 0),
+size AS (SELECT n, b, href, i, sum(len(regexp_extract_all(ps[i + 1], '{_TOKEN}'))) OVER (PARTITION BY n ORDER BY i)::BIGINT AS stop FROM atom),
+s AS (SELECT n, b, href, list(stop ORDER BY i) AS ends, max(stop) AS total FROM size GROUP BY n, b, href),
+cut(n, chunk, first, last) AS (
+  SELECT n, 0, 0::BIGINT, CASE WHEN total <= 350 THEN total ELSE coalesce(list_max(list_filter(ends, lambda x: x BETWEEN 80 AND 350)), 350) END::BIGINT FROM s
+  UNION ALL SELECT w.n, w.chunk, w.first, CASE WHEN s.total - w.first <= 350 THEN s.total ELSE greatest(w.first + 1, coalesce(list_max(list_filter(s.ends, lambda x: x BETWEEN w.first + 80 AND w.first + 350)), w.first + 350)) END::BIGINT
+    FROM (SELECT cut.n, chunk + 1 AS chunk, greatest(cut.first + 1, cut.last - 40) AS first, cut.last FROM cut) w JOIN s ON s.n = w.n WHERE w.last < s.total)
+SELECT href, chunk, last - first AS tokens, 'work_text' AS category, 'Chapter ' || cut.n AS title, 'Book ' || b AS book, chunk > 0 AS follows, last < total AS goes_on, 24 AS id_length
+FROM cut JOIN s ON s.n = cut.n
+"""
