@@ -94,7 +94,9 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key().alias("tkey"), "text")
     found = durable(keyed.mapInArrow(_chunk, CHUNKS), "chunk-digests")
     again = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    spans = found.join(hint_small(again, "chunk-again"), "digest").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("chunk", "start", "stop", "digest")).alias("spans"))
+    spans = found.join(
+        hint_small(again, "chunk-again"), "digest"
+    ).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("chunk", "start", "stop", "digest")).alias("spans"))
     at = lambda t: keyed["doc_id"].eqNullSafe(t["_id"]) & (keyed["tkey"] == t["_key"])
     some = hint_small(spans.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "spans"), "chunk-spans", F.size("spans"))
     each = keyed.join(some, at(some)).select("doc_id", "tkey", "text", F.explode("spans").alias("s"))
@@ -106,7 +108,9 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # The bytes decide, not the digest; put this way they are compared after the join and are no key to shuffle and sort by.
     gone = bodies.join(first, "digest").where(~is_first & F.array_contains(F.array("b"), F.col("body")))
     says = F.concat_ws(":", "start", "stop", F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")), "r.start")
-    cuts = gone.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", says.alias("says")))).alias("cuts"))
+    cuts = gone.groupBy(
+        F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")
+    ).agg(F.array_sort(F.collect_list(F.struct("start", "stop", says.alias("says")))).alias("cuts"))
     cuts = hint_small(cuts, "chunk-cuts", F.size("cuts"))
     n = F.size("cuts")
     piece = lambda i: F.substring(

@@ -30,7 +30,9 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v >= u").join(hint_small(least, f"{name}-least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = durable(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(hint_small(low, f"{name}-low"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(hint_small(low, f"{name}-low"), "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+        )
         now = durable(small.distinct(), f"{name}-small")
         state, before = _state(now), state
         if state == before:

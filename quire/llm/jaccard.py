@@ -92,7 +92,11 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, k in zip(full, keys, strict=True):
                 bands[i] = k
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [
+                    part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64()))
+                ],
                 ["doc_id", "tkey", "n_shingles", "node", "bands"],
             )
 
@@ -277,7 +281,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     named = classes.select("node", "rep_id", "rep_key", "copies").join(label, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = durable(named, "jaccard-named")
     heads = named.groupBy("label").agg(F.min(F.struct(F.isnull("rep_id").alias("none"), "rep_id", "rep_key")).alias("head"))
-    info = named.join(heads, "label").select(F.col("node").alias("_node"), F.col("head.rep_id").alias("class_id"), F.col("head.rep_key").alias("class_key"), "rep_id", "copies", "n_texts", "n_docs")
+    info = named.join(heads, "label").select(
+        F.col("node").alias("_node"), F.col("head.rep_id").alias("class_id"), F.col("head.rep_key").alias("class_key"), "rep_id", "copies", "n_texts",
+        "n_docs"
+    )
     zero = F.lit(0).cast("long")
     return slim.join(info, slim["node"] == info["_node"], "left").select(
         "doc_id",

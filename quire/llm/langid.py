@@ -68,7 +68,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang = np.repeat(langs[chunk.first : chunk.first + len(chunk)], np.diff(chunk.at))
             for name in dict.fromkeys(langs[chunk.first : chunk.first + len(chunk)]):
                 values, n = np.unique(grams[keep & (lang == name)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "run", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    ["lang", "run", "n"]
+                )
 
 
 class _Table:
@@ -208,7 +211,10 @@ def _predict(model: Model):
                     best = int(np.argmin(bits[i]))
                     pred.append(model.langs[best])
                     score.append(float(np.round(1 / np.exp2(np.maximum(bits[i][best] - bits[i], -1000)).sum(), 6)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "tkey", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                ["doc_id", "tkey", "lang_pred", "score"]
+            )
 
     return run
 

@@ -77,8 +77,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         cut = sums.withColumn("_upto", F.sum("_n").over(run)).where(F.col("_upto") > F.col("_left"))
         first = cut.groupBy("_s", "_left", "_prefix").agg(F.min(F.struct("_b", "_upto", "_n")).alias("_m"))
         # The budget ends in this bucket; a source whose rows all fit has no such bucket and needs no threshold.
-        state = first.select("_s", (F.col("_left") - F.col("_m._upto") + F.col("_m._n")).alias("_left"), (F.col("_prefix") * (1 << BITS) + F.col("_m._b")).alias("_prefix"))
-    inside = sized.join(hint_small(state, "mixing-state"), F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("_hash", 60 - BITS * LEVELS) == F.col("_prefix"))
+        state = first.select(
+            "_s", (F.col("_left") - F.col("_m._upto") + F.col("_m._n")).alias("_left"),
+            (F.col("_prefix") * (1 << BITS) + F.col("_m._b")).alias("_prefix")
+        )
+    inside = sized.join(
+        hint_small(state, "mixing-state"), F.col("source").eqNullSafe(F.col("_s"))
+    ).where(F.shiftright("_hash", 60 - BITS * LEVELS) == F.col("_prefix"))
     single = inside.groupBy("_s", "_left", "_hash").agg(F.sum("size").alias("_n"))
     run = Window.partitionBy("_s").orderBy("_hash")
     cut = single.withColumn("_sum", F.sum("_n").over(run)).where(F.col("_sum") > F.col("_left"))
@@ -87,10 +92,16 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return last.select(F.col("_s"), F.when(near, F.col("_m._hash") + 1).otherwise(F.col("_m._hash")).alias("_below"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def plan_mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source"
+) -> tuple[DataFrame, DataFrame]:
     """sized: doc_id, source, size, _hash by document; plan: _t (source), source_size, target, _rounds, _below by source."""
     sized = durable(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("_hash")),
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
+            doc_hash(F.col(id_col), F.col(text_col)).alias("_hash")
+        ),
         "mixing-sizes",
     )
     targets = durable(source_targets(sized, weights, share, float(most)), "mixing-targets")
@@ -99,7 +110,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     rounds = targets.withColumn("_rounds", whole.cast("long"))
     budgets = rounds.select("source", (F.col("target") - F.col("_rounds") * F.col("source_size")).alias("_budget")).where("_budget > 0")
     cuts = thresholds(sized, budgets)
-    plan = rounds.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_t"), "source_size", "target", "_rounds", F.coalesce("_below", F.lit(0)).alias("_below"))
+    plan = rounds.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        F.col("source").alias("_t"), "source_size", "target", "_rounds", F.coalesce("_below", F.lit(0)).alias("_below")
+    )
     # One row a source: broadcast if counted to be few, so that a source with a third of all rows is not dealt to one task.
     return sized, hint_small(plan, "mixing-plan")
 
@@ -123,7 +136,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, *, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source"
+) -> DataFrame:
     """The rows of docs with all their columns, each as often as the mix takes it. Texts are not moved.
 
     Nulls, repeated rows, empty texts and empty tables are handled as in mix(); columns keep their names, whatever those are.

@@ -76,11 +76,17 @@ def matches(text: Column, pattern: str, needs: Column) -> Column:
         starts = F.aggregate(steps, F.expr("cast(array() as array<int>)"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + x)))
         return F.transform(
             F.arrays_zip(m.alias("m"), starts.alias("s")),
-            lambda z, i: F.struct(z["s"].alias("start"), z["m"].alias("txt"), F.right(F.get(p, i), F.lit(40)).alias("before"), F.left(F.get(p, i + 1), F.lit(20)).alias("after")),
+            lambda z, i: F.struct(
+                z["s"].alias("start"), z["m"].alias("txt"), F.right(F.get(p, i), F.lit(40)).alias("before"),
+                F.left(F.get(p, i + 1), F.lit(20)).alias("after")
+            ),
         )
 
     # A one-element array makes the two results a variable of the lambda, so that they are computed once.
-    return F.coalesce(F.get(F.transform(F.array(both), lambda b: F.when(b.isNotNull(), one(b))), F.lit(0)), F.expr("cast(array() as array<struct<start:int,txt:string,before:string,after:string>>)"))
+    return F.coalesce(
+        F.get(F.transform(F.array(both), lambda b: F.when(b.isNotNull(), one(b))), F.lit(0)),
+        F.expr("cast(array() as array<struct<start:int,txt:string,before:string,after:string>>)")
+    )
 
 
 def _digits(txt: Column) -> Column:
@@ -141,7 +147,9 @@ def _listed(kind: str, txt: Column) -> Column:
         "email": F.when(_restored(txt).rlike(DOMAINS), YES).otherwise(NO),
         "ip": F.when(txt.rlike(r"^0(?![0-9])|(?:^|[^0-9])0[0-9]"), NO).when(txt.rlike(r"^(?:10|127|172|192)(?![0-9])"), YES).otherwise(ABSTAIN),
         "card": F.when(txt.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), YES).when(txt.rlike("^[0-17-9]"), NO).otherwise(ABSTAIN),
-        "phone": F.when(txt.rlike(r"^(?:\+|00)[1-9]"), YES).when((n == 10) & area.rlike("^[2-9][0-9]{2}[2-9]"), YES).when((n == 10) & area.rlike("^[01]{2}"), NO).otherwise(ABSTAIN),
+        "phone": F.when(txt.rlike(r"^(?:\+|00)[1-9]"), YES).when(
+            (n == 10) & area.rlike("^[2-9][0-9]{2}[2-9]"), YES
+        ).when((n == 10) & area.rlike("^[01]{2}"), NO).otherwise(ABSTAIN),
     }[kind]
 
 
@@ -173,7 +181,10 @@ def candidates(text: Column, kind: str, base: bool) -> Column:
             feature("left", F.when(m["before"].rlike(r"[\s]$"), "space").when(m["before"] == "", "edge").otherwise("mark")),
         )
         own = F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), (m["start"] + n).alias("stop"))
-        return F.struct(own["kind"].alias("kind"), own["start"].alias("start"), own["stop"].alias("stop"), F.lit(base).alias("base"), votes.alias("votes"), features.alias("features"))
+        return F.struct(
+            own["kind"].alias("kind"), own["start"].alias("start"), own["stop"].alias("stop"), F.lit(base).alias("base"), votes.alias("votes"),
+            features.alias("features")
+        )
 
     return F.transform(found, described)
 
@@ -193,7 +204,9 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
     weight = lambda q: f"aggregate(x, 0D, (a, y) -> a + y.n * {q})"
     share = lambda q, true: (
         "array(" + ",".join(
-            "array(" + ",".join(f"(aggregate(x, 0D, (a, y) -> a + if(y.votes[{i}] = {v}, y.n * {q}, 0D)) + {ALPHA * 10 * guess[true][v]}D) / ({weight(q)} + {ALPHA * 10}D)" for v in range(3)) + ")"
+            "array(" + ",".join(
+                f"(aggregate(x, 0D, (a, y) -> a + if(y.votes[{i}] = {v}, y.n * {q}, 0D)) + {ALPHA * 10 * guess[true][v]}D) / ({weight(q)} + {ALPHA * 10}D)" for v in range(3)
+            ) + ")"
             for i in range(LABELERS)
         ) + ")"
     )
@@ -201,7 +214,10 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
         f"transform(array(transform(ps, p -> struct(p.votes as votes, p.n as n, {posterior} as q))), x -> "
         f"named_struct('prior', ({weight('y.q')} + {ALPHA}D) / ({weight('1D')} + {2 * ALPHA}D), 't1', {share('y.q', True)}, 't0', {share('(1D - y.q)', False)}))[0]"
     )
-    fitted = per_kind.select("kind", "ps", F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('prior', 0.5D, 't1', {start(True)}, 't0', {start(False)}), (s, r) -> {step})").alias("s"))
+    fitted = per_kind.select(
+        "kind", "ps",
+        F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('prior', 0.5D, 't1', {start(True)}, 't0', {start(False)}), (s, r) -> {step})").alias("s")
+    )
     return fitted.select("kind", F.expr(f"explode(transform(ps, p -> struct(p.votes as votes, {posterior} as q)))").alias("e")).select("kind", "e.votes", "e.q")
 
 
@@ -255,7 +271,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def listed(spans: Column) -> Column:
     """kind:start:end by kind as in KINDS, then start, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))),
+        ","
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -82,7 +82,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.append(v)
         n_words, word_chars, n_symbols, n_repeat = (pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols)
         dup = pa.array([_dup_lines(t.as_py() or "") for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n_words, word_chars, n_symbols, dup, n_repeat], ["doc_id", "tkey", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), n_words, word_chars, n_symbols, dup, n_repeat],
+            ["doc_id", "tkey", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        )
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,9 @@ def log_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(p_target / p_raw) by bucket; docs: (doc_id, text), trusted: (doc_id), bounded. The raw counts are of all documents."""
     marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
     flagged = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    rows = flagged.mapInArrow(_histogram, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    rows = flagged.mapInArrow(_histogram, "bucket int, raw long, target long").groupBy("bucket").agg(
+        F.sum("raw").alias("raw"), F.sum("target").alias("target")
+    ).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -169,12 +174,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED, id_col:
     id are judged each by their text. Other columns are ignored.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key().alias("tkey"), "text")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
+    ).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
     ratio = log_ratio(keyed, sample)
     scored = durable(keyed.mapInArrow(_both(ratio), BASE + ", score double"), "quality-scores")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = scored.withColumn("base_failed", base_failed)
-    bins = judged.where("not base_failed").join(known, "doc_id").groupBy(F.round("score", 3).alias("score")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    bins = judged.where("not base_failed").join(known, "doc_id").groupBy(F.round("score", 3).alias("score")).agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
+    )
     cut = best_cut([(r["score"], r["good"], r["bad"]) for r in bins.collect()])  # scores lie within +-12: few thousand bins
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))

@@ -39,7 +39,13 @@ def _header(kind: Column) -> Column:
             F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A"))).otherwise(""),
             line("WARC-Date", F.lit(DATE)),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-            F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("response_id").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
+            F.when(
+                revisit,
+                F.concat(
+                    line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("response_id").cast("string"), F.lit(">"))),
+                    line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+                )
+            ).otherwise(""),
             line("Content-Type", F.lit("text/html; charset=utf-8")),
             line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))),
             F.lit("\r\n"),
@@ -60,7 +66,10 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     slim = durable(
-        pages.select("page_id", url.alias("url"), payload.alias("p")).select("page_id", "url", F.sha2("p", 256).alias("sha256"), base32_sha1(F.col("p")).alias("sha1"), F.octet_length("p").cast("long").alias("payload_bytes")),
+        pages.select("page_id", url.alias("url"), payload.alias("p")).select(
+            "page_id", "url", F.sha2("p", 256).alias("sha256"), base32_sha1(F.col("p")).alias("sha1"),
+            F.octet_length("p").cast("long").alias("payload_bytes")
+        ),
         "warc-slim",
     )
     first = slim.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
@@ -71,7 +80,12 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     kind = F.when(revisit, "revisit").otherwise("response")
     again.withColumn("header", _header(kind)).select("header", "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
     # Payloads are written by the one page that keeps them, so that only ids move and not the bytes.
-    spare = durable(again.where("n > 1").where(~F.col("page_id").eqNullSafe(F.col("response_id"))).select(F.col("page_id").alias("_spare"), F.col("sha256").alias("_sum")).distinct(), "warc-spare")
+    spare = durable(
+        again.where("n > 1").where(~F.col("page_id").eqNullSafe(F.col("response_id"))).select(
+            F.col("page_id").alias("_spare"), F.col("sha256").alias("_sum")
+        ).distinct(),
+        "warc-spare"
+    )
     n = spare.count()
     full = pages.select("page_id", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     if n:
@@ -86,7 +100,9 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(sha256, payload); fails on a payload whose bytes do not give the digest it is stored under."""
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    good = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
+    good = F.when(
+        F.sha2("payload", 256) == F.col("sha256"), F.col("payload")
+    ).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
     return stored.select("sha256", good.alias("payload"))
 
 

@@ -27,7 +27,10 @@ ROWS = [
     (7, "😀 ümlaut ß ﬁ \x00 İ", "de", "😀", 1),
 ]
 #: Names that the operators use for themselves.
-CLASHES = ("tkey", "_id", "_key", "_hash", "_copies", "_copy", "_tkey", "node", "digest", "size", "shard", "slot", "label", "key", "n", "_s", "_t", "_gone_id", "_gone_key", "score", "row", "curve")
+CLASHES = (
+    "tkey", "_id", "_key", "_hash", "_copies", "_copy", "_tkey", "node", "digest", "size", "shard", "slot", "label", "key", "n", "_s", "_t",
+    "_gone_id", "_gone_key", "score", "row", "curve"
+)
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +50,9 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def bench(spark):
-    return spark.createDataFrame([(1, LINE), (2, "words that"), (3, None), (4, ""), (None, "second line with other words"), (5, LINE)], "item_id long, text string")
+    return spark.createDataFrame(
+        [(1, LINE), (2, "words that"), (3, None), (4, ""), (None, "second line with other words"), (5, LINE)], "item_id long, text string"
+    )
 
 
 def test_substring_dedup(odd, none):
@@ -66,7 +71,8 @@ def test_personal_data(spark, none):
     texts = [
         "a.b+c@d.ef.gh_x@y.z 1.2.3.4.5 256.1.1.1 001.02.3.4 +1 (743) 555-3824) +12 +1234567 4111 1111 1111 1111 4111-1111-1111-1112 12345678901234567890",
         "x" * 3_000 + "@" + "y.z" * 10 + "1" * 3_000 + " +" + "1" * 3_000,
-        "1" + " 1" * 100_000, "@@@ a@b a@b. a@.b a@b..c +1() " * 50, "é😀 me@x.org ünd", None, "", "call 555-123-4567 or (555) 123-4567, mail me (at) host (dot) com",
+        "1" + " 1" * 100_000, "@@@ a@b a@b. a@.b a@b..c +1() " * 50, "é😀 me@x.org ünd", None, "",
+        "call 555-123-4567 or (555) 123-4567, mail me (at) host (dot) com",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit("x")).withColumn("cands", F.lit(1))
     for r in pii.digest(pii.find(docs)).collect():
@@ -216,18 +222,28 @@ def test_language(odd, none):
 
 
 def test_archive(spark, tmp_path):
-    rows = [(1, "u", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "a\r\nb: c", None), (4, "v", ""), (4, "v", ""), (5, "w", "x\r\n\r\nWARC/1.1\r\n"), (5, "w", "other"), (None, "z", "<p>é</p>")]
+    rows = [
+        (1, "u", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "a\r\nb: c", None), (4, "v", ""), (4, "v", ""), (5, "w", "x\r\n\r\nWARC/1.1\r\n"),
+        (5, "w", "other"), (None, "z", "<p>é</p>")
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit("x")).withColumn("payload", F.lit("y"))
     warc.write_archive(pages, f"{tmp_path}/a")
     back = warc.read_records(spark, f"{tmp_path}/a")
     got = warc.parse_records(back).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted(
-        [("1", "revisit", "2"), ("2", "response", "None"), ("3", "revisit", "4"), ("4", "response", "None"), ("4", "response", "None"), ("5", "response", "None"), ("5", "response", "None"), ("None", "revisit", "2")]
+        [
+            ("1", "revisit", "2"), ("2", "response", "None"), ("3", "revisit", "4"), ("4", "response", "None"), ("4", "response", "None"),
+            ("5", "response", "None"), ("5", "response", "None"), ("None", "revisit", "2")
+        ]
     )
     assert all(r.declared_digest == f"sha1:{r.payload_digest}" for r in got)
     assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 4
-    record = next(bytes(r.record) for r in warc.record_bytes(back.where("decode(header, 'utf-8') like '%page:2>%response%' or decode(header, 'utf-8') like '%response%page:2>%'")).collect())
+    record = next(
+        bytes(r.record) for r in warc.record_bytes(
+            back.where("decode(header, 'utf-8') like '%page:2>%response%' or decode(header, 'utf-8') like '%response%page:2>%'")
+        ).collect()
+    )
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith("\r\n\r\n<p>é</p>\r\n\r\n".encode())
     warc.write_archive(pages, f"{tmp_path}/b", least=5)
     few = warc.parse_records(warc.read_records(spark, f"{tmp_path}/b")).collect()

@@ -54,7 +54,10 @@ def test_passages_are_found_inside_of_lines(spark):
 def test_every_repeated_line_goes(spark):
     """Equal lines and exact copies go whatever their length; the first stays, with the offsets of what went."""
     marks = "\n".join(" ".join(f"word{i + k}!!" for k in range(8)) for i in range(20))
-    rows = [(1, marks), (2, marks), (3, "Yes.\nBut this line stands nowhere else in here."), (4, "It says 3.14. No. Yes.\n yes. \n\n..."), (5, "It says 3.14. No. Yes.\nNo.\n\n...")]
+    rows = [
+        (1, marks), (2, marks), (3, "Yes.\nBut this line stands nowhere else in here."), (4, "It says 3.14. No. Yes.\n yes. \n\n..."),
+        (5, "It says 3.14. No. Yes.\nNo.\n\n...")
+    ]
     got = {r.doc_id: r for r in substring_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].text == marks and got[1].n_removed == 0
     assert got[2].text == "" and got[2].n_removed == 20 and got[2].removed.startswith("0:63:1:0,")
