@@ -56,7 +56,10 @@ def title_role(title: str | Column, language: str | Column) -> Column:
             .when(bare.isin(sorted({normal(p).strip() for p in V.EDITORIAL_HEADINGS})), said(V.PARATEXT, bare))
             .when(bare.rlike(r"^p\s?iano\s+del\s+capitolo(?:\s+\d+)?$"), said(V.CONTENTS, V.CHAPTER_PLAN))
             .when(bare.isin(*V.SPACED_NOTE_HEADINGS), said(V.NOTE, "note"))
-            .when(has_phrase(norm, V.NOTES_AND_REFERENCES) | norm.rlike(r"(?<![0-9a-z_])n\s+ote\s+e\s+riferimenti\s+bibliografici(?![0-9a-z_])"), said(V.NOTE, V.NOTES_AND_REFERENCES))
+            .when(
+                has_phrase(norm, V.NOTES_AND_REFERENCES) | norm.rlike(r"(?<![0-9a-z_])n\s+ote\s+e\s+riferimenti\s+bibliografici(?![0-9a-z_])"),
+                said(V.NOTE, V.NOTES_AND_REFERENCES)
+            )
             .otherwise(bound(hit, lambda h: F.when(h.isNotNull(), F.struct(h["role"].alias("role"), h["phrase"].alias("phrase")))))
         )
 
@@ -79,7 +82,9 @@ def marker_role(markers: str | Column) -> Column:
 def numbered_notes(text: str | Column, links: str | Column) -> Column:
     """Whether a text with three links or more begins [1] and counts on [2], [3]."""
     numbers = F.transform(F.slice(F.regexp_extract_all(col(text), F.lit(r"\[\s*(\d{1,4})\s*\]"), F.lit(1)), 1, 3), lambda n: n.cast("int"))
-    return F.coalesce((col(links) >= 3) & col(text).rlike(rf"^{SPACE}*\[{SPACE}*1{SPACE}*\]") & (numbers == F.array(F.lit(1), F.lit(2), F.lit(3))), F.lit(False))
+    return F.coalesce(
+        (col(links) >= 3) & col(text).rlike(rf"^{SPACE}*\[{SPACE}*1{SPACE}*\]") & (numbers == F.array(F.lit(1), F.lit(2), F.lit(3))), F.lit(False)
+    )
 
 
 def declared_roles(epub_types: str | Column, aria: str | Column, references: bool = True) -> Column:

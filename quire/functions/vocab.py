@@ -126,17 +126,29 @@ CHAPTER_PLAN = "piano del capitolo"
 TITLE_PHRASES = {
     "it": {
         NOTE: ("note", "nota", "nota al testo", "note al testo", "note bibliografiche", "nota del traduttore", "note del traduttore", "annotazioni"),
-        BIBLIOGRAPHY: ("bibliografia", "nota bibliografica", "selezione bibliografica", "fonti bibliografiche", "riferimenti bibliografici", "fonti", "opere citate", "bibliografia essenziale", "letture"),
-        CONTENTS: ("indice", "sommario", "indice generale", "elenco delle illustrazioni", "indice delle illustrazioni", "elenco delle figure", "indice delle figure"),
+        BIBLIOGRAPHY: (
+            "bibliografia", "nota bibliografica", "selezione bibliografica", "fonti bibliografiche", "riferimenti bibliografici", "fonti",
+            "opere citate", "bibliografia essenziale", "letture"
+        ),
+        CONTENTS: (
+            "indice", "sommario", "indice generale", "elenco delle illustrazioni", "indice delle illustrazioni", "elenco delle figure",
+            "indice delle figure"
+        ),
         PARATEXT: (
             "copertina", "frontespizio", "occhiello", "colophon", "copyright", "dedica", "ringraziamenti", "l'autore",
             "l'autrice", "gli autori", "dello stesso autore", "della stessa autrice", "il libro", "nota dell'editore",
             "avvertenza", "crediti", "quest'opera", "notizie sull'autore", "notizie sull'autrice", "nota sull'autore",
             "nota sull'autrice", "biografia dell'autore", "biografia dell'autrice",
         ),
-        THRESHOLD: ("prefazione", "introduzione", "premessa", "postfazione", "prologo", "epilogo", "conclusioni", "conclusione", "nota introduttiva", "note conclusive", "presentazione", "avvertenza dell'autore", "nota editoriale"),
+        THRESHOLD: (
+            "prefazione", "introduzione", "premessa", "postfazione", "prologo", "epilogo", "conclusioni", "conclusione", "nota introduttiva",
+            "note conclusive", "presentazione", "avvertenza dell'autore", "nota editoriale"
+        ),
         APPENDIX: ("appendice", "appendici", "allegati", "documenti", "cronologia", "glossario", "tavole"),
-        ANALYTIC_INDEX: ("indice analitico", "indice dei nomi", "indice dei luoghi", "indice delle cose notevoli", "indice dei temi", "abbreviazioni", "elenco delle abbreviazioni", "sigle"),
+        ANALYTIC_INDEX: (
+            "indice analitico", "indice dei nomi", "indice dei luoghi", "indice delle cose notevoli", "indice dei temi", "abbreviazioni",
+            "elenco delle abbreviazioni", "sigle"
+        ),
         BODY: ("capitolo", "parte", "libro primo", "libro secondo", "sezione"),
     },
     "en": {
@@ -144,7 +156,10 @@ TITLE_PHRASES = {
         BIBLIOGRAPHY: ("bibliography", "references", "works cited", "further reading", "sources"),
         ANALYTIC_INDEX: ("index", "name index", "subject index", "general index", "abbreviations", "list of abbreviations"),
         CONTENTS: ("contents", "table of contents", "list of illustrations", "list of figures"),
-        PARATEXT: ("cover", "title page", "half title", "copyright", "colophon", "dedication", "acknowledgements", "acknowledgments", "about the author", "also by", "about the authors", "author biography", "author bio", "front matter", "back matter"),
+        PARATEXT: (
+            "cover", "title page", "half title", "copyright", "colophon", "dedication", "acknowledgements", "acknowledgments", "about the author",
+            "also by", "about the authors", "author biography", "author bio", "front matter", "back matter"
+        ),
         THRESHOLD: ("preface", "introduction", "foreword", "prologue", "epilogue", "afterword", "conclusion"),
         APPENDIX: ("appendix", "appendices", "glossary", "chronology", "tables"),
         BODY: ("chapter", "part", "book one", "book two", "section"),
@@ -164,7 +179,10 @@ TITLE_PHRASES = {
         BIBLIOGRAPHY: ("bibliographie", "references", "sources", "ouvrages cites"),
         ANALYTIC_INDEX: ("index", "index des noms", "abreviations", "liste des abreviations"),
         CONTENTS: ("sommaire", "table des matieres", "liste des illustrations", "table des illustrations"),
-        PARATEXT: ("couverture", "page de titre", "copyright", "dedicace", "remerciements", "a propos de l'auteur", "a propos de l'autrice", "biographie de l'auteur", "biographie de l'autrice", "de meme auteur"),
+        PARATEXT: (
+            "couverture", "page de titre", "copyright", "dedicace", "remerciements", "a propos de l'auteur", "a propos de l'autrice",
+            "biographie de l'auteur", "biographie de l'autrice", "de meme auteur"
+        ),
         THRESHOLD: ("preface", "introduction", "avant-propos", "postface", "prologue", "epilogue", "conclusion"),
         APPENDIX: ("annexe", "annexes", "glossaire", "chronologie"),
         BODY: ("chapitre", "partie", "livre premier"),
@@ -174,7 +192,10 @@ TITLE_PHRASES = {
         BIBLIOGRAPHY: ("bibliografia", "referencias", "obras citadas", "fuentes"),
         ANALYTIC_INDEX: ("indice analitico", "indice de nombres", "abreviaturas", "lista de abreviaturas"),
         CONTENTS: ("indice", "contenido", "sumario", "lista de ilustraciones", "indice de ilustraciones"),
-        PARATEXT: ("cubierta", "portada", "creditos", "dedicatoria", "agradecimientos", "sobre el autor", "sobre la autora", "biografia del autor", "biografia de la autora"),
+        PARATEXT: (
+            "cubierta", "portada", "creditos", "dedicatoria", "agradecimientos", "sobre el autor", "sobre la autora", "biografia del autor",
+            "biografia de la autora"
+        ),
         THRESHOLD: ("prefacio", "introduccion", "prologo", "epilogo", "conclusion"),
         APPENDIX: ("apendice", "anexo", "glosario", "cronologia"),
         BODY: ("capitulo", "parte", "seccion"),

@@ -69,7 +69,10 @@ class Session:
 
 def accept_all(findings: DataFrame, updated_at: str) -> DataFrame:
     """Decisions that accept every finding that can become an override."""
-    return findings.where("can_override").select("book_id", "finding_id", F.lit("accepted").alias("decision"), F.col("proposed_category").alias("category"), F.lit("").alias("note"), F.lit(updated_at).alias("updated_at"), F.lit(False).alias("deleted"))
+    return findings.where("can_override").select(
+        "book_id", "finding_id", F.lit("accepted").alias("decision"), F.col("proposed_category").alias("category"), F.lit("").alias("note"),
+        F.lit(updated_at).alias("updated_at"), F.lit(False).alias("deleted")
+    )
 
 
 def range_conflicts(ranges: DataFrame) -> DataFrame:
@@ -85,11 +88,15 @@ def annotations_for_export(findings: DataFrame, decisions: DataFrame, manual: Da
     text_fingerprint, note, updated_at, deleted.
     """
     kept = latest(decisions, ["book_id", "finding_id"]).where(F.col("decision").isin("accepted", "edited") & F.col("category").isin(*V.CATEGORIES))
-    approved = findings.where("can_override").join(kept.select("book_id", "finding_id", "category", F.col("note").alias("_note"), F.col("updated_at").alias("_at")), ["book_id", "finding_id"])
+    approved = findings.where("can_override").join(
+        kept.select("book_id", "finding_id", "category", F.col("note").alias("_note"), F.col("updated_at").alias("_at")), ["book_id", "finding_id"]
+    )
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     suggested = approved.select(
-        "book_id", "scope", F.col("category").alias("label"), "href", "block_id", "xpath", "fingerprint", none("string", "range_id"), none("int", "start"), none("int", "end"), none("string", "text_fingerprint"),
-        F.coalesce(F.nullif("_note", F.lit("")), "explanation").alias("note"), F.col("_at").alias("updated_at"), F.lit(0).alias("_rank"), F.col("run").alias("_run"),
+        "book_id", "scope", F.col("category").alias("label"), "href", "block_id", "xpath", "fingerprint", none("string", "range_id"),
+        none("int", "start"), none("int", "end"), none("string", "text_fingerprint"),
+        F.coalesce(F.nullif("_note", F.lit("")), "explanation").alias("note"), F.col("_at").alias("updated_at"), F.lit(0).alias("_rank"),
+        F.col("run").alias("_run"),
     )
     target = TARGET
     own = latest(manual, target).withColumns({"_rank": F.lit(1), "_run": F.col("updated_at")})

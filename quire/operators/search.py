@@ -71,4 +71,6 @@ def find_text(sequences: DataFrame, queries: DataFrame, case_sensitive: bool = F
     both = found.join(F.broadcast(wanted) if passes == 1 else wanted, "_needle")  # counted: few, or a shuffle of the hits
     at = F.transform(occurrences(F.col("_hay"), F.col("_needle")), lambda a: F.struct(a.alias("start"), (a + F.length("_needle")).alias("stop")))
     cut = passages(both, at, "query")
-    return cut.select("query", "book_id", "href", "category", "sequence_id", F.col("cut.start").alias("start"), F.col("cut.stop").alias("stop"), "text", "anchor")
+    return cut.select(
+        "query", "book_id", "href", "category", "sequence_id", F.col("cut.start").alias("start"), F.col("cut.stop").alias("stop"), "text", "anchor"
+    )

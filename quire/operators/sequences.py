@@ -33,7 +33,9 @@ def sequences(units: DataFrame, categories=("work_text",)) -> DataFrame:
     """
     kept = units.where(F.col("category").isin(chosen(categories)))
     order = Window.partitionBy("book_id").orderBy("order")
-    same = (F.col("order") == F.lag("order").over(order) + 1) & (F.col("href") == F.lag("href").over(order)) & (F.col("category") == F.lag("category").over(order)) & (F.col("use") == F.lag("use").over(order))
+    same = (F.col("order") == F.lag("order").over(order) + 1) & (F.col("href") == F.lag("href").over(order)) & (
+        F.col("category") == F.lag("category").over(order)
+    ) & (F.col("use") == F.lag("use").over(order))
     runs = kept.withColumn("run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(order))
     cast = F.struct("order", "unit_id", "text", "title", "confidence", "source", "evidence", "fragments")
     grouped = runs.groupBy("book_id", "run", "href", "category", "use").agg(F.array_sort(F.collect_list(cast)).alias("us"))
@@ -44,12 +46,15 @@ def sequences(units: DataFrame, categories=("work_text",)) -> DataFrame:
         F.transform(
             "us",
             lambda u, i: F.struct(
-                u["unit_id"].alias("unit_id"), F.get("_starts", i).alias("start"), (F.get("_starts", i) + F.length(u["text"])).alias("stop"), u["text"].alias("text"), u["title"].alias("title"),
+                u["unit_id"].alias("unit_id"), F.get("_starts", i).alias("start"), (F.get("_starts", i) + F.length(u["text"])).alias("stop"),
+                u["text"].alias("text"), u["title"].alias("title"),
                 u["confidence"].alias("confidence"), u["source"].alias("source"), u["evidence"].alias("evidence"), u["fragments"].alias("fragments"),
             ),
         ),
     )
-    ends = lambda field: F.array_sort(F.array_distinct(F.flatten(F.transform("units", lambda u: F.transform(u["fragments"], lambda f: u["start"] + f[field])))))
+    ends = lambda field: F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "units", lambda u: F.transform(u["fragments"], lambda f: u["start"] + f[field])
+    ))))
     first, last = F.get("units", F.lit(0)), F.get("units", F.size("units") - 1)
     return placed.select(
         "book_id",
@@ -75,7 +80,10 @@ def passage(start: Column, stop: Column) -> Column:
 
     def build(a: Column, b: Column, touched: Column, body: Column) -> Column:
         first, last = F.get(touched, F.lit(0)), F.get(touched, F.size(touched) - 1)
-        place = anchor(F.col("book_id"), F.col("href"), point(first["fragments"], first["text"], a - first["start"]), point(last["fragments"], last["text"], F.least(F.length(last["text"]), b - last["start"]), final=True), body)
+        place = anchor(
+            F.col("book_id"), F.col("href"), point(first["fragments"], first["text"], a - first["start"]),
+            point(last["fragments"], last["text"], F.least(F.length(last["text"]), b - last["start"]), final=True), body
+        )
         return bound(
             place,
             lambda p: F.struct(
@@ -88,7 +96,9 @@ def passage(start: Column, stop: Column) -> Column:
                 F.array_distinct(F.transform(touched, lambda u: u["source"])).alias("sources"),
                 F.array_distinct(F.flatten(F.transform(touched, lambda u: u["evidence"]))).alias("evidence"),
                 p.alias("anchor"),
-                joined_id("book_id", "sequence_id", p["start"]["xpath"], p["start"]["offset"], p["end"]["xpath"], p["end"]["offset"], p["text_fingerprint"]).alias("id"),
+                joined_id(
+                    "book_id", "sequence_id", p["start"]["xpath"], p["start"]["offset"], p["end"]["xpath"], p["end"]["offset"], p["text_fingerprint"]
+                ).alias("id"),
             ),
         )
 
@@ -120,19 +130,34 @@ def resolve_sources(sources: DataFrame, units: DataFrame) -> DataFrame:
     are listed and joined to the document's pieces by number, so an anchor meets no piece that it does not name.
     """
     a = F.col("anchor")
-    key = F.sha2(F.to_json(F.struct(a["epub_sha256"], a["href"], *[a[e][f] for e in ("start", "end") for f in ("xpath", "element_fingerprint", "offset")], a["text_fingerprint"])), 256)
+    key = F.sha2(
+        F.to_json(F.struct(
+            a["epub_sha256"], a["href"], *[a[e][f] for e in ("start", "end") for f in ("xpath", "element_fingerprint", "offset")],
+            a["text_fingerprint"]
+        )),
+        256
+    )
     named = sources.withColumn("_source", key)
-    wanted = named.select("_source", a["epub_sha256"].alias("book_id"), a["href"].alias("href"), a["start"].alias("_s"), a["end"].alias("_e"), a["text_fingerprint"].alias("_want")).dropDuplicates(["_source"])
+    wanted = named.select(
+        "_source", a["epub_sha256"].alias("book_id"), a["href"].alias("href"), a["start"].alias("_s"), a["end"].alias("_e"),
+        a["text_fingerprint"].alias("_want")
+    ).dropDuplicates(["_source"])
     pieces = units.select("book_id", "href", F.col("order").alias("_order"), F.posexplode("fragments").alias("_at", "_f"), F.col("text").alias("_unit"))
     place = F.row_number().over(Window.partitionBy("book_id", "href").orderBy("_order", "_at"))
     text = F.substring("_unit", F.col("_f.start") + 1, F.col("_f.stop") - F.col("_f.start"))
     spots = pieces.withColumn("_place", place).select(
-        "book_id", "href", "_place", F.col("_f.xpath").alias("_xpath"), F.col("_f.fingerprint").alias("_print"), F.col("_f.source_start").alias("_from"), text.alias("_text")
+        "book_id", "href", "_place", F.col("_f.xpath").alias("_xpath"), F.col("_f.fingerprint").alias("_print"),
+        F.col("_f.source_start").alias("_from"), text.alias("_text")
     )
     slim = spots.select("book_id", "href", "_place", "_xpath", "_print", "_from", F.length("_text").alias("_length"))
-    at = lambda end: wanted.select("_source", "book_id", "href", F.col(f"{end}.xpath").alias("_xpath"), F.col(f"{end}.element_fingerprint").alias("_print"), F.col(f"{end}.offset").alias("_offset"))
+    at = lambda end: wanted.select(
+        "_source", "book_id", "href", F.col(f"{end}.xpath").alias("_xpath"), F.col(f"{end}.element_fingerprint").alias("_print"),
+        F.col(f"{end}.offset").alias("_offset")
+    )
     same = ["book_id", "href", "_xpath", "_print"]
-    begins = at("_s").join(slim, same).where("_from <= _offset and _offset < _from + _length").groupBy("_source").agg(F.min(F.struct("_place", "_from")).alias("_b"))
+    begins = at("_s").join(slim, same).where(
+        "_from <= _offset and _offset < _from + _length"
+    ).groupBy("_source").agg(F.min(F.struct("_place", "_from")).alias("_b"))
     stops = at("_e").join(slim, same).where("_from < _offset and _offset <= _from + _length").select("_source", F.struct("_place", "_from").alias("_z"))
     ends = stops.join(begins, "_source").where("_z._place >= _b._place").groupBy("_source", "_b").agg(F.min("_z").alias("_z"))
     spans = wanted.join(ends, "_source").withColumn("_place", F.explode(F.sequence("_b._place", "_z._place")))

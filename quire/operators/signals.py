@@ -23,7 +23,9 @@ MIN_SOURCES, RETURN_SHARE, MIN_PAIRS = 3, 0.6, 4
 _DOC = ["book_id", "href", "spine_index"]
 
 
-def _votes(df: DataFrame, signal: str, role: str | Column, weight: float | Column, evidence: Column | str, order: Column | int = 0, confirms: bool = False) -> DataFrame:
+def _votes(
+    df: DataFrame, signal: str, role: str | Column, weight: float | Column, evidence: Column | str, order: Column | int = 0, confirms: bool = False
+) -> DataFrame:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
         "book_id",
@@ -46,16 +48,27 @@ def declarations(books: DataFrame, documents: DataFrame, blocks: DataFrame) -> D
     share = (F.col("n_sole") / F.col("n") >= 0.7) & (F.size("sole") == 1)
     both = documents.join(per_doc, _DOC, "left")
     own = declared_roles("document_epub_types", "document_aria")
-    said = both.select(*_DOC, "epub_types", "aria", F.concat(own, F.when(share, F.array_repeat(F.get("sole", F.lit(0)), F.col("n_sole").cast("int"))).otherwise(F.array().cast("array<string>"))).alias("roles"))
+    said = both.select(
+        *_DOC, "epub_types", "aria",
+        F.concat(
+            own, F.when(share, F.array_repeat(F.get("sole", F.lit(0)), F.col("n_sole").cast("int"))).otherwise(F.array().cast("array<string>"))
+        ).alias("roles")
+    )
     counted = said.select("book_id", "href", "roles", F.posexplode(F.array_distinct("roles")).alias("i", "role"))
     n = F.size(F.filter("roles", lambda r: r == F.col("role")))
-    declared = _votes(counted, "declarations", F.col("role"), F.when(n > 2, 6.0).otherwise(5.0), F.concat(F.lit("epub:type or ARIA declares "), F.col("role")), F.col("i"))
+    declared = _votes(
+        counted, "declarations", F.col("role"), F.when(n > 2, 6.0).otherwise(5.0), F.concat(F.lit("epub:type or ARIA declares "), F.col("role")),
+        F.col("i")
+    )
     references = said.where((F.size("roles") == 0) & (F.array_contains("epub_types", "noteref") | F.array_contains("aria", "doc-noteref")))
     marks = books.select("book_id", F.posexplode("landmarks").alias("i", "m")).select("book_id", "i", "m.href", F.col("m.role").alias("mark"))
     role = F.when(F.col("mark") == "bodymatter", V.BODY).otherwise(lookup(V.EPUB_TYPE_ROLE, F.col("mark")))
     return (
         declared.unionByName(_votes(references, "declarations", V.BODY, 2.0, "has note references"))
-        .unionByName(_votes(marks.withColumn("role", role).where("role is not null"), "declarations", F.col("role"), 3.0, F.concat(F.lit("landmark "), F.col("mark")), F.col("i") + 1000))
+        .unionByName(_votes(
+            marks.withColumn("role", role).where("role is not null"), "declarations", F.col("role"), 3.0, F.concat(F.lit("landmark "), F.col("mark")),
+            F.col("i") + 1000
+        ))
     )
 
 
@@ -66,7 +79,9 @@ def explicit_role(documents: DataFrame) -> Column:
     return F.coalesce(
         F.when(F.size(declared) == 1, F.get(declared, F.lit(0))),
         title_role("title", "language")["role"],
-        F.when(name.rlike(f"(?i){V.NOTE_NAME}"), V.NOTE).when(name.rlike(f"(?i){V.INDEX_NAME}"), V.ANALYTIC_INDEX).when(name.rlike(f"(?i){V.BIBLIOGRAPHY_NAME}"), V.BIBLIOGRAPHY),
+        F.when(name.rlike(f"(?i){V.NOTE_NAME}"), V.NOTE).when(name.rlike(f"(?i){V.INDEX_NAME}"), V.ANALYTIC_INDEX).when(
+            name.rlike(f"(?i){V.BIBLIOGRAPHY_NAME}"), V.BIBLIOGRAPHY
+        ),
     )
 
 
@@ -76,19 +91,27 @@ def graph(documents: DataFrame) -> DataFrame:
     A book in which a link leads to a document of the reading order that is not in the archive gets no such votes.
     """
     links = arcs(documents)
-    facts = documents.select("book_id", "href", F.length("text").alias("chars"), explicit_role(documents).alias("explicit"), "title", title_role("title", "language")["role"].alias("title_role"), "spine_index").dropDuplicates(["book_id", "href"])
+    facts = documents.select(
+        "book_id", "href", F.length("text").alias("chars"), explicit_role(documents).alias("explicit"), "title",
+        title_role("title", "language")["role"].alias("title_role"), "spine_index"
+    ).dropDuplicates(["book_id", "href"])
     # Both are used on either side of joins below: as tables, titles are read and links are gathered once.
     facts = durable(facts, "graph-facts")
     links = durable(links, "graph-links")
     outer = links.where("src_href != dst_href").select("book_id", "src_href", "dst_href").distinct()
     lost = outer.join(facts.select("book_id", F.col("href").alias("dst_href")), ["book_id", "dst_href"], "left_anti").select("book_id").distinct()
     source = facts.select("book_id", F.col("href").alias("src_href"), F.col("explicit").alias("src_explicit"), F.col("chars").alias("src_chars"))
-    target = facts.select("book_id", F.col("href").alias("dst_href"), F.col("explicit").alias("dst_explicit"), F.col("chars").alias("dst_chars"), F.col("title").alias("dst_title"), F.col("title_role").alias("dst_title_role"), F.col("spine_index").alias("dst_order"))
+    target = facts.select(
+        "book_id", F.col("href").alias("dst_href"), F.col("explicit").alias("dst_explicit"), F.col("chars").alias("dst_chars"),
+        F.col("title").alias("dst_title"), F.col("title_role").alias("dst_title_role"), F.col("spine_index").alias("dst_order")
+    )
     returns = outer.select("book_id", F.col("dst_href").alias("src_href"), F.col("src_href").alias("dst_href"), F.lit(True).alias("returned"))
     edges = (
         outer.join(source, ["book_id", "src_href"])
         .join(target, ["book_id", "dst_href"])
-        .where(~F.coalesce(F.col("dst_explicit").isin(*V.APPARATUS), F.lit(False)) & ~F.coalesce(F.col("src_explicit").isin(*V.APPARATUS, V.NOTE), F.lit(False)))
+        .where(~F.coalesce(F.col("dst_explicit").isin(*V.APPARATUS), F.lit(False)) & ~F.coalesce(
+            F.col("src_explicit").isin(*V.APPARATUS, V.NOTE), F.lit(False)
+        ))
         .join(returns, ["book_id", "src_href", "dst_href"], "left")
         .join(mutual_anchors(links), ["book_id", "src_href", "dst_href"], "left")
         .join(lost, "book_id", "left_anti")
@@ -115,8 +138,17 @@ def graph(documents: DataFrame) -> DataFrame:
         & (F.col("pairs") / F.greatest(F.col("dst_chars"), F.lit(1)) >= F.col("pairs") / F.col("src_chars") * 1.5)
     )
     notes = sums.where(many | few).withColumn("weight", F.when(many, F.when(F.col("n") >= 8, 3.5).otherwise(2.5)).otherwise(F.when(named, 3.5).otherwise(2.5)))
-    target_votes = _votes(notes.withColumn("href", F.col("dst_href")), "graph", V.NOTE, F.col("weight"), F.when(many, F.format_string("%d documents refer to it, %d returns", "n", "n_returned")).otherwise(F.format_string("%d exact anchor pairs with %d documents", "pairs", "n")), F.col("dst_order") * 2)
-    source_votes = _votes(edges.join(notes.select("book_id", "dst_href"), ["book_id", "dst_href"]).withColumn("href", F.col("src_href")), "graph", V.BODY, 0.8, "refers to a note apparatus", F.col("dst_order") * 2 + 1)
+    target_votes = _votes(
+        notes.withColumn("href", F.col("dst_href")), "graph", V.NOTE, F.col("weight"),
+        F.when(
+            many, F.format_string("%d documents refer to it, %d returns", "n", "n_returned")
+        ).otherwise(F.format_string("%d exact anchor pairs with %d documents", "pairs", "n")),
+        F.col("dst_order") * 2
+    )
+    source_votes = _votes(
+        edges.join(notes.select("book_id", "dst_href"), ["book_id", "dst_href"]).withColumn("href", F.col("src_href")), "graph", V.BODY, 0.8,
+        "refers to a note apparatus", F.col("dst_order") * 2 + 1
+    )
     inner = reciprocal_pairs(links).groupBy("book_id", "href").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAIRS).join(lost, "book_id", "left_anti")
     inner_votes = _votes(inner, "graph", V.BODY, 1.2, F.format_string("%d reciprocal anchor pairs inside", "n"), 1_000_000)
     return target_votes.unionByName(source_votes).unionByName(inner_votes)
@@ -125,7 +157,10 @@ def graph(documents: DataFrame) -> DataFrame:
 def titles(documents: DataFrame) -> DataFrame:
     said = documents.withColumn("said", title_role("title", "language")).where("said is not null")
     weight = F.when(F.col("title_source").isin("TOC", "h1"), 3.5).otherwise(2.5)
-    return _votes(said, "title", F.col("said.role"), weight, F.concat(F.lit("title «"), F.left("title", F.lit(40)), F.lit("» contains «"), F.col("said.phrase"), F.lit("»")))
+    return _votes(
+        said, "title", F.col("said.role"), weight,
+        F.concat(F.lit("title «"), F.left("title", F.lit(40)), F.lit("» contains «"), F.col("said.phrase"), F.lit("»"))
+    )
 
 
 def count_matches(text: str, pattern: str) -> Column:
@@ -160,13 +195,19 @@ def shapes(documents: DataFrame) -> DataFrame:
     m = shape_metrics(documents).where((F.col("n_paragraphs") >= 8) & (F.length("text") >= 400))
     mean, years, cites, numbers, short = (F.col(c) for c in ("mean_chars", "years", "citations", "numbers", "short"))
     verdict = (
-        F.when(((mean < 320) & (years > 0.45) & (cites > 0.55)) | ((mean < 180) & (years > 0.65) & (short > 0.25)), F.struct(F.lit(V.BIBLIOGRAPHY).alias("role"), F.lit(2.5).alias("weight")))
+        F.when(
+            ((mean < 320) & (years > 0.45) & (cites > 0.55)) | ((mean < 180) & (years > 0.65) & (short > 0.25)),
+            F.struct(F.lit(V.BIBLIOGRAPHY).alias("role"), F.lit(2.5).alias("weight"))
+        )
         .when((short > 0.75) & (numbers > 1.6) & (mean < 110), F.struct(F.lit(V.ANALYTIC_INDEX).alias("role"), F.lit(2.5).alias("weight")))
         .when((mean < 400) & (short > 0.4) & F.col("progressive"), F.struct(F.lit(V.NOTE).alias("role"), F.lit(2.0).alias("weight")))
         .when(mean > 450, F.struct(F.lit(V.BODY).alias("role"), F.lit(1.5).alias("weight")))
     )
     said = m.withColumn("said", verdict).where("said is not null")
-    return _votes(said, "shape", F.col("said.role"), F.col("said.weight"), F.format_string("%.0f characters a paragraph, %.1f years, %.1f citation marks, %.1f numbers", "mean_chars", "years", "citations", "numbers"))
+    return _votes(
+        said, "shape", F.col("said.role"), F.col("said.weight"),
+        F.format_string("%.0f characters a paragraph, %.1f years, %.1f citation marks, %.1f numbers", "mean_chars", "years", "citations", "numbers")
+    )
 
 
 def position(documents: DataFrame) -> DataFrame:
@@ -179,14 +220,18 @@ def position(documents: DataFrame) -> DataFrame:
     phrase = F.trim(normalized(F.col("said.phrase")))
     heading = F.col("said.role").isin(*V.TEXTUAL) & (phrase != "") & ((F.col("norm") == phrase) | F.startswith("norm", F.concat(phrase, F.lit(" "))))
     words = F.size(F.filter(F.split("text", f"{SPACE}+"), lambda w: w != ""))
-    sentence = F.col("chars").between(20, 300) & (words >= 4) & F.col("text").rlike(rf"(?:\p{{L}}{{2}}\.|[!?…])(?:{SPACE}|$)") & ~F.col("text").rlike(V.SHORT_EDITORIAL)
+    sentence = F.col("chars").between(20, 300) & (words >= 4) & F.col("text").rlike(
+        rf"(?:\p{{L}}{{2}}\.|[!?…])(?:{SPACE}|$)"
+    ) & ~F.col("text").rlike(V.SHORT_EDITORIAL)
     content = F.col("text").rlike(V.CAPTION) | sentence | F.coalesce(heading, F.lit(False))
     front = (F.col("spine_index") <= 3) & (F.col("chars") < 700) & front_page_name(base_name("href"))
     untitled = F.coalesce("title", F.lit("")) == ""
     divider = (F.col("chars") < 700) & (F.size("paragraphs") <= 2) & ~content & ((~untitled & (F.col("norm") == title)) | (untitled & (F.col("chars") < 200)))
     marked = staged.withColumn("weight", F.when(front, 2.0).when((F.col("q") <= 0.08) & (F.col("chars") < 3000) & ~content, 1.2).when(divider, 0.8))
     late = marked.where("q >= 0.88")
-    evidence = F.when(F.col("weight") == 2.0, "front page name among the first documents").when(F.col("weight") == 1.2, "short and at the front").otherwise("a divider or half title")
+    evidence = F.when(
+        F.col("weight") == 2.0, "front page name among the first documents"
+    ).when(F.col("weight") == 1.2, "short and at the front").otherwise("a divider or half title")
     return (
         _votes(marked.where("not linear"), "position", V.NOTE, 1.0, "auxiliary in the reading order", 0)
         .unionByName(_votes(marked.where("weight is not null"), "position", V.PARATEXT, F.col("weight"), evidence, 1))

@@ -64,7 +64,9 @@ def metadata(b: int) -> str:
         '<meta property="dcterms:issued">2010</meta>',
         "<dc:date>in spring</dc:date>",
     )[b % 4]
-    more = (f'<meta name="calibre:series" content="Series {b}"/>' if b % 3 == 0 else "") + (f'<meta name="generator" content="Tool 1.{b}"/>' if b % 4 == 0 else "")
+    more = (
+        f'<meta name="calibre:series" content="Series {b}"/>' if b % 3 == 0 else ""
+    ) + (f'<meta name="generator" content="Tool 1.{b}"/>' if b % 4 == 0 else "")
     return f"<dc:title>Book {b}</dc:title><dc:language>{('en', 'it', 'de')[b % 3]}</dc:language><dc:publisher>Press &amp; Co</dc:publisher>{creators}{dates}{more}"
 
 
@@ -78,7 +80,9 @@ def pack(b: int, documents: list[tuple[int, list[str]]]) -> bytes:
         put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)  # noqa: E731  without the time of writing
         put("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
         items = "".join(f'<item id="i{n}" href="d{n}.xhtml"/>' for n in numbers)
-        refs = ('<itemref idref="missing"/>' if b % 4 == 1 else "") + "".join(f'<itemref idref="i{n}"{" linear=" + chr(34) + "no" + chr(34) if n % 5 == 4 else ""}/>' for n in numbers)
+        refs = ('<itemref idref="missing"/>' if b % 4 == 1 else "") + "".join(
+            f'<itemref idref="i{n}"{" linear=" + chr(34) + "no" + chr(34) if n % 5 == 4 else ""}/>' for n in numbers
+        )
         if b % 2 == 0:
             toc = "".join(f'<li><a href="d{n}.xhtml">TOC <b>{n}</b></a></li>' for n in numbers if n % 3 == 0)
             marks = f'<nav epub:type="landmarks"><ol><li><a epub:type="bodymatter" href="d{numbers[0]}.xhtml#s">Start</a></li></ol></nav>'
@@ -121,7 +125,9 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each book says about itself, or why it cannot be read."""
     rows = _read(spark, sf_dir).where("book is not null").select("path", "book_id", "book.*")
-    creator = lambda c: F.concat_ws("|", c["name"], F.concat_ws("+", c["roles"]), F.coalesce(c["file_as"], F.lit("")), F.coalesce(c["opf_id"], F.lit("")))
+    creator = lambda c: F.concat_ws(
+        "|", c["name"], F.concat_ws("+", c["roles"]), F.coalesce(c["file_as"], F.lit("")), F.coalesce(c["opf_id"], F.lit(""))
+    )
     said = F.concat_ws(";", F.transform("creators", creator))
     marks = F.concat_ws(";", F.transform("landmarks", lambda m: F.concat_ws("=", m["role"], m["href"])))
     return rows.select(
@@ -135,7 +141,8 @@ def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda c: F.concat_ws(" ", c)
     rows = _read(spark, sf_dir).where("document is not null").select("path", "document.*")
     return rows.select(
-        "path", "href", "spine_index", "linear", "title", "title_source", "broken", "text", F.concat_ws("\n", "paragraphs").alias("paragraphs"), said("epub_types").alias("epub_types"),
+        "path", "href", "spine_index", "linear", "title", "title_source", "broken", "text", F.concat_ws("\n", "paragraphs").alias("paragraphs"),
+        said("epub_types").alias("epub_types"),
         said("aria").alias("aria"), said("document_epub_types").alias("document_epub_types"), said("document_aria").alias("document_aria"), "images",
     )
 
@@ -144,7 +151,9 @@ def epub_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest blocks of every document, with the path of their element."""
     rows = _read(spark, sf_dir).where("document is not null").select("document.href", F.posexplode("document.atoms").alias("pos", "a"))
     said = lambda c: F.concat_ws(" ", F.col(f"a.{c}")).alias(c)
-    return rows.select("href", "pos", "a.xpath", "a.text", "a.shape", "a.title", "a.level", said("epub_types"), said("aria"), said("markers"), "a.links", "a.images")
+    return rows.select(
+        "href", "pos", "a.xpath", "a.text", "a.shape", "a.title", "a.level", said("epub_types"), said("aria"), said("markers"), "a.links", "a.images"
+    )
 
 
 def epub_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,11 +241,13 @@ def epub_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     fault = F.when(F.col("i") % 10 == 4, "text").when(F.col("i") % 10 == 6, "element").when(F.col("i") % 10 == 8, "place").otherwise("none")
     point = lambda i, text, offset: F.struct(
         F.concat(F.lit("/html[1]/body[1]/p["), (i + 1 + F.when(fault == "place", 100_000).otherwise(0)).cast("string"), F.lit("]")).alias("xpath"),
-        offset.cast("int").alias("offset"), F.when(fault == "element", F.lit("0" * 20)).otherwise(T.fingerprint(text, 20)).alias("element_fingerprint"), F.lit("").alias("context"),
+        offset.cast("int").alias("offset"),
+        F.when(fault == "element", F.lit("0" * 20)).otherwise(T.fingerprint(text, 20)).alias("element_fingerprint"), F.lit("").alias("context"),
     )
     end = F.when(two, point(F.col("i") + 1, after, stop)).otherwise(point(F.col("i"), F.col("x"), stop))
     anchor = F.struct(
-        "epub_sha256", F.concat(F.lit("OEBPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("href"), point(F.col("i"), F.col("x"), start).alias("start"), end.alias("end"),
+        "epub_sha256", F.concat(F.lit("OEBPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("href"),
+        point(F.col("i"), F.col("x"), start).alias("start"), end.alias("end"),
         F.when(fault == "text", F.lit("0" * 24)).otherwise(T.fingerprint(said, 24)).alias("text_fingerprint"), F.lit("").alias("quote"),
     )
     at = F.concat(F.lit("/b"), F.floor(F.col("doc_id") / BOOK).cast("string"), F.lit(".epub"))
@@ -270,7 +281,8 @@ def epub_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("href", r"d(\d+)\.xhtml$", 1).cast("long")
     a = F.col("anchor")
     return corpus.units("all").where(number % len(KINDS) == 0).select(
-        "href", F.length("text").alias("chars"), a["start"]["xpath"].alias("first"), a["start"]["offset"].alias("first_offset"), a["end"]["xpath"].alias("last"), a["end"]["offset"].alias("last_offset"),
+        "href", F.length("text").alias("chars"), a["start"]["xpath"].alias("first"), a["start"]["offset"].alias("first_offset"),
+        a["end"]["xpath"].alias("last"), a["end"]["offset"].alias("last_offset"),
         a["text_fingerprint"].alias("fingerprint"), a["quote"].alias("quote"),
     )
 
@@ -299,7 +311,9 @@ SELECT href, length(text) AS chars, '/html[1]/body[1]/' || CASE WHEN a = 1 THEN
 def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of the books that are not shut out."""
     corpus = Corpus.from_files(files(spark, sf_dir))
-    return corpus.metadata().select("path", "title", F.concat_ws(";", "authors").alias("authors"), "language", "publisher", "publication_date", "publication_date_raw")
+    return corpus.metadata().select(
+        "path", "title", F.concat_ws(";", "authors").alias("authors"), "language", "publisher", "publication_date", "publication_date_raw"
+    )
 
 
 def epub_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +322,8 @@ def epub_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("metadata")
     number = F.regexp_extract(m["source"]["href"], r"d(\d+)\.xhtml$", 1).cast("long")
     return corpus.rag_records().where(number % len(KINDS) == 0).select(
-        m["source"]["href"].alias("href"), "chunk", m["token_count"].alias("tokens"), m["category"].alias("category"), m["document_title"].alias("title"), m["book"]["title"].alias("book"),
+        m["source"]["href"].alias("href"), "chunk", m["token_count"].alias("tokens"), m["category"].alias("category"),
+        m["document_title"].alias("title"), m["book"]["title"].alias("book"),
         m["previous_id"].isNotNull().alias("follows"), m["next_id"].isNotNull().alias("goes_on"), F.length("id").alias("id_length"),
     )
 

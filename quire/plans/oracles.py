@@ -95,7 +95,10 @@ def _said(source: str, key: str, title: str, language: str, name: str) -> str:
 
 
 POS = (
-    _said("(SELECT href, book_id, CASE WHEN length(text) < 700 THEN text END AS short_text, language FROM sec)", "book_id || '/' || href", "short_text", "language", "stx")
+    _said(
+        "(SELECT href, book_id, CASE WHEN length(text) < 700 THEN text END AS short_text, language FROM sec)", "book_id || '/' || href", "short_text",
+        "language", "stx"
+    )
     + f""",
 pos0 AS (SELECT sec.*, count(*) OVER (PARTITION BY book_id) AS n, length(text) AS chars, trim({_norm('text')}) AS norm, stx.role AS said, trim({_norm('stx.phrase')}) AS phrase FROM sec LEFT JOIN stx ON stx.key = book_id || '/' || href),
 pos1 AS (SELECT *, spine_index / (n - 1) AS q,
@@ -178,7 +181,9 @@ pack(href, i, block, size) AS (SELECT href, i, 0, s FROM sized WHERE i = 1
   UNION ALL SELECT z.href, z.i, CASE WHEN p.size > 0 AND p.size + z.s > 12000 THEN p.block + 1 ELSE p.block END, CASE WHEN p.size > 0 AND p.size + z.s > 12000 THEN z.s ELSE p.size + z.s END FROM pack p JOIN sized z ON z.href = p.href AND z.i = p.i + 1)"""
 
 ORACLES: dict[str, str] = {
-    "shape_metrics": f"WITH {SEC}, {MET} SELECT doc_id, n AS n_paragraphs, progressive, " + ", ".join(f"round({c}, 4)::DECIMAL(18, 4) AS {c}" for c in ("mean_chars", "years", "citations", "numbers", "short")) + " FROM met",
+    "shape_metrics": f"WITH {SEC}, {MET} SELECT doc_id, n AS n_paragraphs, progressive, " + ", ".join(f"round({c}, 4)::DECIMAL(18, 4) AS {c}" for c in (
+        "mean_chars", "years", "citations", "numbers", "short"
+    )) + " FROM met",
     "shape_votes": f"WITH {SEC}, {MET}, {SHAPE} SELECT href, role, weight FROM shape",
     "position_votes": f"WITH {SEC}, {POS} SELECT href, role, weight, confirms FROM position",
     "doc_verdicts": f"WITH {ALL_VERDICTS} SELECT doc_id, role, confidence, category FROM verdict_c",

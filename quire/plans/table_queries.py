@@ -22,7 +22,8 @@ from quire.plans.corpus import Corpus
 from quire.sources.tables import durable
 
 TITLES = (
-    ("Note", "it"), ("Indice analitico", "it"), ("Il libro di larga circolazione", "it"), ("Prefazióne", "it"), ("Sources", "en"), ("Sources of the Nile", "en"), ("Table of Contents", "en"), ("Anhang", "de"), ("Ottocento", "it"),
+    ("Note", "it"), ("Indice analitico", "it"), ("Il libro di larga circolazione", "it"), ("Prefazióne", "it"), ("Sources", "en"),
+    ("Sources of the Nile", "en"), ("Table of Contents", "en"), ("Anhang", "de"), ("Ottocento", "it"),
     ("About the author", "fr"), ("Chapter 3", "es"), ("Notas al texto", "es"), ("References", "en"), ("Indice", "es"),
 )
 
@@ -48,7 +49,9 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir).select("doc_id", "role", F.col("confidence").cast("decimal(6,3)").alias("confidence"), category_of_role("role").alias("category"))
+    return _verdicts(spark, sf_dir).select(
+        "doc_id", "role", F.col("confidence").cast("decimal(6,3)").alias("confidence"), category_of_role("role").alias("category")
+    )
 
 
 def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,9 @@ def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.table(spark, sf_dir, "pages").where("html is not null")
-    heads = pages.select(T.heading("html")["text"].alias("title"), F.nullif(F.regexp_extract("html", '(?i)<html[^>]*lang="([a-z-]+)"', 1), F.lit("")).alias("language")).where("title is not null")
+    heads = pages.select(
+        T.heading("html")["text"].alias("title"), F.nullif(F.regexp_extract("html", '(?i)<html[^>]*lang="([a-z-]+)"', 1), F.lit("")).alias("language")
+    ).where("title is not null")
     both = heads.unionByName(spark.createDataFrame(list(TITLES), "title string, language string")).distinct()
     said = both.withColumn("said", title_role("title", "language"))
     return said.select("title", "language", F.col("said.role").alias("role"))
@@ -79,7 +84,9 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").where("text is not null")
-    return docs.groupBy(T.fingerprint("text", 24).alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+    return docs.groupBy(T.fingerprint("text", 24).alias("fingerprint")).agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")
+    ).where("copies > 1")
 
 
 def page_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +113,10 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def href_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.table(spark, sf_dir, "pages").where("html is not null")
     base = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
-    each = pages.select("page_id", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit("""(?i)<a\\b[^>]*href\\s*=\\s*["']([^"']+)["']"""), F.lit(1))).alias("href"))
+    each = pages.select(
+        "page_id", base.alias("base"),
+        F.explode(F.regexp_extract_all("html", F.lit("""(?i)<a\\b[^>]*href\\s*=\\s*["']([^"']+)["']"""), F.lit(1))).alias("href")
+    )
     return each.select("page_id", "href", T.resolve("base", "href").alias("resolved"))
 
 
@@ -116,7 +126,10 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hard_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sequences(spark, sf_dir)
-    return s.select("book_id", "sequence_id", "category", "use", F.size("units").alias("n_units"), F.length("text").alias("chars"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+    return s.select(
+        "book_id", "sequence_id", "category", "use", F.size("units").alias("n_units"), F.length("text").alias("chars"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256")
+    )
 
 
 def filtered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,22 +152,36 @@ def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = F.array().cast("array<struct<xpath:string,start:int,stop:int,fingerprint:string,source_start:int>>")
     category = F.coalesce(lookup(ROLE_CATEGORY, F.col("role")), F.lit("index"))
     own = turns.select(
-        F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("order"), F.col("turn").cast("string").alias("unit_id"), F.lit("c").alias("href"), "text", F.lit(None).cast("string").alias("title"),
-        category.alias("category"), use_of_category(category).alias("use"), F.lit(1.0).alias("confidence"), F.lit("role").alias("source"), empty.alias("evidence"), spots.alias("fragments"),
+        F.col("conv_id").cast("string").alias("book_id"), F.col("turn").alias("order"), F.col("turn").cast("string").alias("unit_id"),
+        F.lit("c").alias("href"), "text", F.lit(None).cast("string").alias("title"),
+        category.alias("category"), use_of_category(category).alias("use"), F.lit(1.0).alias("confidence"), F.lit("role").alias("source"),
+        empty.alias("evidence"), spots.alias("fragments"),
     )
     runs = sequences.sequences(own, "all")
     role = lookup({c: r for r, c in ROLE_CATEGORY.items()}, F.col("category"))
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("first_order"))
     chars = F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + F.length(u["text"]))
-    return runs.select(F.col("book_id").cast("long").alias("conv_id"), number.alias("run"), role.alias("role"), F.size("units").alias("turns"), F.col("first_order").alias("first_turn"), chars.alias("chars"))
+    return runs.select(
+        F.col("book_id").cast("long").alias("conv_id"), number.alias("run"), role.alias("role"), F.size("units").alias("turns"),
+        F.col("first_order").alias("first_turn"), chars.alias("chars")
+    )
 
 
 def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text in every document, without regard to case."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null")
-    fragment = F.array(F.struct(F.lit("/").alias("xpath"), F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit("").alias("fingerprint"), F.lit(0).alias("source_start")))
-    unit = F.struct(F.lit("u").alias("unit_id"), F.lit(0).alias("start"), F.length("text").alias("stop"), "text", F.lit(None).cast("string").alias("title"), F.lit(1.0).alias("confidence"), F.lit("t").alias("source"), F.array().cast("array<string>").alias("evidence"), fragment.alias("fragments"))
-    seqs = docs.select(F.lit("").alias("book_id"), F.col("doc_id").cast("string").alias("sequence_id"), F.lit("").alias("href"), F.lit("work_text").alias("category"), F.lit("main").alias("use"), "text", F.array(unit).alias("units"))
+    fragment = F.array(F.struct(
+        F.lit("/").alias("xpath"), F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit("").alias("fingerprint"),
+        F.lit(0).alias("source_start")
+    ))
+    unit = F.struct(
+        F.lit("u").alias("unit_id"), F.lit(0).alias("start"), F.length("text").alias("stop"), "text", F.lit(None).cast("string").alias("title"),
+        F.lit(1.0).alias("confidence"), F.lit("t").alias("source"), F.array().cast("array<string>").alias("evidence"), fragment.alias("fragments")
+    )
+    seqs = docs.select(
+        F.lit("").alias("book_id"), F.col("doc_id").cast("string").alias("sequence_id"), F.lit("").alias("href"),
+        F.lit("work_text").alias("category"), F.lit("main").alias("use"), "text", F.array(unit).alias("units")
+    )
     hits = search.find_text(seqs, S.table(spark, sf_dir, "benchmark").select(F.col("text").alias("query")))
     return hits.select("query", F.col("sequence_id").cast("long").alias("doc_id"), "start", "stop", "text")
 
@@ -235,7 +262,11 @@ def lexical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) != ''")
     lines = lines.withColumn("norm", T.normalized("line"))
     own = lambda f: f("line", norm=F.col("norm"))
-    flags = lines.select("doc_id", "pos", own(legal).alias("legal"), own(promotion).alias("promotion"), own(editorial_credits).alias("credits"), own(user_licence).alias("licence"), own(backlist).alias("backlist"), own(contents_opening).alias("contents"), own(short_dedication).alias("dedication"))
+    flags = lines.select(
+        "doc_id", "pos", own(legal).alias("legal"), own(promotion).alias("promotion"), own(editorial_credits).alias("credits"),
+        own(user_licence).alias("licence"), own(backlist).alias("backlist"), own(contents_opening).alias("contents"),
+        own(short_dedication).alias("dedication")
+    )
     return flags.where("legal or promotion or credits or licence or backlist or contents or dedication")
 
 
@@ -264,12 +295,16 @@ def profile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     def note(rows: DataFrame, scope: str, label: str, start: Column = none, stop: Column = none, print_: Column = blank) -> DataFrame:
         block, place = (F.lit(""), F.lit("")) if scope == "document" else (F.col("block_id"), F.col("xpath"))
         return rows.select(
-            "book_id", F.lit(scope).alias("scope"), F.lit(label).alias("label"), "href", block.alias("block_id"), place.alias("xpath"), F.col("fingerprint"), F.concat(F.lit("r"), "href").alias("range_id"),
-            start.cast("int").alias("start"), stop.cast("int").alias("end"), print_.alias("text_fingerprint"), blank.alias("note"), F.lit("2024-01-01").alias("updated_at"),
+            "book_id", F.lit(scope).alias("scope"), F.lit(label).alias("label"), "href", block.alias("block_id"), place.alias("xpath"),
+            F.col("fingerprint"), F.concat(F.lit("r"), "href").alias("range_id"),
+            start.cast("int").alias("start"), stop.cast("int").alias("end"), print_.alias("text_fingerprint"), blank.alias("note"),
+            F.lit("2024-01-01").alias("updated_at"),
         )
 
     wrong = F.when(F.col("doc_id") % 23 == 5, F.lit("0" * 20)).otherwise(F.col("fingerprint"))
-    said = note(known.where("toxic = 1"), "document", "note").unionByName(note(known.where("quality = 0").withColumn("fingerprint", wrong), "block", "paratext"))
+    said = note(known.where("toxic = 1"), "document", "note").unionByName(note(
+        known.where("quality = 0").withColumn("fingerprint", wrong), "block", "paratext"
+    ))
     within = T.fingerprint(F.substring("text", 11, 20), 20)
     said = said.unionByName(note(known.where("quality = 1 and length(text) >= 40"), "range", "index", F.lit(10), F.lit(30), within))
     books = blocks.select("book_id").distinct().select("book_id", blank.alias("path"), blank.alias("title"), blank.alias("language"))
@@ -285,28 +320,48 @@ def profile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranges in every longer document."""
     u = S.language_units(spark, sf_dir).where(F.length("text") >= 100)
-    one = u.select("book_id", "href", F.col("unit_id").alias("block_id"), F.concat("unit_id", F.lit("a")).alias("range_id"), F.lit(10).alias("start"), F.lit(30).alias("stop"), F.lit("note").alias("category"))
-    two = u.select("book_id", "href", F.col("unit_id").alias("block_id"), F.concat("unit_id", F.lit("b")).alias("range_id"), F.lit(60).alias("start"), F.lit(90).alias("stop"), F.lit("index").alias("category"))
+    one = u.select(
+        "book_id", "href", F.col("unit_id").alias("block_id"), F.concat("unit_id", F.lit("a")).alias("range_id"), F.lit(10).alias("start"),
+        F.lit(30).alias("stop"), F.lit("note").alias("category")
+    )
+    two = u.select(
+        "book_id", "href", F.col("unit_id").alias("block_id"), F.concat("unit_id", F.lit("b")).alias("range_id"), F.lit(60).alias("start"),
+        F.lit(90).alias("stop"), F.lit("index").alias("category")
+    )
     return one.unionByName(two)
 
 
 def range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = S.language_units(spark, sf_dir)
-    whole = u.select("*", F.col("unit_id").alias("block_id"), F.lit(0).alias("spine_index"), F.lit(0).alias("block_index"), units.anchor(F.col("book_id"), F.col("href"), units.point(F.col("fragments"), F.col("text"), F.lit(0)), units.point(F.col("fragments"), F.col("text"), F.length("text"), True), F.col("text")).alias("anchor"))
+    whole = u.select(
+        "*", F.col("unit_id").alias("block_id"), F.lit(0).alias("spine_index"), F.lit(0).alias("block_index"),
+        units.anchor(
+            F.col("book_id"), F.col("href"), units.point(F.col("fragments"), F.col("text"), F.lit(0)),
+            units.point(F.col("fragments"), F.col("text"), F.length("text"), True), F.col("text")
+        ).alias("anchor")
+    )
     return units.split_ranges(whole, _ranges(spark, sf_dir)).select("book_id", "order", "block_id", "category", "text")
 
 
 def range_overlap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of an order as ranges from their part to part + 1,000 x quantity: those that overlap an earlier one."""
-    items = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    items = S.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")
+    )
     return profiles.overlapping(items, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "start", "end")
 
 
 def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links made of line items: every 32 orders are a book, suppliers are documents, parts are anchors; some lead back."""
-    items = S.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 32).cast("string").alias("book_id"), (F.col("l_suppkey") % 7).cast("string").alias("a"), (F.col("l_partkey") % 5).cast("string").alias("b"), (F.col("l_partkey") % 11).cast("string").alias("x"), (F.col("l_suppkey") % 3).cast("string").alias("y"), "l_returnflag")
+    items = S.table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 32).cast("string").alias("book_id"), (F.col("l_suppkey") % 7).cast("string").alias("a"),
+        (F.col("l_partkey") % 5).cast("string").alias("b"), (F.col("l_partkey") % 11).cast("string").alias("x"),
+        (F.col("l_suppkey") % 3).cast("string").alias("y"), "l_returnflag"
+    )
     there = items.select("book_id", F.col("a").alias("src_href"), F.col("x").alias("src_id"), F.col("b").alias("dst_href"), F.col("y").alias("dst_id"))
-    back = items.where("l_returnflag = 'R'").select("book_id", F.col("b").alias("src_href"), F.col("y").alias("src_id"), F.col("a").alias("dst_href"), F.col("x").alias("dst_id"))
+    back = items.where("l_returnflag = 'R'").select(
+        "book_id", F.col("b").alias("src_href"), F.col("y").alias("src_id"), F.col("a").alias("dst_href"), F.col("x").alias("dst_id")
+    )
     return there.unionByName(back)
 
 
@@ -325,7 +380,11 @@ def note_graph_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = arcs.select("book_id", F.col("dst_href").alias("href")).distinct()
     docs = cast.join(targets, ["book_id", "href"], "full")
     empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
-    shaped = docs.select("book_id", "href", F.col("href").cast("int").alias("spine_index"), none.alias("title"), none.alias("language"), F.repeat(F.lit("x"), 100 + 50 * F.col("href").cast("int")).alias("text"), empty.alias("document_epub_types"), empty.alias("document_aria"), F.coalesce("links", F.array()).alias("links"))
+    shaped = docs.select(
+        "book_id", "href", F.col("href").cast("int").alias("spine_index"), none.alias("title"), none.alias("language"),
+        F.repeat(F.lit("x"), 100 + 50 * F.col("href").cast("int")).alias("text"), empty.alias("document_epub_types"), empty.alias("document_aria"),
+        F.coalesce("links", F.array()).alias("links")
+    )
     return signals.graph(shaped).groupBy("book_id", "href", "role").agg(F.count("*").alias("votes"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
@@ -343,15 +402,20 @@ def _linear_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     measures = (("length", F.length("text") / 5000), ("short", F.col("short")), ("numbers", F.col("numbers")), ("paragraphs", F.col("n_paragraphs") / 20))
     parts = [F.struct(F.lit(n).alias("key"), F.least(F.lit(1.5), c.cast("double")).alias("value")) for n, c in measures]
     weights = [
-        ("body", "", 0.1), ("body", "length", 1.2), ("body", "short", -0.7), ("note", "", -0.2), ("note", "short", 0.9), ("note", "numbers", 0.4), ("paratext", "", 0.0), ("paratext", "paragraphs", -1.1),
+        ("body", "", 0.1), ("body", "length", 1.2), ("body", "short", -0.7), ("note", "", -0.2), ("note", "short", 0.9), ("note", "numbers", 0.4),
+        ("paratext", "", 0.0), ("paratext", "paragraphs", -1.1),
     ]
-    return m.select("doc_id", F.map_from_entries(F.array(*parts)).alias("features")), spark.createDataFrame(weights, "role string, feature string, weight double")
+    return m.select(
+        "doc_id", F.map_from_entries(F.array(*parts)).alias("features")
+    ), spark.createDataFrame(weights, "role string, feature string, weight double")
 
 
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roles that the model gives."""
     examples, weights = _linear_model(spark, sf_dir)
-    return model.score(examples, weights, ["doc_id"], 1.3).select("doc_id", F.col("m_role").alias("role"), F.round("m_probability", 6).cast("decimal(9,6)").alias("probability"))
+    return model.score(examples, weights, ["doc_id"], 1.3).select(
+        "doc_id", F.col("m_role").alias("role"), F.round("m_probability", 6).cast("decimal(9,6)").alias("probability")
+    )
 
 
 def calibrated_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,27 +443,39 @@ def finding_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings made of line items, each order one answer: which are kept, and why the others are not."""
     items = S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     drawn = items.withColumn("h", F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])))
-    pick = lambda i, values, type_: F.get(F.array(*[F.lit(v).cast(type_) for v in values]), F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int") % len(values))
+    pick = lambda i, values, type_: F.get(
+        F.array(*[F.lit(v).cast(type_) for v in values]), F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int") % len(values)
+    )
     f = {n: pick(i, v, "double" if n == "confidence" else "string") for i, (n, v) in enumerate(FINDING_FIELDS.items())}
     evidence = F.when(f["evidence"] == "broken", F.lit(None)).otherwise(F.split(f["evidence"], "; "))
     finding = F.struct(
-        f["kind"].alias("kind"), f["scope"].alias("scope"), f["href"].alias("href"), f["block_id"].alias("block_id"), f["category"].alias("proposed_category"), f["severity"].alias("severity"),
+        f["kind"].alias("kind"), f["scope"].alias("scope"), f["href"].alias("href"), f["block_id"].alias("block_id"),
+        f["category"].alias("proposed_category"), f["severity"].alias("severity"),
         f["confidence"].alias("confidence"), f["explanation"].alias("explanation"), evidence.alias("evidence"),
     )
     order = ("l_linenumber", "l_partkey", "l_suppkey")
     told = drawn.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, finding.alias("f")))), lambda x: x["f"]).alias("findings"))
     answers = told.select(
         F.lit("b").alias("book_id"), F.concat(F.lit("call_"), F.col("l_orderkey").cast("string")).alias("name"), F.col("l_orderkey").alias("call"),
-        F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("block"), F.lit("document"))).otherwise(F.array(F.lit("book"), F.lit("document"))).alias("scopes"), F.to_json(F.struct("findings")).alias("data"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("block"), F.lit("document"))).otherwise(F.array(F.lit("book"), F.lit("document"))).alias("scopes"),
+        F.to_json(F.struct("findings")).alias("data"),
     )
-    docs = spark.createDataFrame([("b", "d0", {"note": 3}, "x"), ("b", "d1", {"work_text": 1, "note": 2}, "y"), ("b", "d2", {"paratext": 1}, "z")], "book_id string, href string, category_counts map<string,long>, visible_text_excerpt string")
+    docs = spark.createDataFrame(
+        [("b", "d0", {"note": 3}, "x"), ("b", "d1", {"work_text": 1, "note": 2}, "y"), ("b", "d2", {"paratext": 1}, "z")],
+        "book_id string, href string, category_counts map<string,long>, visible_text_excerpt string"
+    )
     columns = "book_id string, href string, block_id string, spine_index int, block_index int, xpath string, fingerprint string, shape string, title string, text string, category string, confidence double, source string, rule_id string, evidence array<string>, epub_types array<string>, aria array<string>, markers array<string>"
     block = lambda href, name, category: ("b", href, name, 0, 0, "/p", "f", "prose", None, "text", category, 0.5, "s", "r", [], [], [], [])
     classified = spark.createDataFrame([block("d0", "b0", "note"), block("d1", "b1", "work_text"), block("d1", "b0", "paratext")], columns)
     kept, issues = audit.validate(answers, docs, classified)
-    one = issues.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("issue").alias("what"), "reason", F.lit("").alias("kind"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("current"), "n")
+    one = issues.groupBy("reason").agg(F.count("*").alias("n")).select(
+        F.lit("issue").alias("what"), "reason", F.lit("").alias("kind"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("current"), "n"
+    )
     two = kept.groupBy("kind", "scope", "current_category", "can_override").agg(F.count("*").alias("n"))
-    two = two.select(F.lit("finding").alias("what"), F.when(F.col("can_override"), "can override").otherwise("cannot").alias("reason"), "kind", "scope", F.col("current_category").alias("current"), "n")
+    two = two.select(
+        F.lit("finding").alias("what"), F.when(F.col("can_override"), "can override").otherwise("cannot").alias("reason"), "kind", "scope",
+        F.col("current_category").alias("current"), "n"
+    )
     return one.unionByName(two)
 
 
@@ -417,20 +493,40 @@ def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = S.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     href = F.col("doc_id").cast("string")
     none = F.lit(None).cast("string")
-    findings = labels.where("quality = 0 or toxic = 1").select(F.lit("b").alias("book_id"), href.alias("finding_id"), F.lit("document").alias("scope"), href.alias("href"), none.alias("block_id"), none.alias("xpath"), none.alias("fingerprint"), F.lit("low quality").alias("explanation"), F.lit("paratext").alias("proposed_category"), F.lit(True).alias("can_override"), F.lit("2024-01-01").alias("run"))
+    findings = labels.where("quality = 0 or toxic = 1").select(
+        F.lit("b").alias("book_id"), href.alias("finding_id"), F.lit("document").alias("scope"), href.alias("href"), none.alias("block_id"),
+        none.alias("xpath"), none.alias("fingerprint"), F.lit("low quality").alias("explanation"), F.lit("paratext").alias("proposed_category"),
+        F.lit(True).alias("can_override"), F.lit("2024-01-01").alias("run")
+    )
     decisions = review.accept_all(findings, "2024-01-02")
-    manual = labels.where("toxic = 1").select(F.lit("b").alias("book_id"), F.lit("document").alias("scope"), F.lit("note").alias("label"), href.alias("href"), none.alias("block_id"), none.alias("xpath"), none.alias("fingerprint"), none.alias("range_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), none.alias("text_fingerprint"), F.lit("by hand").alias("note"), F.lit("2023-12-31").alias("updated_at"), F.lit(False).alias("deleted"))
+    manual = labels.where("toxic = 1").select(
+        F.lit("b").alias("book_id"), F.lit("document").alias("scope"), F.lit("note").alias("label"), href.alias("href"), none.alias("block_id"),
+        none.alias("xpath"), none.alias("fingerprint"), none.alias("range_id"), F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("end"), none.alias("text_fingerprint"), F.lit("by hand").alias("note"), F.lit("2023-12-31").alias("updated_at"),
+        F.lit(False).alias("deleted")
+    )
     return review.annotations_for_export(findings, decisions, manual).select("href", "label", "note", "updated_at")
 
 
 def profile_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles as JSON from labels: how many corrections and ignored labels each holds."""
-    docs = S.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("book_id"), "doc_id").join(S.table(spark, sf_dir, "labels"), "doc_id")
+    docs = S.table(spark, sf_dir, "documents").select(
+        F.coalesce("source", F.lit("")).alias("book_id"), "doc_id"
+    ).join(S.table(spark, sf_dir, "labels"), "doc_id")
     none = F.lit(None).cast("string")
-    notes = docs.select("book_id", F.lit("document").alias("scope"), F.when(F.col("toxic") == 1, "mixed").when(F.col("quality") == 0, "paratext").otherwise("work_text").alias("label"), F.col("doc_id").cast("string").alias("href"), none.alias("block_id"), none.alias("xpath"), none.alias("fingerprint"), none.alias("range_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), none.alias("text_fingerprint"), none.alias("note"), none.alias("updated_at"))
+    notes = docs.select(
+        "book_id", F.lit("document").alias("scope"),
+        F.when(F.col("toxic") == 1, "mixed").when(F.col("quality") == 0, "paratext").otherwise("work_text").alias("label"),
+        F.col("doc_id").cast("string").alias("href"), none.alias("block_id"), none.alias("xpath"), none.alias("fingerprint"), none.alias("range_id"),
+        F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), none.alias("text_fingerprint"), none.alias("note"),
+        none.alias("updated_at")
+    )
     books = notes.select("book_id").distinct().select("book_id", none.alias("path"), none.alias("title"), none.alias("language"))
     made = profiles.profile_payloads(books, notes, "2024-01-01", "1").withColumn("p", F.from_json("payload", profiles.PROFILE))
-    return made.select("book_id", F.size("p.documents").alias("documents"), F.size("p.ignored_annotations").alias("ignored"), F.col("p.category_policy_version").alias("policy"))
+    return made.select(
+        "book_id", F.size("p.documents").alias("documents"), F.size("p.ignored_annotations").alias("ignored"),
+        F.col("p.category_policy_version").alias("policy")
+    )
 
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,26 +543,36 @@ def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     z.writestr(f"d{r['doc_id']}.xhtml", f"<html><body><h1>Chapter {r['doc_id']}</h1>{body}</body></html>")
                 items = "".join(f'<item id="d{r["doc_id"]}" href="d{r["doc_id"]}.xhtml"/>' for r in rows)
                 refs = "".join(f'<itemref idref="d{r["doc_id"]}"/>' for r in rows)
-                z.writestr("p.opf", f'<package version="3.0"><metadata><title>{escape(book_id)}</title><language>en</language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+                z.writestr(
+                    "p.opf",
+                    f'<package version="3.0"><metadata><title>{escape(book_id)}</title><language>en</language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>'
+                )
             out.append((book_id, data.getvalue()))
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Books of up to 500 documents, packed as EPUB files and read back by the whole dataflow."""
-    docs = S.table(spark, sf_dir, "documents").where("text is not null").select(F.concat_ws("-", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 500).cast("string")).alias("path"), F.struct("doc_id", "text").alias("r"))
+    docs = S.table(spark, sf_dir, "documents").where("text is not null").select(
+        F.concat_ws("-", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 500).cast("string")).alias("path"),
+        F.struct("doc_id", "text").alias("r")
+    )
     files = docs.groupBy("path").agg(F.collect_list("r").alias("rows")).mapInPandas(_pack, "path string, content binary")
     return Corpus.from_files(files)
 
 
 def epub_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
-    return c.blocks().join(c.books.select("book_id", F.col("title").alias("book")), "book_id").select("book", "href", "order", "shape", F.length("text").alias("chars"), "category", "classification_rule")
+    return c.blocks().join(c.books.select("book_id", F.col("title").alias("book")), "book_id").select(
+        "book", "href", "order", "shape", F.length("text").alias("chars"), "category", "classification_rule"
+    )
 
 
 def epub_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
-    return c.coverage.join(c.books.select("book_id", F.col("title").alias("book")), "book_id").select("book", "visible", "classified", "main", "notes", "excluded", "valid")
+    return c.coverage.join(c.books.select("book_id", F.col("title").alias("book")), "book_id").select(
+        "book", "visible", "classified", "main", "notes", "excluded", "valid"
+    )
 
 
 def verify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,8 +582,11 @@ def verify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    shape_metrics, shape_votes, position_votes, doc_verdicts, category_coverage, title_roles, normalize_text, text_fingerprint, duplicate_units, page_visible_text, page_paragraphs, page_toc_links, page_headings, href_resolve,
-    hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours, chunk_interval_coverage, semantic_chunks, chunk_contexts, interval_merge, excerpts, audit_batches, packed_blocks,
-    line_blocks, lexical_flags, rule_cascade, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors, note_graph_votes, template_families, softmax_scores, calibrated_temperature, finding_cases, quality_confusion, role_characters,
+    shape_metrics, shape_votes, position_votes, doc_verdicts, category_coverage, title_roles, normalize_text, text_fingerprint, duplicate_units,
+    page_visible_text, page_paragraphs, page_toc_links, page_headings, href_resolve,
+    hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours,
+    chunk_interval_coverage, semantic_chunks, chunk_contexts, interval_merge, excerpts, audit_batches, packed_blocks,
+    line_blocks, lexical_flags, rule_cascade, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors,
+    note_graph_votes, template_families, softmax_scores, calibrated_temperature, finding_cases, quality_confusion, role_characters,
     review_merge, profile_payloads, epub_blocks, epub_coverage, verify_sources,
 )

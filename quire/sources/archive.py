@@ -171,6 +171,9 @@ def refuse_encryption(archive: Archive) -> None:
         rows = encrypted_resources(archive.tree(ENCRYPTION))
     except ElementTree.ParseError as error:
         raise UnsafeArchive(f"{ENCRYPTION} is invalid: {error}") from error
-    locked = [uri or "a resource without a name" for uri, how in rows if how not in FONT_ALGORITHMS or not unquote(urlsplit(uri).path).casefold().endswith(FONT_SUFFIXES)]
+    locked = [
+        uri or "a resource without a name" for uri,
+        how in rows if how not in FONT_ALGORITHMS or not unquote(urlsplit(uri).path).casefold().endswith(FONT_SUFFIXES)
+    ]
     if locked:
         raise UnsafeArchive(f"content is encrypted: {', '.join(u[:200] for u in locked[:5])}")

@@ -25,7 +25,10 @@ class FixedZip(zipfile.ZipFile):
         super().writestr(zipfile.ZipInfo(name), data, **more)
 
 
-def epub(documents: dict[str, str], *, title: str = "The Harbour", language: str = "en", metadata: str = "", nav: dict[str, str] | None = None, landmarks: dict[str, str] | None = None, nonlinear: tuple[str, ...] = (), extra: dict[str, str] | None = None, spine: list[str] | None = None) -> bytes:
+def epub(
+    documents: dict[str, str], *, title: str = "The Harbour", language: str = "en", metadata: str = "", nav: dict[str, str] | None = None,
+    landmarks: dict[str, str] | None = None, nonlinear: tuple[str, ...] = (), extra: dict[str, str] | None = None, spine: list[str] | None = None
+) -> bytes:
     """documents: file name to XHTML, in reading order; nav: file name to title."""
     out = io.BytesIO()
     with FixedZip(out, "w") as z:
@@ -38,7 +41,9 @@ def epub(documents: dict[str, str], *, title: str = "The Harbour", language: str
             items += '<item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>'
             z.writestr("OEBPS/nav.xhtml", page(f'<nav epub:type="toc"><ol>{toc}</ol></nav><nav epub:type="landmarks"><ol>{marks}</ol></nav>'))
         order = spine if spine is not None else list(documents)
-        refs = "".join(f'<itemref idref="i{list(documents).index(n) if n in documents else n}"{" linear=" + chr(34) + "no" + chr(34) if n in nonlinear else ""}/>' for n in order)
+        refs = "".join(
+            f'<itemref idref="i{list(documents).index(n) if n in documents else n}"{" linear=" + chr(34) + "no" + chr(34) if n in nonlinear else ""}/>' for n in order
+        )
         z.writestr(
             "OEBPS/content.opf",
             f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf" version="3.0"><metadata><dc:title>{title}</dc:title><dc:language>{language}</dc:language>{metadata}</metadata><manifest>{items}</manifest><spine>{refs}</spine></package>',

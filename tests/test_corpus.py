@@ -97,7 +97,9 @@ def test_damaged_anchors_do_not_verify(book):
 
 def test_search_literals(spark):
     unit = "array(named_struct('unit_id','u','start',0,'stop',length(text),'text',text,'title',cast(null as string),'confidence',1.0D,'source','s','evidence',array('e'),'fragments',array(named_struct('xpath','/p','start',0,'stop',length(text),'fingerprint','f','source_start',0))))"
-    s = spark.createDataFrame([("aXbXXa.b[\\E]x", "1")], "text string, sequence_id string").selectExpr("'b' as book_id", "sequence_id", "'h' as href", "'work_text' as category", "'main' as use", "text", f"{unit} as units")
+    s = spark.createDataFrame([("aXbXXa.b[\\E]x", "1")], "text string, sequence_id string").selectExpr(
+        "'b' as book_id", "sequence_id", "'h' as href", "'work_text' as category", "'main' as use", "text", f"{unit} as units"
+    )
     q = spark.createDataFrame([("x",), ("a.b",), ("[\\E]",), ("xx",)], "query string")
     assert sorted((r["query"], r["start"]) for r in find_text(s, q).collect()) == [("[\\E]", 8), ("a.b", 5), ("x", 1), ("x", 3), ("x", 4), ("x", 12), ("xx", 3)]
 
@@ -155,7 +157,10 @@ def test_unreadable_books_are_rows(spark):
 
 def profile(of, **fields) -> dict:
     sha = of.books.first()["book_id"]
-    return {"schema": profiles.SCHEMA, "created_at": "t", "version": "1", "category_policy_version": 1, "book": {"sha256": sha, "path": "", "title": "", "language": ""}, "documents": [], "blocks": [], "ranges": [], "ignored_annotations": []} | fields
+    return {
+        "schema": profiles.SCHEMA, "created_at": "t", "version": "1", "category_policy_version": 1,
+        "book": {"sha256": sha, "path": "", "title": "", "language": ""}, "documents": [], "blocks": [], "ranges": [], "ignored_annotations": []
+    } | fields
 
 
 def corrected(spark, tmp_path, *payloads: dict) -> Corpus:
@@ -173,8 +178,15 @@ def test_profile_precedence_and_ranges(spark, book, tmp_path):
     p = profile(
         book,
         documents=[{"href": block["href"], "category": "note", "note": "", "updated_at": ""}],
-        blocks=[{"block_id": block["block_id"], "href": block["href"], "xpath": block["xpath"], "fingerprint": block["fingerprint"], "category": "index", "note": "", "updated_at": ""}],
-        ranges=[{"range_id": "r", "block_id": block["block_id"], "href": block["href"], "xpath": block["xpath"], "block_fingerprint": block["fingerprint"], "start": 10, "end": 40, "text_fingerprint": hashlib.sha256(selected.encode()).hexdigest()[:20], "category": "bibliography", "note": "", "updated_at": ""}],
+        blocks=[{
+            "block_id": block["block_id"], "href": block["href"], "xpath": block["xpath"], "fingerprint": block["fingerprint"], "category": "index",
+            "note": "", "updated_at": ""
+        }],
+        ranges=[{
+            "range_id": "r", "block_id": block["block_id"], "href": block["href"], "xpath": block["xpath"], "block_fingerprint": block["fingerprint"],
+            "start": 10, "end": 40, "text_fingerprint": hashlib.sha256(selected.encode()).hexdigest()[:20], "category": "bibliography", "note": "",
+            "updated_at": ""
+        }],
     )
     c = corrected(spark, tmp_path, p)
     assert not c.rejected_profiles.count()
@@ -188,7 +200,10 @@ def test_profile_precedence_and_ranges(spark, book, tmp_path):
 
 def test_profiles_are_rejected_as_a_whole(spark, book, tmp_path):
     good = {"href": "OEBPS/c1.xhtml", "category": "note", "note": "", "updated_at": ""}
-    over = {"range_id": "r", "block_id": "b", "href": "h", "xpath": "x", "block_fingerprint": "f", "start": 0, "end": 5, "text_fingerprint": "t", "category": "note", "note": "", "updated_at": ""}
+    over = {
+        "range_id": "r", "block_id": "b", "href": "h", "xpath": "x", "block_fingerprint": "f", "start": 0, "end": 5, "text_fingerprint": "t",
+        "category": "note", "note": "", "updated_at": ""
+    }
     c = corrected(
         spark, tmp_path,
         profile(book, documents=[good, good]),
@@ -216,7 +231,10 @@ class Reviewer:
 
         findings = []
         for b in input_data.get("blocks", [])[:1]:
-            base = {"kind": "category_change", "scope": "block", "href": b["href"], "block_id": b["block_id"], "proposed_category": "paratext", "severity": "info", "confidence": 0.5, "explanation": "x", "evidence": ["y"]}
+            base = {
+                "kind": "category_change", "scope": "block", "href": b["href"], "block_id": b["block_id"], "proposed_category": "paratext",
+                "severity": "info", "confidence": 0.5, "explanation": "x", "evidence": ["y"]
+            }
             findings += [base, base | {"block_id": "none"}, base | {"proposed_category": b["deterministic_category"]}, base | {"severity": "odd"}]
         return Answer({"findings": findings}, "fake", network_attempts=1)
 
@@ -291,7 +309,9 @@ def test_audit_progress(spark, book):
 def test_review_session(spark, tmp_path):
     session = review.Session(spark, str(tmp_path / "review"))
     assert session.annotations().count() == 0 and session.decisions().count() == 0
-    row = lambda label, at, deleted=False, range_id=None, start=None, end=None: ("b", "range" if range_id else "block", label, "h", "k", "/p", "f", range_id, start, end, None, "", at, deleted)
+    row = lambda label, at, deleted=False, range_id=None, start=None, end=None: (
+        "b", "range" if range_id else "block", label, "h", "k", "/p", "f", range_id, start, end, None, "", at, deleted
+    )
     put = lambda *rows: session.annotate(spark.createDataFrame(list(rows), review.ANNOTATION))
     put(row("note", "2024-01-01"), row("index", "2024-01-01", range_id="r1", start=0, end=10))
     put(row("paratext", "2024-01-02"))
@@ -301,7 +321,13 @@ def test_review_session(spark, tmp_path):
     put(row("index", "2024-01-04", deleted=True, range_id="r1", start=0, end=10))
     put(row("index", "2024-01-05", range_id="r2", start=5, end=12))
     assert {(r.label, r.range_id) for r in session.annotations().collect()} == {("paratext", None), ("index", "r2")}
-    session.decide(spark.createDataFrame([("b", "f1", "accepted", "note", "", "2024-01-06", False), ("b", "f2", "accepted", "note", "", "2024-01-06", False), ("b", "f2", "accepted", "note", "", "2024-01-07", True)], review.DECISION))
+    session.decide(spark.createDataFrame(
+        [
+            ("b", "f1", "accepted", "note", "", "2024-01-06", False), ("b", "f2", "accepted", "note", "", "2024-01-06", False),
+            ("b", "f2", "accepted", "note", "", "2024-01-07", True)
+        ],
+        review.DECISION
+    ))
     assert [r.finding_id for r in session.decisions().collect()] == ["f1"]
     fields = "book_id string, finding_id string, scope string, href string, block_id string, xpath string, fingerprint string, explanation string, proposed_category string, can_override boolean, run string"
     findings = spark.createDataFrame([("b", f, "block", "h", k, "/p", "f", "why", "note", True, "2024-01-05") for f, k in (("f1", "k9"), ("f2", "k8"))], fields)
@@ -319,15 +345,22 @@ def test_audit_can_be_stopped(book):
 
 
 def test_families(spark):
-    rows = [("a", [f"t{i}" for i in range(10)], "1"), ("b", [f"t{i}" for i in range(10)] + ["u"], "0"), ("c", [f"v{i}" for i in range(10)], "2"), ("d", [], "3")]
+    rows = [
+        ("a", [f"t{i}" for i in range(10)], "1"), ("b", [f"t{i}" for i in range(10)] + ["u"], "0"), ("c", [f"v{i}" for i in range(10)], "2"),
+        ("d", [], "3")
+    ]
     books = spark.createDataFrame(rows, "book_id string, template array<string>, template_id string")
     assert {r["book_id"]: r["family"] for r in families.families(books).collect()} == {"a": "fam-0", "b": "fam-0", "c": "fam-2"}
 
 
 def test_model(spark, book, tmp_path):
     keys = ["book_id", "href", "spine_index", "block_index"]
-    facts = rules.context(book.books, book.verdicts, book.blocks_raw).join(book.verdicts.select("book_id", "href", "spine_index", "votes", "linear"), ["book_id", "href", "spine_index"])
-    examples = model.features(facts).select(*keys, "features", F.when(F.col("d_role") == V.BODY, V.BODY).otherwise(V.PARATEXT).alias("role"), F.lit(1.0).alias("weight"))
+    facts = rules.context(book.books, book.verdicts, book.blocks_raw).join(
+        book.verdicts.select("book_id", "href", "spine_index", "votes", "linear"), ["book_id", "href", "spine_index"]
+    )
+    examples = model.features(facts).select(
+        *keys, "features", F.when(F.col("d_role") == V.BODY, V.BODY).otherwise(V.PARATEXT).alias("role"), F.lit(1.0).alias("weight")
+    )
     weights = model.train(examples)
     model.save(weights, str(tmp_path / "m.json"), 1.5)
     again, temperature = model.load(spark, str(tmp_path / "m.json"))
@@ -372,7 +405,9 @@ def rule_of(spark, documents: dict[str, str], **more) -> dict[str, list[str]]:
 
 def test_local_rules(spark):
     docs = {f"c{i}.xhtml": chapter(i) for i in range(1, 6)}
-    docs["c2.xhtml"] = page(f'<h1>Chapter 2</h1><p>{PROSE * 3}</p><aside epub:type="footnote"><p>A note.</p></aside><div class="footnotes"><p>Another.</p></div><p class="caption">A quay in the morning light.</p>')
+    docs["c2.xhtml"] = page(
+        f'<h1>Chapter 2</h1><p>{PROSE * 3}</p><aside epub:type="footnote"><p>A note.</p></aside><div class="footnotes"><p>Another.</p></div><p class="caption">A quay in the morning light.</p>'
+    )
     docs["c3.xhtml"] = page(f'<h1>Chapter 3</h1><p>{PROSE}</p><p>Fa parte della raccolta.</p><p class="titlepage1">Racconti</p>')
     docs["c4.xhtml"] = page('<p class="dedication">Dark was</p><p class="dedication extract signature">the night. A. Poet</p>' + f"<p>{PROSE * 8}</p>")
     found = rule_of(spark, docs)
@@ -400,6 +435,8 @@ def test_rule_names_are_unique():
 
 
 def test_fragments_of_slices(spark):
-    rows = spark.sql("select array(named_struct('xpath','/a','start',0,'stop',5,'fingerprint','f','source_start',0), named_struct('xpath','/b','start',6,'stop',9,'fingerprint','g','source_start',0)) as f")
+    rows = spark.sql(
+        "select array(named_struct('xpath','/a','start',0,'stop',5,'fingerprint','f','source_start',0), named_struct('xpath','/b','start',6,'stop',9,'fingerprint','g','source_start',0)) as f"
+    )
     got = rows.select(units.slice_fragments(F.col("f"), F.lit(3), F.lit(8)).alias("x")).first()["x"]
     assert [(r["xpath"], r["start"], r["stop"], r["source_start"]) for r in got] == [("/a", 0, 2, 3), ("/b", 3, 5, 0)]

@@ -24,7 +24,10 @@ def rows_of(names, rows):
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+    for name in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+        "conversations"
+    ):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return con
 
@@ -45,7 +48,10 @@ def test_query(spark, sf, duck, name):
 def test_families_compare_whole_texts(spark, tmp_path):
     """Against brute force: openings of forty words neither make nor part a family."""
     w = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
-    texts = [f"{w('a', 40)} {w('b', 300)}", f"{w('a', 40)} {w('c', 200)}", f"{w('d', 40)} {w('B', 300)}", f"{w('d', 40)} {w('e', 200)}", "", None, w("f", 41), f"{w('f', 40)} g"]
+    texts = [
+        f"{w('a', 40)} {w('b', 300)}", f"{w('a', 40)} {w('c', 200)}", f"{w('d', 40)} {w('B', 300)}", f"{w('d', 40)} {w('e', 200)}", "", None,
+        w("f", 41), f"{w('f', 40)} g"
+    ]
     rows = list(enumerate(texts))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     sets = {k: set(t.lower().split()) for k, t in rows if t}

@@ -36,7 +36,13 @@ def test_paths(value):
     assert value(T.unquote(F.lit("100%"))) == "100%"
 
 
-@pytest.mark.parametrize(("raw", "want"), [("2019", "2019"), ("2019-02", "2019-02"), ("2019-02-30", None), ("2019-02-28T10:00:00Z", "2019-02-28"), ("0999", None), ("2019-13", None), ("May 2019", None)])
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("2019", "2019"), ("2019-02", "2019-02"), ("2019-02-30", None), ("2019-02-28T10:00:00Z", "2019-02-28"), ("0999", None), ("2019-13", None),
+        ("May 2019", None)
+    ]
+)
 def test_dates(value, raw, want):
     assert value(T.iso_date(F.lit(raw))) == want
 
@@ -58,8 +64,10 @@ def test_excerpt(value):
 @pytest.mark.parametrize(
     ("title", "language", "role"),
     [
-        ("Note", "it", V.NOTE), ("Indice analitico", "it", V.ANALYTIC_INDEX), ("Indice", "it", V.CONTENTS), ("Il libro", "it", V.PARATEXT), ("Il libro di larga circolazione", "it", None), ("Ottocento", "it", None),
-        ("Preface to the second edition", "en", V.THRESHOLD), ("N OTE", "it", V.NOTE), ("Note e riferimenti bibliografici", "it", V.NOTE), ("Piano del capitolo 3", "it", V.CONTENTS), ("Sources", "en", V.BIBLIOGRAPHY),
+        ("Note", "it", V.NOTE), ("Indice analitico", "it", V.ANALYTIC_INDEX), ("Indice", "it", V.CONTENTS), ("Il libro", "it", V.PARATEXT),
+        ("Il libro di larga circolazione", "it", None), ("Ottocento", "it", None),
+        ("Preface to the second edition", "en", V.THRESHOLD), ("N OTE", "it", V.NOTE), ("Note e riferimenti bibliografici", "it", V.NOTE),
+        ("Piano del capitolo 3", "it", V.CONTENTS), ("Sources", "en", V.BIBLIOGRAPHY),
         ("Sources of the Nile", "en", None), ("Chapter 5", "it", V.BODY), ("", "it", None), (None, "it", None), ("Bibliographie", "de-AT", V.BIBLIOGRAPHY),
     ],
 )
@@ -70,7 +78,10 @@ def test_title_roles(value, title, language, role):
 
 @pytest.mark.parametrize(
     ("markers", "role"),
-    [(["toc", "footnote"], V.NOTE), (["footnote", "toc"], V.CONTENTS), (["footnote-link"], None), (["footnote-036"], V.NOTE), (["bible"], None), (["biblio-1sp"], V.BIBLIOGRAPHY), (["autore-frontespizio"], V.PARATEXT), (["fn_t"], V.NOTE), (["dedicato"], None), ([], None)],
+    [
+        (["toc", "footnote"], V.NOTE), (["footnote", "toc"], V.CONTENTS), (["footnote-link"], None), (["footnote-036"], V.NOTE), (["bible"], None),
+        (["biblio-1sp"], V.BIBLIOGRAPHY), (["autore-frontespizio"], V.PARATEXT), (["fn_t"], V.NOTE), (["dedicato"], None), ([], None)
+    ],
 )
 def test_markers(value, markers, role):
     found = value(X.marker_role(F.array(*[F.lit(m) for m in markers]).cast("array<string>")))
@@ -87,7 +98,9 @@ def test_texts(value):
     assert yes(X.editorial_credits(F.lit("Copy editor: A. Production editor: B"))) and not yes(X.editorial_credits(F.lit("Copy editor")))
     assert yes(X.contents_opening(F.lit("Contents one two"))) and not yes(X.contents_opening(F.lit("Contented")))
     assert yes(X.front_page_name(F.lit("f01_titlepage1.xhtml"))) and not yes(X.front_page_name(F.lit("subtitle.xhtml")))
-    assert yes(X.epigraph_markers(F.array(F.lit("Dedication"), F.lit("extract"), F.lit("signature")))) and not yes(X.epigraph_markers(F.array(F.lit("extract"))))
+    assert yes(X.epigraph_markers(F.array(
+        F.lit("Dedication"), F.lit("extract"), F.lit("signature")
+    ))) and not yes(X.epigraph_markers(F.array(F.lit("extract"))))
 
 
 def test_policy(value):
