@@ -27,7 +27,7 @@ def sentences(line):
     return [*out, (start, len(line))] if line else []
 
 
-def substring_dedup(docs, long=10):
+def substring_dedup(docs, least=10):
     """docs: (doc_id, text) with distinct ids. Goes through all texts in order and remembers every unit it has met."""
     say = lambda words: " ".join(words).lower()
     seen, out = {}, {}
@@ -35,25 +35,51 @@ def substring_dedup(docs, long=10):
         if text is None:
             out[doc_id] = (None, 0, "")
             continue
-        left, says, at = [], [], 0
-        for line in text.split("\n"):
-            here = [(at, at + len(line), SPACED.findall(line))]
-            parts = [(at + a, at + b, SPACED.findall(line[a:b])) for a, b in sentences(line)]
-            parts = parts if sum(bool(p[2]) for p in parts) > 1 else []
-            first = [seen.setdefault(say(ws), (doc_id, a)) for a, b, ws in here]
-            inner = [seen.setdefault(say(ws), (doc_id, a)) if len(ws) >= long else (doc_id, a) for a, b, ws in parts]
-            if not here[0][2]:
-                left.append(line)
-            elif first[0] != (doc_id, at):
-                says.append(f"{at}:{at + len(line)}:{first[0][0]}:{first[0][1]}")
-            else:
-                gone = [k for k, p in enumerate(parts) if inner[k] != (doc_id, p[0])]
-                says += [f"{parts[k][0]}:{parts[k][1]}:{inner[k][0]}:{inner[k][1]}" for k in gone]
-                rest = "".join(text[a:b] for k, (a, b, _) in enumerate(parts) if k not in gone) if gone else line
-                if SPACED.search(rest):
-                    left.append(rest)
+        rows, at = [], 0  # number, start, stop, words of each line
+        for number, line in enumerate(text.split("\n")):
+            rows.append((number, at, at + len(line), SPACED.findall(line)))
             at += len(line) + 1
-        out[doc_id] = ("\n".join(left), len(says), ",".join(says))
+        few = sum(len(r[3]) for r in rows) < least
+        groups = []  # lists of worded lines: a long one, or all shorter ones up to the next long one
+        for r in rows:
+            if r[3]:
+                long = len(r[3]) >= least
+                if long or not groups or len(groups[-1][0][3]) >= least:
+                    groups.append([r])
+                else:
+                    groups[-1].append(r)
+        state, inner = [], {}  # for each group: its first place, and whether it goes by itself; for each line: its repeated sentences
+        for g in groups:
+            ws = [w for r in g for w in r[3]]
+            here = (doc_id, g[0][1])
+            state.append((seen.setdefault(say(ws), here), few or len(ws) >= least))
+            if len(g[0][3]) >= least:
+                number, a, b, _ = g[0]
+                parts = [(a + x, a + y, SPACED.findall(text[a + x : a + y])) for x, y in sentences(text[a:b])]
+                parts = parts if sum(bool(p[2]) for p in parts) > 1 else []
+                firsts = [(p, seen.setdefault(say(p[2]), (doc_id, p[0]))) for p in parts if len(p[2]) >= least]
+                inner[number] = [(p[0], p[1], f) for p, f in firsts if f != (doc_id, p[0])]
+        gone = [f != (doc_id, g[0][1]) for (f, _), g in zip(state, groups, strict=True)]
+        edge = [True, *[go and own for go, (_, own) in zip(gone, state, strict=True)], True]
+        all_gone = [gone[i] and (state[i][1] or (edge[i] and edge[i + 2])) for i in range(len(groups))]
+        says, cut = [], set()
+        for g, (f, _), go in zip(groups, state, all_gone, strict=True):
+            if go:
+                says.append((g[0][1], g[-1][2], f))
+                cut.update(range(g[0][0], g[-1][0] + 1))
+        left = []
+        for number, a, b, _ in rows:
+            if number in cut:
+                continue
+            rest, place = "", a
+            for x, y, f in inner.get(number, ()):
+                says.append((x, y, f))
+                rest, place = rest + text[place:x], y
+            rest += text[place:b]
+            if not inner.get(number) or SPACED.search(rest):
+                left.append(rest)
+        shown = [f"{a}:{b}:{f[0]}:{f[1]}" for a, b, f in sorted(says, key=lambda x: x[0])]
+        out[doc_id] = ("\n".join(left), len(says), ",".join(shown))
     return out
 
 

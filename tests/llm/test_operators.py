@@ -51,36 +51,53 @@ def test_passages_are_found_inside_of_lines(spark):
     assert got[4].text == "Now. Then. Now." and got[4].n_removed == 1  # a sentence equal to another's line
 
 
-def test_every_repeated_line_goes(spark):
-    """Equal lines and exact copies go whatever their length; the first stays, with the offsets of what went."""
+def test_paragraphs_of_short_lines(spark):
+    """Shorter lines are compared as paragraphs; a few of them go only where they are repeated beside units that go."""
     marks = "\n".join(" ".join(f"word{i + k}!!" for k in range(8)) for i in range(20))
+    first, last = "A line of more than ten words that stands first in here, and then some.", "And another line of more than ten words that stands last in this text."
     rows = [
-        (1, marks), (2, marks), (3, "Yes.\nBut this line stands nowhere else in here."), (4, "It says 3.14. No. Yes.\n yes. \n\n..."),
-        (5, "It says 3.14. No. Yes.\nNo.\n\n...")
+        (1, marks),
+        (2, f"{marks}\n\n{first}"),
+        (3, f"{first}\nYes.\nNo.\n{last}"),
+        (4, f"{first}\nyes.\n\nNO.\n{last}"),
+        (5, f"{first}\nYes. But no.\n{last}\nYes."),
+        (6, "Yes."),
+        (7, " yes. "),
+        (8, "Yes.\nBut this one line stands nowhere else in all of these texts."),
     ]
     got = {r.doc_id: r for r in substring_dedup.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].text == marks and got[1].n_removed == 0
-    assert got[2].text == "" and got[2].n_removed == 20 and got[2].removed.startswith("0:63:1:0,")
-    assert got[3].text == rows[2][1]
-    assert got[4].text == "It says 3.14. No. Yes.\n\n..." and got[4].removed == "23:29:3:0"
-    assert got[5].text == "No.\n" and got[5].removed == "0:22:4:0,28:31:4:31"
+    assert got[2].text == f"\n{first}" and got[2].removed == f"0:{len(marks)}:1:0"
+    assert got[3].text == f"Yes.\nNo.\n{last}" and got[3].removed == f"0:{len(first)}:2:{len(marks) + 2}"
+    assert got[4].text == "" and got[4].n_removed == 3
+    assert got[5].text == "Yes. But no.\nYes." and got[5].n_removed == 2  # neither of the two stands earlier in a text or paragraph
+    assert got[6].text == "" or got[6].n_removed == 0
+    assert got[7].text == "" and got[7].removed.startswith("0:6:")
+    assert got[8].text == rows[7][1]
 
 
-def test_no_line_stands_twice(spark):
+def test_no_unit_stands_twice(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = result(spark, sf, "op1_substring_dedup")
     first = {}
     copies = [k for k in sorted(docs) if first.setdefault(docs[k], k) != k]
     assert copies and not any(got[k].text.strip() for k in copies)
-    untouched = Counter()
+    untouched, everywhere = Counter(), Counter()
     for k, text in docs.items():
-        cuts, at = [int(x.split(":")[0]) for x in got[k].removed.split(",") if x], 0
+        cuts, at = [tuple(map(int, x.split(":")[:2])) for x in got[k].removed.split(",") if x], 0
         for line in text.split("\n"):
-            if not any(at <= c <= at + len(line) for c in cuts):
-                untouched[" ".join(line.lower().split())] += 1
+            words = " ".join(line.lower().split())
+            everywhere[words] += 1
+            if words.count(" ") >= 9 and not any(a < at + len(line) and at < b for a, b in cuts):
+                untouched[words] += 1
             at += len(line) + 1
-    assert {x for x, n in untouched.items() if n > 1} <= {""}
+    assert untouched and max(untouched.values()) == 1 and any(n > 1 for x, n in everywhere.items() if x.count(" ") >= 9)
+    for k, text in docs.items():  # what is left is the original without the spans
+        cuts, place, rest = sorted(tuple(map(int, x.split(":")[:2])) for x in got[k].removed.split(",") if x), 0, ""
+        for a, b in cuts:
+            rest, place = rest + text[place:a], b
+        assert "".join((rest + text[place:]).split()) == "".join(got[k].text.split())
 
 
 def test_personal_data(spark, sf, docs):
