@@ -263,6 +263,25 @@ z AS (SELECT href, block_index, rule_id, dedication, credits, CASE WHEN rule_id
     WHEN 'document-role-inheritance' THEN least(0.75, greatest(0.2, confidence)) ELSE 0.98 END AS confidence FROM r),
 k AS (SELECT *, CASE WHEN role = 'paratext' AND dedication AND NOT credits THEN 'work_text' WHEN role IN ('note', 'bibliography', 'paratext') THEN role WHEN role IN ('analytic_index', 'contents') THEN 'index' ELSE 'work_text' END AS category FROM z)
 SELECT href, block_index, rule_id, role, confidence::DECIMAL(6,3) AS confidence, category, {USE} AS use FROM k""",
+    "block_features": f"""WITH RECURSIVE {ALL_VERDICTS}, {PACK},
+b AS (SELECT pack.href, block AS block_index, count(*) AS elements, string_agg(ps[pack.i], ' ' ORDER BY pack.i) AS text FROM pack JOIN line ON line.href = pack.href AND line.i = pack.i GROUP BY pack.href, block),
+vt AS (SELECT doc_id, list('signal_' || signal || '=' || role || CASE WHEN confirms THEN ':confirms' ELSE '' END) AS said
+       FROM (SELECT doc_id, 'shape' AS signal, role, false AS confirms FROM shape UNION ALL SELECT doc_id, 'position', role, confirms FROM position) GROUP BY doc_id),
+x AS (SELECT b.*, sec.book_id, sec.spine_index, length(b.text) AS chars, v.role, coalesce(vt.said, []) AS said,
+             sec.spine_index / greatest(1, (SELECT count(*) FROM sec s2 WHERE s2.book_id = sec.book_id) - 1) AS p_spine, len(regexp_extract_all(b.text, '[\\p{{L}}\\p{{N}}_]+')) AS words
+      FROM b JOIN sec ON sec.href = b.href JOIN verdict v ON v.doc_id = sec.doc_id LEFT JOIN vt ON vt.doc_id = sec.doc_id),
+y AS (SELECT *, (row_number() OVER r - 1) / greatest(1, count(*) OVER (PARTITION BY book_id) - 1) AS p_book, block_index / greatest(1, max(block_index) OVER (PARTITION BY href)) AS p_doc,
+             lag(href) OVER r AS before, lead(href) OVER r AS after FROM x WINDOW r AS (PARTITION BY book_id ORDER BY spine_index, block_index))
+SELECT href, block_index, round(least(1.5, ln(1 + chars) / 9.5), 4)::DECIMAL(9,4) AS log_characters, round(least(1.5, ln(1 + elements) / 5.0), 4)::DECIMAL(9,4) AS log_elements,
+  round(p_doc, 4)::DECIMAL(9,4) AS document_position, round(p_book, 4)::DECIMAL(9,4) AS book_position, round(p_spine, 4)::DECIMAL(9,4) AS spine_position, 0::DECIMAL(9,4) AS link_density, 0::DECIMAL(9,4) AS image_density,
+  round(least(1.5, len(regexp_extract_all(text, '\\p{{Nd}}')) / greatest(1, chars) * 12), 4)::DECIMAL(9,4) AS digit_density,
+  round(least(1.5, len(regexp_extract_all(text, '\\b(?:1[5-9][0-9]{{2}}|20[0-4][0-9])\\b')) / elements), 4)::DECIMAL(9,4) AS years_per_element,
+  round(least(1.5, len(regexp_extract_all(text, '(?i)\\b(?:cfr|ibid|ibidem|op\\. cit|art\\. cit|vol|pp|p\\.|ed\\.|trad|a cura di|works cited|references)\\b')) / elements), 4)::DECIMAL(9,4) AS citations_per_element,
+  round(least(1.0, len(regexp_extract_all(text, '\\p{{Lu}}')) / greatest(1, len(regexp_extract_all(text, '\\p{{L}}')))), 4)::DECIMAL(9,4) AS uppercase_share, 0::DECIMAL(9,4) AS has_title, 0::DECIMAL(9,4) AS non_linear,
+  CASE WHEN regexp_matches(text, '^\\s*\\[?[0-9]{{1,4}}[\\].)\\s]') THEN 1 ELSE 0 END::DECIMAL(9,4) AS starts_with_number,
+  CASE WHEN before IS NOT NULL THEN (before = href)::INTEGER END::DECIMAL(9,4) AS same_document_previous, CASE WHEN after IS NOT NULL THEN (after = href)::INTEGER END::DECIMAL(9,4) AS same_document_next,
+  array_to_string(list_sort(list_distinct(list_filter(list_concat(said, ['document_role=' || role, 'language=?', 'shape=prose', CASE WHEN before IS NOT NULL THEN 'previous_shape=prose' END, CASE WHEN after IS NOT NULL THEN 'next_shape=prose' END,
+    'position_zone=' || CASE WHEN p_spine <= 0.1 THEN 'start' WHEN p_spine >= 0.88 THEN 'end' ELSE 'middle' END]), lambda x: x IS NOT NULL))), ' ') AS named FROM y""",
     "semantic_chunks": f"""WITH RECURSIVE {_seq()},
 u AS (SELECT book_id, run, sum(len(regexp_extract_all(text, '{TOKEN}'))) OVER (PARTITION BY book_id, run ORDER BY ord) AS stop FROM run),
 s AS (SELECT sequence_id, list(stop ORDER BY stop) AS ends, max(stop)::BIGINT AS total FROM u JOIN seq USING (book_id, run) GROUP BY sequence_id),

@@ -278,6 +278,23 @@ def rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(facts).select("href", "block_index", "rule_id", "role", F.col("confidence").cast("decimal(6,3)").alias("confidence"), "category", "use")
 
 
+NUMBERS = (
+    "log_characters", "log_elements", "document_position", "book_position", "spine_position", "link_density", "image_density", "digit_density",
+    "years_per_element", "citations_per_element", "uppercase_share", "has_title", "non_linear", "starts_with_number", "same_document_previous", "same_document_next",
+)
+
+
+def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the linear model sees of lines packed into blocks: numbers, and which of the others are there."""
+    blocks = durable(segment.blocks(S.line_atoms(spark, sf_dir)), "feature-blocks")
+    said = durable(_verdicts(spark, sf_dir).drop("doc_id", "language"), "feature-verdicts")
+    facts = context(S.books(spark, sf_dir), said, blocks)
+    seen = model.features(facts.join(said.select("book_id", "href", "spine_index", "votes", "linear"), ["book_id", "href", "spine_index"]))
+    number = lambda n: F.round(F.try_element_at("features", F.lit(n)), 4).cast("decimal(9,4)").alias(n)
+    named = F.array_sort(F.filter(F.map_keys("features"), lambda k: k.contains("=")))
+    return seen.select("href", "block_index", *[number(n) for n in NUMBERS], F.array_join(named, " ").alias("named"))
+
+
 def profile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles made of labels, written as JSON, read and applied: toxic documents are notes, bad ones paratext by their
     block, good ones have a range. A wrong fingerprint in a book rejects its profile."""
@@ -586,7 +603,7 @@ ALL = (
     page_visible_text, page_paragraphs, page_toc_links, page_headings, href_resolve,
     hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours,
     chunk_interval_coverage, semantic_chunks, chunk_contexts, interval_merge, excerpts, audit_batches, packed_blocks,
-    line_blocks, lexical_flags, rule_cascade, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors,
+    line_blocks, lexical_flags, rule_cascade, block_features, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors,
     note_graph_votes, template_families, softmax_scores, calibrated_temperature, finding_cases, quality_confusion, role_characters,
     review_merge, profile_payloads, epub_blocks, epub_coverage, verify_sources,
 )
