@@ -337,6 +337,11 @@ shut AS (SELECT DISTINCT book_id FROM v WHERE quality = 0 AND doc_id % 23 = 5),
 w AS (SELECT v.*, shut.book_id IS NULL AS good, CASE WHEN quality = 0 THEN 'paratext' WHEN toxic = 1 THEN 'note' END AS said FROM v LEFT JOIN shut USING (book_id)),
 x AS (SELECT doc_id, good AND said IS NOT NULL AS changed, CASE WHEN good AND said IS NOT NULL THEN said ELSE category END AS category, confidence, good AND quality = 1 AND chars >= 40 AS cut FROM w)
 SELECT doc_id, category, {USE} AS use, (CASE WHEN changed THEN 1 ELSE confidence END)::DECIMAL(6,3) AS confidence, CASE WHEN changed THEN 'edition_profile' ELSE 'classifier' END AS source, coalesce(cut, false)::INTEGER AS ranges FROM x""",
+    "profile_faults": """WITH says(k, reason) AS (VALUES (1, 'unsupported schema'), (2, 'unsupported category policy version'), (3, 'book.sha256 must contain 64 hexadecimal characters'),
+  (4, 'unsupported category: poem'), (5, 'unsupported category: null'), (6, 'href must be a non-empty string'), (7, 'block_id must be a non-empty string'), (8, 'fingerprint must be a non-empty string'),
+  (9, 'text_fingerprint must be a non-empty string'), (10, 'invalid range bounds'), (11, 'invalid range bounds'), (12, 'invalid range bounds'), (13, 'duplicate document override: h1'),
+  (14, 'duplicate block override: h1#b1'), (15, 'duplicate range override: r1'), (16, 'overlapping range overrides: h1#b1'))
+SELECT DISTINCT s_suppkey::VARCHAR AS profile, reason FROM supplier JOIN says ON k = s_suppkey % 17""",
     "range_split": f"""WITH {UNITS}, p AS (SELECT *, unnest(CASE WHEN length(text) < 100 THEN [[0, length(text), 0]] ELSE list_filter([[0, 10, 0], [10, 30, 1], [30, 60, 0], [60, 90, 2], [90, length(text), 0]], lambda x: x[1] < x[2]) END) AS c FROM unit)
 SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord, c[1]) - 1 AS "order", unit_id AS block_id, CASE c[3] WHEN 1 THEN 'note' WHEN 2 THEN 'index' ELSE category END AS category, substr(text, c[1] + 1, c[2] - c[1]) AS text FROM p""",
     "range_overlap_violations": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS start, l_partkey + l_quantity::BIGINT AS "end" FROM lineitem),

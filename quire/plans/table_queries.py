@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -334,6 +335,43 @@ def profile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _profile_cases() -> list[str]:
+    """Profiles as JSON: the first is sound, each of the others breaks one rule of the format."""
+
+    def profile(**changes) -> str:
+        block = {"block_id": "b1", "href": "h1", "xpath": "/p", "fingerprint": "f", "category": "note", "note": "", "updated_at": ""}
+        range_ = {
+            "range_id": "r1", "block_id": "b1", "href": "h1", "xpath": "/p", "block_fingerprint": "f", "start": 0, "end": 9, "text_fingerprint": "t",
+            "category": "index", "note": "", "updated_at": "",
+        }
+        document = {"href": "h1", "category": "paratext", "note": "", "updated_at": ""}
+        whole = {
+            "schema": profiles.SCHEMA, "created_at": "", "version": "1", "category_policy_version": profiles.POLICY_VERSION,
+            "book": {"sha256": "0a" * 32, "path": "", "title": "", "language": ""},
+            "documents": [document | changes.pop("document", {})], "blocks": [block | changes.pop("block", {})], "ranges": [range_ | changes.pop("range", {})], "ignored_annotations": [],
+        }
+        for name, more in changes.pop("more", {}).items():
+            whole[name].append(whole[name][0] | more)
+        return json.dumps(whole | changes)
+
+    return [
+        profile(), profile(schema="other"), profile(category_policy_version=99), profile(book={"sha256": "0a", "path": "", "title": "", "language": ""}),
+        profile(document={"category": "poem"}), profile(document={"category": None}), profile(document={"href": " "}), profile(block={"block_id": ""}), profile(block={"fingerprint": None}),
+        profile(range={"text_fingerprint": ""}), profile(range={"start": 9}), profile(range={"start": -1}), profile(range={"end": None}),
+        profile(more={"documents": {"category": "note"}}), profile(more={"blocks": {"xpath": "/q"}}), profile(more={"ranges": {"start": 20, "end": 30}}),
+        profile(more={"ranges": {"range_id": "r2", "start": 5, "end": 30}}),
+    ]
+
+
+def profile_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with profiles, a supplier each, that break the format's rules in turn."""
+    cases = F.array(*[F.lit(c) for c in _profile_cases()])
+    given = S.table(spark, sf_dir, "supplier").select("s_suppkey").distinct()
+    read = F.from_json(F.get(cases, (F.col("s_suppkey") % len(_profile_cases())).cast("int")), profiles.PROFILE)
+    made = durable(given.select(F.col("s_suppkey").cast("string").alias("profile"), read.alias("p")).select("profile", "p.*"), "profile-cases")
+    return profiles.schema_faults(made)
+
+
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranges in every longer document."""
     u = S.language_units(spark, sf_dir).where(F.length("text") >= 100)
@@ -603,7 +641,7 @@ ALL = (
     page_visible_text, page_paragraphs, page_toc_links, page_headings, href_resolve,
     hard_sequences, filtered_sequences, sequence_offsets, conversation_runs, find_text, token_counts, fixed_chunks, chunk_neighbours,
     chunk_interval_coverage, semantic_chunks, chunk_contexts, interval_merge, excerpts, audit_batches, packed_blocks,
-    line_blocks, lexical_flags, rule_cascade, block_features, profile_precedence, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors,
+    line_blocks, lexical_flags, rule_cascade, block_features, profile_precedence, profile_faults, range_split, range_overlap_violations, reciprocal_pairs, mutual_anchors,
     note_graph_votes, template_families, softmax_scores, calibrated_temperature, finding_cases, quality_confusion, role_characters,
     review_merge, profile_payloads, epub_blocks, epub_coverage, verify_sources,
 )
