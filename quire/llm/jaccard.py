@@ -19,6 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ BLOCK = 512  # classes in one side of a tile
 BLOCK_SHINGLES = 1_000_000  # and shingles, about
 GROUP = 256  # classes and
 GROUP_SHINGLES = 500_000  # shingles of small tiles that are compared in one call, about
+PART, PART_BYTES = 500, 2_000_000  # texts and bytes of text that are shingled and signed at once; one text is never cut
 MEMBERS = "node binary, signature binary, shingles binary"
 SLIM = "doc_id long, tkey long, n_shingles long, node binary, bands array<long>"
 LINKED = "node binary, root binary, n_texts long, n_docs long"
@@ -81,10 +83,20 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most PART rows and, unless it is one row, PART_BYTES of column text: bounds the memory of sets and signatures."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(batch):
+        full = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, "right"))
+        b = max(a + 1, min(a + PART, full))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, len(batch), 500):  # bounds the memory of the signatures
-            part = batch.slice(a, 500)
+        for part in _parts(batch, 2):
             sets = list(shingle_sets(part.column(2)))
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = band_keys(signatures([sets[i] for i in full]))
@@ -120,8 +132,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature and shingle set of texts (node, text), both as bytes."""
     for batch in batches:
-        for a in range(0, len(batch), 500):
-            part = batch.slice(a, 500)
+        for part in _parts(batch, 1):
             sets = list(shingle_sets(part.column(1)))
             cols = [part.column(0), pa.array([s.tobytes() for s in signatures(sets)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["node", "signature", "shingles"])
@@ -230,8 +241,9 @@ def tiles(classes: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     n_blocks = hint_small(housed.groupBy("home").agg(blocks.alias("blocks")), "jaccard-blocks")
     number = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = durable(housed.join(n_blocks, "home").select("node", "copies", "n_shingles", F.xxhash64("home", number).alias("block")), "jaccard-placed")
-    inside = durable(shared.select("node", "key").join(hint_small(placed.select("node", "block"), "jaccard-block-of"), "node"), "jaccard-inside")
+    placed = housed.join(n_blocks, "home").select("node", "copies", "n_shingles", F.xxhash64("home", number).alias("block"))
+    placed = hint_small(placed, "jaccard-placed")
+    inside = durable(shared.select("node", "key").join(placed.select("node", "block"), "node"), "jaccard-inside")
     # Band groups as lists of blocks, not of classes: at most one in BLOCK of a large home's classes is a block of its own.
     each = inside.groupBy("key", "block").agg(F.count("*").alias("n"))
     lists = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("met"))
@@ -241,7 +253,7 @@ def tiles(classes: DataFrame) -> DataFrame:
     to = inside.join(met, "key").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set(other))).alias("to"))
     rows = to.select("node", "block", F.explode("to").alias("other"))
     rows = rows.select("node", "block", F.least("block", "other").alias("ta"), F.greatest("block", "other").alias("tb"))
-    rows = durable(rows.join(hint_small(placed.drop("block"), "jaccard-weights"), "node"), "jaccard-tile-rows")
+    rows = durable(rows.join(placed.drop("block"), "node"), "jaccard-tile-rows")
     totals = rows.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
     bins = max(1, totals["n"] // GROUP, (totals["s"] or 0) // GROUP_SHINGLES)
     weights = rows.groupBy("ta", "tb").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
@@ -274,7 +286,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: st
     if _repeats(slim):
         texts = texts.dropDuplicates(["_id", "_key"])
     chosen = texts.join(needed, texts["_id"].eqNullSafe(needed["rep_id"]) & (texts["_key"] == needed["rep_key"])).select("node", "text")
-    members = durable(chosen.mapInArrow(_members, MEMBERS), "jaccard-members")
+    # Signatures and sets, larger than the text, are read once, by the tiles: they are shuffled there and not written before.
+    members = chosen.mapInArrow(_members, MEMBERS)
     compared = durable(members.join(placed, "node").groupBy("group").applyInArrow(_compare(threshold), LINKED), "jaccard-links")
     counts = compared.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     label = connected(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "jaccard-classes")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, queries, sharding, substring_dedup
+from quire.llm import chunk_dedup, decontamination, jaccard, langid, mixing, pii, quality, queries, sharding, shared, substring_dedup
 from quire.llm.bytesops import chunks
+from quire.sources import tables
 from tests.llm import brute
 
 
@@ -336,6 +338,41 @@ def test_candidates_are_pairs_that_share_a_band():
     assert (jaccard.candidates(signature, rest, all_) == want[np.ix_(rest, all_)]).all() and want.sum() > 200
 
 
+def test_near_duplicates_write_tables_once(spark, monkeypatch):
+    """Signatures and sets of shingles, which only the tiles read, are no table, and no table is a selection of another."""
+    written = []
+
+    def noted(df, name):
+        written.append((name, set(df.columns)))
+        return tables.durable(df, name)
+
+    monkeypatch.setattr(jaccard, "durable", noted)
+    monkeypatch.setattr(shared, "durable", noted)
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(frame).collect()}
+    assert got == brute.near_duplicates([(r.doc_id, r.text) for r in frame.collect()])
+    own = [(name, columns) for name, columns in written if not name.startswith("jaccard-classes-")]
+    assert not [name for name, columns in own if columns & {"signature", "shingles"}]
+    assert not {"jaccard-block-of", "jaccard-weights"} & {name for name, _ in own} and len(own) == 15
+
+
+def test_shingling_is_bounded_by_bytes():
+    """Long texts are shingled few at a time, with the same results; rows are never lost or cut."""
+    rng = np.random.default_rng(7)
+    texts = [None, ""] + [" ".join(f"w{i}" for i in rng.integers(0, 1 << 40, 10_000)) for _ in range(100)] + ["a b c"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["doc_id", "tkey", "text"])
+    tracemalloc.start()
+    got = [row for part in jaccard._slim(iter([batch])) for row in part.select(["doc_id", "n_shingles"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    assert [r["n_shingles"] for r in got] == [0, 0] + [9_996] * 100 + [1]
+    full = pa.record_batch([pa.array([b"n"] * 101), pa.array(texts[2:])], ["node", "text"])
+    sets = [row["shingles"] for part in jaccard._members(iter([full])) for row in part.to_pylist()]
+    assert sets == [s.tobytes() for s in jaccard.shingle_sets(pa.array(texts[2:]))]
+
+
 def test_bayesian_bound():
     least = jaccard.least_matches()
     assert all(0 < least[n] < 0.8 * n for n in least)
