@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quire.catalog import QUERIES
 from quire.cli import main
 from quire.functions import vocab as V
-from quire.operators import audit, families, model, profiles, review, rules, signals, units
+from quire.operators import audit, chunking, families, model, profiles, review, rules, signals, units
 from quire.operators.chunking import Policy, SimpleTokenizer, chunk_coverage, cut, widen
 from quire.operators.search import find_text
 from quire.plans.corpus import Corpus, Options
@@ -440,3 +441,37 @@ def test_fragments_of_slices(spark):
     )
     got = rows.select(units.slice_fragments(F.col("f"), F.lit(3), F.lit(8)).alias("x")).first()["x"]
     assert [(r["xpath"], r["start"], r["stop"], r["source_start"]) for r in got] == [("/a", 0, 2, 3), ("/b", 3, 5, 0)]
+
+
+def test_contexts_take_a_text_apart_once():
+    text, seen = "a b c d e f g h i j", []
+
+    class Counted:
+        name, exact = "counted", True
+
+        def spans(self, t):
+            seen.append(t)
+            return SimpleTokenizer().spans(t)
+
+    cuts_ = [(i, i + 3) for i in range(0, 16, 4)]
+    assert chunking.widened(text, cuts_, 5, Counted()) == [widen(text, a, b, 5, SimpleTokenizer()) for a, b in cuts_]
+    assert seen.count(text) == 1
+
+
+def test_chunks_that_nobody_names_get_no_names(spark, sf):
+    """Only a consumer of ids, texts or anchors pays for them."""
+    plan = QUERIES["fixed_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cuts(" in plan and "epub_sha256" not in plan
+
+
+def test_a_failed_signal_is_no_result(spark, book, monkeypatch, sf):
+    def fail(documents):
+        return documents.select(F.raise_error(F.lit("no title")).alias("book_id"))
+
+    monkeypatch.setattr(signals, "titles", fail)
+    with pytest.raises(RuntimeError, match="no title"):
+        QUERIES["epub_votes"](spark, sf)
+    with pytest.raises(RuntimeError, match="no title"):
+        corpus(spark, harbour()).verdicts  # noqa: B018
+    kept = corpus(spark, harbour(), without_failed_signals=True)
+    assert kept.verdicts.count() and set(kept.failed_signals) == {"titles"}
