@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java class of the characters that count as whitespace, wider than Java's own \s.
@@ -72,6 +72,12 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns as a generator's output: the optimiser moves no filter or projection through it, so that what
+    they cost is paid once a row, however often they are used after it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def has_phrase(norm: Column, phrase: str) -> Column:
     """Whether a normalized text contains the phrase as whole words."""
     return norm.contains(normal(phrase)) if normal(phrase).strip() else F.lit(False)

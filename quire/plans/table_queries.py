@@ -262,7 +262,7 @@ def lexical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text predicates of the marginal rules over every line."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) != ''")
-    lines = lines.withColumn("norm", T.normalized("line"))
+    lines = T.computed(lines, norm=T.normalized("line"))  # every predicate and the filter below read it
     own = lambda f: f("line", norm=F.col("norm"))
     flags = lines.select(
         "doc_id", "pos", own(legal).alias("legal"), own(promotion).alias("promotion"), own(editorial_credits).alias("credits"),

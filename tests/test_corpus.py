@@ -475,3 +475,15 @@ def test_a_failed_signal_is_no_result(spark, book, monkeypatch, sf):
         corpus(spark, harbour()).verdicts  # noqa: B018
     kept = corpus(spark, harbour(), without_failed_signals=True)
     assert kept.verdicts.count() and set(kept.failed_signals) == {"titles"}
+
+
+def optimized(spark, sf, name: str) -> str:
+    return QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_normalized_once(spark, sf):
+    assert optimized(spark, sf, "lexical_flags").count("translate(") == 1
+
+
+def test_votes_by_position_read_the_documents_once(spark, sf):
+    assert optimized(spark, sf, "position_votes").count("Relation [") == 1
