@@ -1,7 +1,9 @@
 """The whole dataflow over generated books, and the rules one by one."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,3 +489,24 @@ def test_lines_are_normalized_once(spark, sf):
 
 def test_votes_by_position_read_the_documents_once(spark, sf):
     assert optimized(spark, sf, "position_votes").count("Relation [") == 1
+
+
+def test_similar_templates_lose_no_pair(spark):
+    """Against brute force, over sets of all sizes that are cut from each other, with common and rare tokens."""
+    draw = random.Random(5)
+    common, sets = [f"c{i}" for i in range(30)], {}
+    for i in range(240):
+        old = sorted(sets.get(draw.randrange(i), ())) if i and draw.random() < 0.7 else []
+        kept = [t for t in old if draw.random() < 0.9] + [t for t in common if draw.random() < 0.2]
+        sets[i] = set(kept + [f"r{i}-{k}" for k in range(draw.randrange(1 + len(kept) // 6))]) or {"x"}
+    books = spark.createDataFrame([(i, sorted(t)) for i, t in sets.items()], "book_id long, template array<string>")
+    got = {(r.a, r.b): r.similarity for r in families.similar_templates(books).collect() if r.similarity < 1}
+    share = lambda a, b: len(a & b) / len(a | b)
+    first = [i for i in sets if all(sets[j] != sets[i] for j in range(i))]
+    assert got == {(a, b): share(sets[a], sets[b]) for a in first for b in first if a < b and share(sets[a], sets[b]) >= 0.72} and got
+
+
+def test_a_token_that_stands_alone_is_not_filed():
+    counts = np.ones(families.BUCKETS, np.int32)
+    counts[[1, 2, 3]] = 9, 2, 5
+    assert families.prefix(np.array([1, 2, 3, 4]), counts, 0.5) == [None, 2, 3]
