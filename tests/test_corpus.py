@@ -510,3 +510,10 @@ def test_a_token_that_stands_alone_is_not_filed():
     counts = np.ones(families.BUCKETS, np.int32)
     counts[[1, 2, 3]] = 9, 2, 5
     assert families.prefix(np.array([1, 2, 3, 4]), counts, 0.5) == [None, 2, 3]
+
+
+def test_sources_are_cut_once(book):
+    """Anchors made by a tokenizer are written before they are looked up, and pieces without their unit's text."""
+    cuts = book.chunks("all", Policy(60, 10, 10, 120))
+    checked = book.verify_sources(cuts.select("anchor"))
+    assert "cuts(" not in checked._jdf.queryExecution().optimizedPlan().toString() and all(r["verified"] for r in checked.collect())
